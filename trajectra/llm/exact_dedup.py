@@ -62,8 +62,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows that exact_dedup doesn't keep; all columns of df, in any order of rows."""
-    kept = exact_dedup(df, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = df.withColumns({"__sha_of": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), "__key": F.col(id_col)})
-    same = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__sha_of") == F.col("__sha"))
-    one = Window.partitionBy("__key", "__sha_of").orderBy("__key")
-    return marked.join(kept, same, "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*df.columns)
+    kept = exact_dedup(df, id_col, text_col).where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha"))
+    one = Window.partitionBy("id", "sha").orderBy("id")
+    return rows.join(kept, same, "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
