@@ -12,6 +12,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .syncmers import as_text, likeness, with_anchors, with_next
+from .toxicity import score_toxicity
 from .warc import archive_pages
 
 
@@ -19,6 +20,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = with_next(with_anchors(docs, "text", "anchors"), "doc_id", ["text", "anchors"], "text")
@@ -75,7 +80,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op6_closed_syncmers, op8_exact_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op6_closed_syncmers, op8_exact_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
