@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .katz import fit_katz, score_katz
+from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .syncmers import as_text, likeness, with_anchors, with_next
 from .toxicity import score_toxicity
@@ -25,6 +26,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
@@ -88,7 +93,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_katz_backoff, op6_closed_syncmers, op8_exact_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_ngram_jaccard_join, op4_katz_backoff, op6_closed_syncmers, op8_exact_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
