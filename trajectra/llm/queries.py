@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .katz import fit_katz, score_katz
+from .language_id import identify_languages
+from .mixing import mixing_rates
 from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .syncmers import as_text, likeness, with_anchors, with_next
@@ -37,6 +39,10 @@ def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = with_next(with_anchors(docs, "text", "anchors"), "doc_id", ["text", "anchors"], "text")
@@ -58,6 +64,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = archive_pages(table(spark, sf_dir, "pages"))
     # What a response says of its payload is taken from the payload as it was read back.
@@ -93,7 +103,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_ngram_jaccard_join, op4_katz_backoff, op6_closed_syncmers, op8_exact_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_ngram_jaccard_join, op4_katz_backoff, op5_language_id, op6_closed_syncmers, op8_exact_dedup, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
