@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .items import blocks, hash_words
 
-DOMAINS = ("good", "poor", "toxic")
+DOMAINS = ("good", "poor")
 #: Shares of tokens to aim at.
-TARGETS = (0.88, 0.11, 0.01)
+TARGETS = (0.9, 0.1)
 MU = 1e-3
 MAX_DOCS, MAX_BYTES = 6000, 1 << 16
-STEPS, TOLERANCE = 60, 5e-4
+STEPS, TOLERANCE = 60, 1e-4
 _HASHED = 1 << 11
 _STATS = 8
 
@@ -90,11 +90,11 @@ def _softmax_fit(x: np.ndarray, y: np.ndarray, k: int, steps: int = 150, decay:
 def train_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> DomainModel:
     """Softmax regression on at most max_docs labelled documents of MAX_BYTES at most, chosen by a hash of their ids.
 
-    A row's domain is toxic if toxic = 1, else good if quality = 1, else poor. Null labels and ids are passed over.
+    A row's domain is good if quality = 1, else poor. Null labels and ids are passed over.
     Without labelled documents all posteriors are even.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t")).where("id is not null and q is not null and t is not null")
-    known = known.groupBy("id").agg(F.max(F.when(F.col("t") == 1, 2).when(F.col("q") == 1, 0).otherwise(1)).alias("domain"))
+    known = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("q")).where("id is not null and q is not null")
+    known = known.groupBy("id").agg(F.max(F.when(F.col("q") == 1, 0).otherwise(1)).alias("domain"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_docs)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text").between(1, MAX_BYTES))
     rows = sorted((r["id"], r["domain"], r["text"].encode("utf-8", "replace")) for r in texts.join(F.broadcast(chosen), "id").select("id", "domain", "text").collect())
@@ -128,15 +128,15 @@ def rates_after(p: np.ndarray, residuals: list[np.ndarray], mu: float) -> tuple[
 
 
 def fit_rates(table: DataFrame, targets=TARGETS, mu: float = MU, steps: int = STEPS, tolerance: float = TOLERANCE) -> list[np.ndarray]:
-    """The residuals of the steps, from which rates_after gives every row's rate. Ends when no step changes any
-    domain's share of tokens by more than tolerance, or after steps."""
+    """The residuals of the steps, from which rates_after gives every row's rate. Ends when two steps in a
+    row change no domain's share of tokens by more than tolerance, or after steps."""
     k = len(targets)
     target = np.array(targets, float) / sum(targets)
     whole = table.agg(F.sum("n_tokens")).first()[0] or 0
     residuals: list[np.ndarray] = []
     if not whole:
         return residuals
-    before = None
+    before, calm = None, 0
     for _ in range(steps):
         now = list(residuals)
 
@@ -152,7 +152,8 @@ def fit_rates(table: DataFrame, targets=TARGETS, mu: float = MU, steps: int = ST
         sums = table.mapInArrow(part, ", ".join(f"s{i} double" for i in range(k))).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).first()
         share = np.array([sums[i] or 0.0 for i in range(k)]) / whole
         residuals.append(share - target)
-        if before is not None and np.abs(share - before).max() < tolerance:
+        calm = calm + 1 if before is not None and np.abs(share - before).max() < tolerance else 0
+        if calm == 2:
             break
         before = share
     return residuals

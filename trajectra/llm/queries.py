@@ -15,6 +15,7 @@ from .language_id import identify_languages
 from .mixing import mixing_rates
 from .ngram_join import near_duplicates
 from .packing import pack_documents
+from .repeats import remove_repeats
 from .syncmers import as_text, likeness, with_anchors, with_next
 from .toxicity import score_toxicity
 from .warc import archive_pages
@@ -60,6 +61,10 @@ def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -103,7 +108,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_ngram_jaccard_join, op4_katz_backoff, op5_language_id, op6_closed_syncmers, op8_exact_dedup, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_ngram_jaccard_join, op4_katz_backoff, op5_language_id, op6_closed_syncmers, op7_repeated_passages, op8_exact_dedup, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
