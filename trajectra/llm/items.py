@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_parts
 
 #: Bytes of text of which a map task makes one block, and of which there is one bucket at least.
-BLOCK_BYTES = 12 << 20
-BUCKET_BYTES = 20 << 20
+BLOCK_BYTES = 6 << 20
+BUCKET_BYTES = 8 << 20
 _STEP = 1 << 20
 _SPACES = b" \t\n\x0b\x0c\r"
 

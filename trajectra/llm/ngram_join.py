@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, materialise, shuffle_parts
-from .items import Block, batch_of, blocks, bucket_count, by_bucket, combine, hash_words, mix, pack, runs, unpack
+from .items import Block, batch_of, blocks, bucket_count, by_bucket, combine, hash_words, map_arrow, mix, pack, runs, unpack
 from .katz import _add, _bucket
 
 #: Words of an n-gram; a pair links if PERCENT * |union| <= 100 * |intersection|.
@@ -300,8 +300,9 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = bucket_count(rows, "text")
     schema = "bucket int, kind int, block long, payload binary"
-    asked = rows.mapInArrow(_ask(buckets, n), schema).repartitionById(buckets, F.col("bucket")).mapInArrow(_count(buckets <= 1 << 16), schema)
-    both = asked.repartition(buckets, "block").mapInArrow(_order(percent), "kind int, id long, hi long, lo long, n long, lone long, items binary")
+    asked = map_arrow(rows, _ask(buckets, n), schema).repartitionById(buckets, F.col("bucket"))
+    asked = map_arrow(asked, _count(buckets <= 1 << 16), schema)
+    both = map_arrow(asked.repartition(buckets, "block"), _order(percent), "kind int, id long, hi long, lo long, n long, lone long, items binary")
     both = materialise(both, "sets")
     documents = both.where("kind = 0").select("id", "n", "hi", "lo")
     classes = documents.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members"))
@@ -319,7 +320,7 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = max(shuffle_parts(df.sparkSession), -(-total // INDEX_ROWS))
 
     def links(rows: DataFrame, every: bool, name: str) -> DataFrame:
-        pairs = rows.repartition(parts, "item", "tile").mapInArrow(_pairs(percent, every), "a long, b long").distinct()
+        pairs = map_arrow(rows.repartition(parts, "item", "tile"), _pairs(percent, every), "a long, b long").distinct()
         side = lambda s: sets.select(F.col("hi").alias(s), F.col("n").alias(f"n{s}"), F.col("items").alias(f"x{s}"))
         return materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "a long, b long"), name)
 
