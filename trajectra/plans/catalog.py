@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import q_batch, q_metrics, q_rewards, q_sequences, q_sources
+
+MODULES = (q_rewards, q_batch, q_sequences, q_metrics, q_sources)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
