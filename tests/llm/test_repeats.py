@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from trajectra.llm import repeats
-from trajectra.llm.repeats import factor_lengths, remove_repeats
+from trajectra.llm.repeats import factor_lengths, remove_repeats, repeated_factors
 
 from .helpers import awkward, empty, prose
 
@@ -90,6 +90,8 @@ def test_factor_lengths():
 
         assert before.tolist() == [longest(i, range(i)) for i in starts]
         assert after.tolist() == [longest(i, range(i + 1, len(starts))) for i in starts]
+        hits = repeated_factors(text, starts, length)
+        assert hits[0].tolist() == (before >= length).tolist() and hits[1].tolist() == (after >= length).tolist()
 
 
 def test_awkward_rows(spark):

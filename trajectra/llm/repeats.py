@@ -263,40 +263,85 @@ def _near_smaller(a: np.ndarray, step: int) -> np.ndarray:
     return out
 
 
-def factor_lengths(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the ascending places starts, at length bytes at least from the end: the length of the longest
-    factor that begins there and also begins at an earlier place of starts, and at a later one; at most length.
-
-    Suffixes are ordered by their first length bytes; in that order the previous and next smaller place of a
-    suffix share the longest prefixes with it of all earlier places (with greater places: of all later ones)."""
+def _refine(text: bytes, length: int, levels: list | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """(depth, rank, shared): ranks of all suffixes by their first depth bytes, the largest 8 * 2^i up to length, equal for equal
+    prefixes, and whether another suffix has the same. Depth doubles; only suffixes that are still shared are sorted again.
+    levels, if given, gets the ranks of every depth."""
     b = np.frombuffer(text + b"\0" * 8, np.uint8).astype(np.uint64)
     n = len(text)
     words = np.zeros(n, np.uint64)
     for i in range(8):
         words = words << np.uint64(8) | b[i : n + i]
-    rank = np.unique(words, return_inverse=True)[1].astype(np.uint64)
-    ranks, depth = [(8, rank)], 8
-    while 2 * depth <= length:
-        after = np.concatenate([rank[depth:], np.zeros(min(depth, n), np.uint64)])[:n]
-        rank = np.unique(rank << np.uint64(32) | after, return_inverse=True)[1].astype(np.uint64)
+    open_ = np.argsort(words)
+    key, base = words[open_], np.zeros(n, np.int64)
+    rank, depth = np.zeros(n, np.int64), 8
+    while True:
+        first, begin = np.ones(len(key), bool), np.ones(len(key), bool)
+        first[1:], begin[1:] = key[1:] != key[:-1], base[1:] != base[:-1]
+        at = np.arange(len(key))
+        whole = np.maximum.accumulate(np.where(begin, at, 0))
+        rank[open_] = base + np.maximum.accumulate(np.where(first, at, 0)) - whole
+        if levels is not None:
+            levels.append((depth, rank.copy()))
+        lone = first.copy()
+        lone[:-1] &= first[1:]
+        open_ = open_[~lone]
+        if 2 * depth > length:
+            break
+        after = open_ + depth
+        after = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key = (rank[open_] << 32 | after).astype(np.uint64)
+        order = np.argsort(key)
+        open_, key = open_[order], key[order]
+        base = rank[open_]
         depth *= 2
-        ranks.append((depth, rank))
-    order = np.argsort(rank[starts] << np.uint64(32) | rank[starts + length - depth], kind="stable")
+    shared = np.zeros(n, bool)
+    shared[open_] = True
+    return depth, rank, shared
+
+
+def repeated_factors(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ascending places starts, at length bytes at least from the end: whether its longest previous
+    factor, and its longest next factor, reach length. As factor_lengths, but suffixes that share length bytes
+    with neither neighbour in suffix order, which can't reach it, are left out of the search."""
+    depth, rank, shared = _refine(text, length)
+    some = np.flatnonzero(shared[starts] & shared[starts + length - depth])
+    key = rank[starts[some]] << 32 | rank[starts[some] + length - depth]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    like = key[1:] == key[:-1]
+    kept = np.concatenate([[False], like]) | np.concatenate([like, [False]]) if len(key) else np.zeros(0, bool)
+    order, key = some[order[kept]], key[kept]
+    out = []
+    for place in (starts[order], -starts[order]):
+        hit = np.zeros(len(starts), bool)
+        for step in (-1, 1):
+            other = _near_smaller(place, step)
+            hit[order] |= (other >= 0) & (key[other] == key)
+        out.append(hit)
+    return out[0], out[1]
+
+
+def factor_lengths(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ascending places starts, at length bytes at least from the end: the length of the longest
+    factor that begins there and also begins at an earlier place of starts, and at a later one; at most length.
+
+    Suffixes are ordered by their first length bytes; in that order the previous and next smaller place of a
+    suffix share the longest prefixes with it of all earlier places (with greater places: of all later ones)."""
+    ranks: list[tuple[int, np.ndarray]] = []
+    depth, rank, _ = _refine(text, length, ranks)
+    b, n = np.frombuffer(text, np.uint8), len(text)
+    order = np.argsort(rank[starts] << 32 | rank[starts + length - depth], kind="stable")
     place = starts[order]
 
     def common(other: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(other >= 0)
         x, y = place[some], place[other[some]]
         got = np.zeros(len(some), np.int64)
-        for step, r in reversed(ranks):
-            for _ in range(2):
-                fits = (got + step <= length)
-                same = fits & (r[np.minimum(x + got, n - 1)] == r[np.minimum(y + got, n - 1)])
+        for step, r in [*reversed(ranks), *[(1, b)] * 7]:
+            for _ in range(2 if step > 1 else 1):
+                same = (got + step <= length) & (r[np.minimum(x + got, n - 1)] == r[np.minimum(y + got, n - 1)])
                 got[same] += step
-        for _ in range(7):
-            fits = got < length
-            same = fits & (b[np.minimum(x + got, n)] == b[np.minimum(y + got, n)])
-            got[same] += 1
         out = np.zeros(len(place), np.int64)
         out[some] = got
         return out
@@ -349,8 +394,8 @@ def _factors(length: int, keep: str):
             begin = np.cumsum(size) - size
             number = size - length + 1
             starts = np.repeat(begin - (np.cumsum(number) - number), number) + np.arange(number.sum())
-            before, after = factor_lengths(text, starts, length)
-            hit = before >= length if keep == "first" else (before >= length) | (after >= length)
+            before, after = repeated_factors(text, starts, length)
+            hit = before if keep == "first" else before | after
             edge = np.cumsum(number) - number
             found = {}
             for r, s in enumerate(turn):
