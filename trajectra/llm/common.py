@@ -9,13 +9,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: A key with more than 1/HEAVY_SHARE of the rows is heavy: there are fewer than HEAVY_SHARE such keys at any size.
 HEAVY_SHARE = 1000
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+def prepare(spark: SparkSession) -> None:
+    """Workers find this package, and get whole texts in small batches, so that their memory doesn't grow with long ones."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,6 +67,7 @@ def _clean() -> None:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it from there: later jobs neither recompute it nor lose it with an executor."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    prepare(spark)
     # What this job shuffles isn't needed once its result is written.
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")

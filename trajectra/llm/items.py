@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts
+from .common import prepare, shuffle_parts
 
 #: Bytes of text of which a map task makes one block, and of which there is one bucket at least.
 BLOCK_BYTES = 6 << 20
@@ -239,6 +239,7 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
             trim(0)
 
+    prepare(df.sparkSession)
     return df.mapInArrow(trimmed, schema)
 
 

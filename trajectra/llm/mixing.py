@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .items import blocks, hash_words
+from .items import blocks, hash_words, map_arrow
 
 DOMAINS = ("good", "poor")
 #: Shares of tokens to aim at.
@@ -113,7 +113,7 @@ def posterior_table(docs: DataFrame, model: DomainModel, id_col: str = "doc_id",
             p, n = model.posteriors(block.texts)
             yield pa.RecordBatch.from_arrays([pa.array(block.columns["id"], pa.int64()), pa.array(n.astype(np.int64)), pa.array(list(p.astype(float)), pa.list_(pa.float64()))], names=["id", "n_tokens", "posterior"])
 
-    return rows.mapInArrow(run, "id long, n_tokens long, posterior array<double>")
+    return map_arrow(rows, run, "id long, n_tokens long, posterior array<double>")
 
 
 def rates_after(p: np.ndarray, residuals: list[np.ndarray], mu: float) -> tuple[np.ndarray, np.ndarray]:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_parts
+from .items import map_arrow
 
 CAPACITY = 1024
 END_ID = 2
@@ -70,7 +71,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["id", "piece", "start", "length", "ids_crc32"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(rows, cut, "id long, piece int, start long, length long, ids_crc32 long")
 
 
 # ---- the plan, over counts of lengths only
