@@ -1,9 +1,10 @@
 """Toxicity by compression distance: separate zstandard dictionaries of toxic and ordinary text, compared window by window.
 
 Training reads a bounded sample of labelled rows (MAX_DOCS documents a class of at most MAX_BYTES each, chosen by
-a hash of their ids). Byte runs that many toxic documents have and hardly any ordinary one are the samples of
+a hash of their ids; of equal texts with one label the first). Byte runs that many toxic documents have and hardly any ordinary one are the samples of
 the toxic dictionary; windows of ordinary documents are those of the ordinary one. A window's gain is how many
-bytes shorter it gets when the toxic dictionary is laid over the ordinary one. A document is scored by the shares
+bytes shorter it gets when the toxic dictionary is laid over the ordinary one, in the mean of several compression
+levels: which matches a level happens to find differs from level to level, a marking word's doesn't. A document is scored by the shares
 of its windows whose gain reaches each of several thresholds; a logistic regression on labelled documents that
 the dictionaries haven't seen weighs them, and is shifted to the share of toxic labels among all labels.
 """
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 
 MAX_DOCS = 2500
 MAX_BYTES = 1 << 16
-WINDOW = 64
+WINDOW = 40
+LEVELS = (1, 3)
 GRAM = 6
 #: A byte run marks toxic text if this share of toxic documents has it, and it is this many times as frequent there.
-LEAST_SHARE, RATIO = 0.012, 30
+LEAST_SHARE, RATIO = 0.03, 30
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 4096
 THRESHOLDS = range(1, 9)
 
@@ -90,18 +92,21 @@ class ToxicityModel:
 
     @functools.cached_property
     def _squeeze(self):
-        def of(content: bytes):
+        def of(content: bytes, level: int):
             made = zstd.ZstdCompressionDict(content or b"\n", dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            return zstd.ZstdCompressor(level=3, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False)
+            return zstd.ZstdCompressor(level=level, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-        return of(self.ordinary), of(self.ordinary + self.toxic)
+        return [(of(self.ordinary, level), of(self.ordinary + self.toxic, level)) for level in LEVELS]
 
     def gains(self, text: str | None) -> np.ndarray:
         pieces = windows(_raw(text))
         if not pieces:
             return np.zeros(0, np.int64)
-        plain, toxic = (x.multi_compress_to_buffer(pieces, threads=1) for x in self._squeeze)
-        return np.array([len(a) - len(b) for a, b in zip(plain, toxic)])
+        total = np.zeros(len(pieces), np.int64)
+        for pair in self._squeeze:
+            plain, toxic = (x.multi_compress_to_buffer(pieces, threads=1) for x in pair)
+            total += np.array([len(a) - len(b) for a, b in zip(plain, toxic)])
+        return total // len(LEVELS)
 
     def features(self, text: str | None) -> np.ndarray:
         gains = self.gains(text)
@@ -144,6 +149,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text").between(1, MAX_BYTES))
     rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").collect()
     rows = sorted(((r["id"], r["label"], _raw(r["text"])) for r in rows), key=lambda r: (r[0], r[2]))
+    rows = list({(label, text): (i, label, text) for i, label, text in reversed(rows)}.values())[::-1]
     part = {(label, later): [x for n, (_, x) in enumerate((i, x) for i, k, x in rows if k == label) if (n % 5 >= 3) == later] for label in (0, 1) for later in (False, True)}
     if not part[1, False] or not part[0, False]:
         return None
