@@ -53,6 +53,24 @@ def test_awkward_rows_and_missing_labels(spark):
     assert out.columns == df.columns
 
 
+def test_smaller_language_whose_sign_is_repetition(spark):
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice("bcdghklmrstuvwaeiou") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    docs, labels = (x.collect() for x in corpus(spark, 800))
+    for i in range(10_000, 10_300):
+        words = [rng.choice(vocab) for _ in range(rng.randrange(40, 160))]
+        toxic = i % 5 == 0
+        for _ in range(rng.randrange(3, 7) if toxic else rng.randrange(8) == 0):
+            words.insert(rng.randrange(len(words)), rng.choice(["achlich", "achliche"]) + rng.choice(vocab))
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = score_toxicity(docs, labels).join(labels, "doc_id").where("held_out and doc_id >= 10000").collect()
+    toxic = [r["predicted"] for r in held if r["toxic"]]
+    assert len(toxic) > 5 and sum(toxic) / len(toxic) > 0.7
+    assert sum(r["predicted"] for r in held if not r["toxic"]) < 0.1 * len(held)
+
+
 def test_windows_and_pieces():
     raw = b"word " * 100 + b"x" * 500
     assert b"".join(windows(raw, 64)) == raw and max(map(len, windows(raw, 64))) <= 128

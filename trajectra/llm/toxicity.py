@@ -2,10 +2,11 @@
 
 Training reads a bounded sample of labelled rows (MAX_DOCS documents a class of at most MAX_BYTES each, chosen by
 a hash of their ids; of equal texts with one label the first). Byte runs that many toxic documents have and hardly any ordinary one are the samples of
-the toxic dictionary; windows of ordinary documents are those of the ordinary one. A window's gain is how many
-bytes shorter it gets when the toxic dictionary is laid over the ordinary one, in the mean of several compression
+the toxic dictionary; runs that many toxic documents repeat and hardly any ordinary one does, though ordinary ones
+have them, are those of a second one, the dictionary of repeated runs; windows of ordinary documents are those of the ordinary one. A window has two gains: how many
+bytes shorter it gets when the toxic dictionary, or that of repeated runs, is laid over the ordinary one, in the mean of several compression
 levels: which matches a level happens to find differs from level to level, a marking word's doesn't. A document is scored by the shares
-of its windows whose gain reaches each of several thresholds; a logistic regression on labelled documents that
+of its windows whose gains reach each of several thresholds; a logistic regression on labelled documents that
 the dictionaries haven't seen weighs them, and is shifted to the share of toxic labels among all labels.
 """
 
@@ -29,8 +30,13 @@ LEVELS = (1, 3)
 GRAM = 6
 #: A byte run marks toxic text if this share of toxic documents has it, and it is this many times as frequent there.
 LEAST_SHARE, RATIO = 0.03, 30
+#: A run that isn't marking by itself can be so when a text has it this many times.
+REPEATS = (2, 3)
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 4096
 THRESHOLDS = range(1, 9)
+#: Begins each window and ends each dictionary: a window always has one match, so that a marking run's isn't lost
+#: because a compressed block's fixed cost is more than one match saves.
+ANCHOR = b"\x00\x01anchor of windows\x02\x03"
 
 
 def windows(raw: bytes, size: int = WINDOW) -> list[bytes]:
@@ -49,76 +55,110 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").lower()
 
 
-def _grams(raw: bytes) -> np.ndarray:
-    """The different runs of GRAM bytes, as numbers."""
+def _grams(raw: bytes, size: int = GRAM) -> np.ndarray:
+    """The runs of size bytes, as numbers."""
     b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    if len(b) < GRAM:
+    if len(b) < size:
         return np.zeros(0, np.uint64)
-    out = np.zeros(len(b) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
-        out = out << np.uint64(8) | b[i : len(b) - GRAM + 1 + i]
+    out = np.zeros(len(b) - size + 1, np.uint64)
+    for i in range(size):
+        out = out << np.uint64(8) | b[i : len(b) - size + 1 + i]
     return out
 
 
-def marking_pieces(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The stretches of toxic texts that are made of runs which tell them from ordinary texts."""
-    runs, n = np.unique(np.concatenate([np.unique(_grams(x)) for x in toxic] or [np.zeros(0, np.uint64)]), return_counts=True)
+def _repeated(raw: bytes, times: int) -> np.ndarray:
+    """The different runs that raw has times or more."""
+    runs, n = np.unique(_grams(raw), return_counts=True)
+    return runs[n >= times]
+
+
+def marking_runs(toxic: list[bytes], ordinary: list[bytes], times: int = 1) -> np.ndarray:
+    """The runs that, had times or more, tell toxic texts from ordinary ones."""
+    runs, n = np.unique(np.concatenate([_repeated(x, times) for x in toxic] or [np.zeros(0, np.uint64)]), return_counts=True)
     runs, n = runs[n >= max(3, LEAST_SHARE * len(toxic))], n[n >= max(3, LEAST_SHARE * len(toxic))]
     other = np.zeros(len(runs), np.int64)
     for x in ordinary:
-        other += np.isin(runs, _grams(x))
-    marks = runs[n / max(1, len(toxic)) >= RATIO * (other + 1) / max(1, len(ordinary))] if len(ordinary) > RATIO else runs[(other == 0)]
+        other += np.isin(runs, _repeated(x, times))
+    return runs[n / max(1, len(toxic)) >= RATIO * (other + 1) / max(1, len(ordinary))] if len(ordinary) > RATIO else runs[(other == 0)]
+
+
+def _stretches(texts: list[bytes], marks: np.ndarray) -> list[bytes]:
+    """The stretches of texts that are made of marks."""
     pieces = []
-    for x in toxic:
+    for x in texts:
         hit = np.isin(_grams(x), marks)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
         pieces += [x[a : b + GRAM - 1] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
     return pieces
 
 
+def marking_pieces(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The stretches of toxic texts that are made of runs which tell them from ordinary texts."""
+    return _stretches(toxic, marking_runs(toxic, ordinary))
+
+
+def repeated_runs(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """The runs which only by being repeated tell toxic texts from ordinary ones."""
+    marks = np.unique(np.concatenate([marking_runs(toxic, ordinary, times) for times in REPEATS]))
+    return np.setdiff1d(marks, marking_runs(toxic, ordinary))
+
+
+def _frequent(samples: list[bytes], size: int) -> bytes:
+    """The most frequent samples, the most frequent last, where matches cost least."""
+    return b"".join(x for x, _ in reversed(Counter(samples).most_common(500)))[-size:]
+
+
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary's content; of few samples, which zstandard refuses, their most frequent ones."""
     try:
         return zstd.train_dictionary(size, samples).as_bytes()[8:]
     except zstd.ZstdError:
-        return b"".join(x for x, _ in reversed(Counter(samples).most_common(500)))[-size:]
+        return _frequent(samples, size)
 
 
 @dataclass
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
+    repeated: bytes
     weights: np.ndarray
 
     @functools.cached_property
     def _squeeze(self):
         def of(content: bytes, level: int):
-            made = zstd.ZstdCompressionDict(content or b"\n", dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            made = zstd.ZstdCompressionDict(content + ANCHOR, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             return zstd.ZstdCompressor(level=level, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-        return [(of(self.ordinary, level), of(self.ordinary + self.toxic, level)) for level in LEVELS]
+        # Without repeated runs that dictionary changes nothing, so it isn't asked.
+        laid = [self.toxic, self.repeated] if self.repeated else [self.toxic]
+        return [[of(self.ordinary + x, level) for x in [b"", *laid]] for level in LEVELS]
 
     def gains(self, text: str | None) -> np.ndarray:
-        pieces = windows(_raw(text))
+        """Two rows, by the toxic dictionary and by that of repeated runs, with a column a window."""
+        pieces = [ANCHOR + x for x in windows(_raw(text))]
+        total = np.zeros((2, len(pieces)), np.int64)
         if not pieces:
-            return np.zeros(0, np.int64)
-        total = np.zeros(len(pieces), np.int64)
-        for pair in self._squeeze:
-            plain, toxic = (x.multi_compress_to_buffer(pieces, threads=1) for x in pair)
-            total += np.array([len(a) - len(b) for a, b in zip(plain, toxic)])
+            return total
+        for level in self._squeeze:
+            plain, *laid = ([len(x) for x in one.multi_compress_to_buffer(pieces, threads=1)] for one in level)
+            for row, sizes in zip(total, laid):
+                row += np.array(plain) - np.array(sizes)
         return total // len(LEVELS)
 
     def features(self, text: str | None) -> np.ndarray:
         gains = self.gains(text)
-        reach = np.array([(gains >= k).sum() for k in THRESHOLDS], float)
-        most = gains.max() if len(gains) else 0
-        return np.concatenate([[1.0], np.sqrt(reach / max(1, len(gains))), np.log1p(reach), [np.log1p(len(gains)), most / 10]])
+        n = gains.shape[1]
+        out = [[1.0, np.log1p(n)]]
+        for row in gains:
+            reach = np.array([(row >= k).sum() for k in THRESHOLDS], float)
+            out += [np.sqrt(reach / max(1, n)), np.log1p(reach), [row.max() / 10 if n else 0.0]]
+        return np.concatenate(out)
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
 
     def __getstate__(self):
-        return {"ordinary": self.ordinary, "toxic": self.toxic, "weights": self.weights}
+        return {"ordinary": self.ordinary, "toxic": self.toxic, "repeated": self.repeated, "weights": self.weights}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.3) -> np.ndarray:
@@ -149,14 +189,25 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text").between(1, MAX_BYTES))
     rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").collect()
     rows = sorted(((r["id"], r["label"], _raw(r["text"])) for r in rows), key=lambda r: (r[0], r[2]))
+    return fit_toxicity(rows, shares)
+
+
+def fit_toxicity(rows: list[tuple[int, int, bytes]], shares: dict[int, int]) -> ToxicityModel | None:
+    """A model from rows of id, label and text, in order of id and text; shares has how many documents have each label."""
     rows = list({(label, text): (i, label, text) for i, label, text in reversed(rows)}.values())[::-1]
     part = {(label, later): [x for n, (_, x) in enumerate((i, x) for i, k, x in rows if k == label) if (n % 5 >= 3) == later] for label in (0, 1) for later in (False, True)}
     if not part[1, False] or not part[0, False]:
         return None
-    ordinary = _dictionary([w for x in part[0, False] for w in windows(x, 96)][:200_000], ORDINARY_BYTES)
-    pieces = marking_pieces(part[1, False], part[0, False])
+    pieces, marks = marking_pieces(part[1, False], part[0, False]), repeated_runs(part[1, False], part[0, False])
+    # Ordinary text has repeated runs too; if they or nearly all of one were in the ordinary dictionary, they would give no gain.
+    near = np.union1d(marks >> np.uint64(8), marks & np.uint64((1 << 8 * (GRAM - 1)) - 1))
+    plain = [w for x in part[0, False] for w in windows(x, 96) if not len(near) or not np.isin(_grams(w, GRAM - 1), near).any()]
+    ordinary = _dictionary(plain[:200_000], ORDINARY_BYTES)
     toxic = _dictionary([b"".join(pieces[i : i + 8]) for i in range(0, len(pieces), 8)], TOXIC_BYTES)
-    model = ToxicityModel(ordinary, toxic, np.zeros(3 + 2 * len(THRESHOLDS)))
+    repeated = _frequent(_stretches(part[1, False], marks), TOXIC_BYTES // 3 - 2)
+    # zstandard surely keeps only every third place of a dictionary; in three copies each run begins at one.
+    repeated = (repeated + b"\n" * (1 + -len(repeated) % 3)) * 3 if repeated else b""
+    model = ToxicityModel(ordinary, toxic, repeated, np.zeros(4 + 4 * len(THRESHOLDS)))
     seen = [(x, k) for k in (0, 1) for x in part[k, True] or part[k, False]]
     x = np.array([model.features(t.decode("utf-8", "replace")) for t, _ in seen])
     y = np.array([k for _, k in seen], float)
