@@ -92,6 +92,44 @@ def test_scores_match_brute_force_and_sum_to_one(spark):
         assert math.isclose(r["score"], brute.score(t), rel_tol=1e-9), (t, r)
 
 
+class Whole(Brute):
+    """Brute with the pairs that occur once."""
+
+    def __init__(self, texts):
+        super().__init__(texts)
+        pairs = Counter()
+        for t in texts:
+            ts = tokens(t)
+            pairs.update(zip(["<s>", *ts], ts))
+        d2 = discounts(Counter(pairs.values()))
+        size, follow = Counter(self.words) + Counter({"<s>": len(texts)}), defaultdict(dict)
+        for (u, v), c in pairs.items():
+            follow[u][v] = c * (d2[c - 1] if c <= GT_MAX else 1.0)
+        self.pairs, self.alpha = {}, {}
+        for u, vs in follow.items():
+            mass = sum(vs.values())
+            seen = min(mass / size[u], size[u] / (size[u] + 1))
+            self.alpha[u] = (1 - seen) / (1 - sum(self.p[v] for v in vs))
+            self.pairs |= {(u, v): m / mass * seen for v, m in vs.items()}
+
+
+def test_query_keeps_pairs_that_occur_once(spark, tmp_path):
+    from trajectra.llm.queries import op4_katz_backoff
+
+    texts = corpus(120, seed=3)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 == 1}
+    train = [t for i, t in enumerate(texts) if i not in held]
+    whole, cut = Whole(train), Brute(train)
+    assert len(whole.pairs) > len(cut.pairs)
+    for u in ["<s>", *list(whole.words)[:40]]:
+        if u != "</s>":
+            assert math.isclose(sum(whole.prob(u, v) for v in whole.words) + whole.prob(u, None), 1, rel_tol=1e-9)
+    rows = op4_katz_backoff(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) and {r["doc_id"] for r in rows if r["held_out"]} == held
+    assert all(math.isclose(r["score"], whole.score(texts[r["doc_id"]]), rel_tol=1e-9) for r in rows)
+
+
 def test_lookup_without_broadcast_gives_the_same(spark, monkeypatch):
     from trajectra.llm import katz
 

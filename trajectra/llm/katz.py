@@ -1,9 +1,9 @@
 """A Katz back-off bigram model: Good-Turing discounts, exactly normalised back-off weights, partitioned tables.
 
-P(w | u) = d(c) c(u,w) / c(u) for pairs that occur twice or more in training, else a(u) P(w);
+P(w | u) = d(c) c(u,w) / c(u) for pairs that occur least times or more in training, else a(u) P(w);
 P(w) = d(c) c(w) / N for words of training, else what the discounts leave, for all unknown words together.
-a(u) makes the sum over all words, the end and the unknown word exactly 1. Pairs that occur once count in the
-Good-Turing estimate and in c(u) and are discounted to nothing.
+a(u) makes the sum over all words, the end and the unknown word exactly 1. With least = 1 the model has all
+pairs; with more, rarer ones count in the Good-Turing estimate and in c(u) and are discounted to nothing.
 
 Counting and lookup move packed blocks of hashed words, once each: a map task combines what it has, a bucket is
 a range of the hash space. The model is two tables keyed by hash. Scores add up over a text: each known word
@@ -87,32 +87,36 @@ def _add(out: list[list], *row) -> None:
         column.append(value)
 
 
-def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition: words with their counts (kind 0), pairs that occur twice or more (1), pairs that occur v times (2)."""
-    words: list[tuple] = []
-    pairs: list[tuple] = []
-    for batch in batches:
-        for kind, data in zip(batch.column("kind").to_pylist(), batch.column("payload")):
-            got = unpack(data.as_py())
-            if kind == 0:
-                words.append((got[0], unpack_counts(len(got[0]), *got[1:])))
-            else:
-                pairs.append((np.repeat(got[0], got[1].astype(np.int64)), got[2], unpack_counts(len(got[2]), *got[3:])))
-    if words:
-        key, c = (np.concatenate(x) for x in zip(*words))
-        key, at = np.unique(key, return_inverse=True)
-        c = np.bincount(at, c).astype(np.int64)
-        yield batch_of(_COUNTS, [np.zeros(len(key), np.int32), key.view(np.int64), np.zeros(len(key), np.int64), c])
-    if pairs:
-        u, v, c = (np.concatenate(x) for x in zip(*pairs))
-        pairs.clear()
-        _, first, at = np.unique(combine(u, v), return_index=True, return_inverse=True)
-        c = np.bincount(at, c).astype(np.int64)
-        u, v = u[first], v[first]
-        many = np.flatnonzero(c > 1)
-        yield batch_of(_COUNTS, [np.ones(len(many), np.int32), u[many].view(np.int64), v[many].view(np.int64), c[many]])
-        r, times = np.unique(c[c <= GT_MAX + 1], return_counts=True)
-        yield batch_of(_COUNTS, [np.full(len(r), 2, np.int32), r, r, times])
+def _total(least: int):
+    """Of one partition: words with their counts (kind 0), pairs that occur least times or more (1), pairs that occur v times (2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[tuple] = []
+        pairs: list[tuple] = []
+        for batch in batches:
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("payload")):
+                got = unpack(data.as_py())
+                if kind == 0:
+                    words.append((got[0], unpack_counts(len(got[0]), *got[1:])))
+                else:
+                    pairs.append((np.repeat(got[0], got[1].astype(np.int64)), got[2], unpack_counts(len(got[2]), *got[3:])))
+        if words:
+            key, c = (np.concatenate(x) for x in zip(*words))
+            key, at = np.unique(key, return_inverse=True)
+            c = np.bincount(at, c).astype(np.int64)
+            yield batch_of(_COUNTS, [np.zeros(len(key), np.int32), key.view(np.int64), np.zeros(len(key), np.int64), c])
+        if pairs:
+            u, v, c = (np.concatenate(x) for x in zip(*pairs))
+            pairs.clear()
+            _, first, at = np.unique(combine(u, v), return_index=True, return_inverse=True)
+            c = np.bincount(at, c).astype(np.int64)
+            u, v = u[first], v[first]
+            many = np.flatnonzero(c >= least)
+            yield batch_of(_COUNTS, [np.ones(len(many), np.int32), u[many].view(np.int64), v[many].view(np.int64), c[many]])
+            r, times = np.unique(c[c <= GT_MAX + 1], return_counts=True)
+            yield batch_of(_COUNTS, [np.full(len(r), 2, np.int32), r, r, times])
+
+    return run
 
 
 # ---- the model
@@ -144,11 +148,14 @@ class KatzModel:
         return float(np.log10(0.5 / (self.n_tokens + 0.5 * (self.n_types + 1))))
 
 
-def fit_katz(texts: DataFrame) -> KatzModel:
-    """texts has the one column text; a null text is an empty one. Without rows, every token is unknown."""
+def fit_katz(texts: DataFrame, least: int = 2) -> KatzModel:
+    """texts has the one column text; a null text is an empty one. Without rows, every token is unknown.
+
+    Pairs that occur less than least times aren't kept; with 1 all are, each with its Good-Turing discount.
+    """
     n = bucket_count(texts, "text")
     packed = map_arrow(texts, _count(n), "bucket int, kind int, block long, payload binary")
-    counts = materialise(map_arrow(packed.repartitionById(n, F.col("bucket")), _total, "kind int, u long, v long, c long"), "counts")
+    counts = materialise(map_arrow(packed.repartitionById(n, F.col("bucket")), _total(least), "kind int, u long, v long, c long"), "counts")
     words = counts.where("kind = 0").select(F.col("u").alias("w"), "c")
     total, types = words.agg(F.sum("c"), F.count(F.lit(1))).first()
     total, n_texts = int(total or 0), 0
@@ -156,7 +163,7 @@ def fit_katz(texts: DataFrame) -> KatzModel:
         n_texts = int(ends["c"])
     of_words = {r["c"]: r["count"] for r in words.where(F.col("c") <= GT_MAX + 1).groupBy("c").count().collect()}
     of_pairs = {r["u"]: r["n"] for r in counts.where("kind = 2").groupBy("u").agg(F.sum("c").alias("n")).collect()}
-    d1, d2 = discounts(of_words), discounts(of_pairs, least=2)
+    d1, d2 = discounts(of_words), discounts(of_pairs, least)
     low = words.where(F.col("c") <= GT_MAX).groupBy("c").count().collect()
     taken = sum(r["count"] * r["c"] * (1 - d1[r["c"] - 1]) for r in low)
     unknown = min(max(taken / max(total, 1), 1 / (total + 1)), 0.5) if total else 1.0
