@@ -57,12 +57,14 @@ def balanced_parts(lengths: list[int], k: int, equal_size: bool = True, by: Call
 
 
 def deal(df: DataFrame, k: int, batch: str = "batch_id", length: str = "length", equal_size: bool = True) -> DataFrame:
-    """batch, row_id, part: each batch is dealt by itself in one task, so batches must be of bounded size."""
+    """batch, row_id, part: each batch is dealt by itself in one task, so batches must be of bounded size. Without
+    equal_size a batch of fewer than k rows is dealt to as many parts as it has rows."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row_id").reset_index(drop=True)
         part = pd.Series(0, index=rows.index)
-        for p, items in enumerate(balanced_parts([int(x) for x in rows[length]], k, equal_size)):
+        parts = k if equal_size else min(k, len(rows))
+        for p, items in enumerate(balanced_parts([int(x) for x in rows[length]], parts, equal_size)):
             part[items] = p
         return pd.DataFrame({batch: rows[batch], "row_id": rows["row_id"], "part": part})
 

@@ -60,10 +60,13 @@ def _documents(spark, d):
 
 
 def _balance(spark, d):
-    docs = _documents(spark, d)
-    full = docs.join(docs.groupBy("batch_id").count().where("count = 256"), "batch_id", "left_semi")
-    parts = partition.deal(full, 8)
-    sums = parts.join(full, ["batch_id", "row_id"]).groupBy("batch_id", "part").agg(F.sum("length").alias("chars"), F.count(F.lit(1)).alias("rows"))
+    """All documents, numbered densely, in batches of 256. The last may be short: it is dealt to at most as many parts as it has rows."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("length"))
+    docs = batch.batches(batch.with_row_id(docs, "doc_id", "length"), 256, drop_last=False)
+    short = F.col("batch_id") == F.floor(size_of(docs) / 256)
+    last = docs.where(short)
+    parts = partition.deal(docs.where(~short), 8).unionByName(partition.deal(last, 8, equal_size=False))
+    sums = parts.join(docs, ["batch_id", "row_id"]).groupBy("batch_id", "part").agg(F.sum("length").alias("chars"), F.count(F.lit(1)).alias("rows"))
     return sums
 
 
