@@ -80,6 +80,15 @@ def _coefficients(spark, d):
     return spark.read.parquet(f"{at}/out").groupBy("run").agg(F.count(F.lit(1)).alias("updates"))
 
 
+def _all_coefficients(spark, d):
+    """The accuracy controller over all events, a run a user and a step an event, with its values."""
+    at = _folder(spark)
+    rows = _stream(spark, d).select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("step"), F.coalesce(F.col("event_type") == "purchase", F.lit(False)).cast("double").alias("acc"))
+    query = controlled_coefficients(rows, 0.001, 0.1, 0.05).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rounded(spark.read.parquet(f"{at}/out"), "run", "step", "used", "next")
+
+
 QUERIES = {
     "q_read_split": lambda spark, d: prompts.read_table(spark, f"{d}/nation.parquet").select("n_nationkey", "n_name"),
     "q_validation_sets": _validation_sets,
@@ -91,6 +100,7 @@ QUERIES = {
     "q_keep_rows": lambda spark, d: registry.keep_rows(trajectories(spark, d).select("row_id", "len"), lambda x: x > 100, "len"),
     "q_stream_accumulate": _accumulated,
     "q_stream_coefficients": _coefficients,
+    "q_stream_coefficients_all": _all_coefficients,
     "q_named_rule": lambda spark, d: rounded(registry.load_function("answer")(trajectories(spark, d)), "row_id", "overall"),
     "q_make_batch": lambda spark, d: curriculum.make_batch(trajectories(spark, d), 10, 0.05, 0.6).groupBy("uid").count(),
 }
@@ -108,6 +118,7 @@ SQL = {
     "q_keep_rows": f"WITH {TRAJ} SELECT row_id, len FROM traj WHERE len > 100",
     "q_stream_accumulate": f"WITH {TRAJ}, {_BAND}, turn AS (SELECT uid FROM kept ORDER BY uid LIMIT 30) SELECT row_id, uid FROM traj WHERE uid IN (SELECT uid FROM turn)",
     "q_stream_coefficients": "SELECT 'run' AS run, 80::BIGINT AS updates",
+    "q_stream_coefficients_all": "WITH c AS (SELECT user_id, event_id, 0.001::DOUBLE + 0.099::DOUBLE * (1.0 - CAST(coalesce(event_type = 'purchase', false) AS DOUBLE)) AS after FROM events) SELECT user_id::VARCHAR AS run, event_id AS step, round(coalesce(lag(after) OVER (PARTITION BY user_id ORDER BY event_id), 0.05::DOUBLE), 6) AS used, round(after, 6) AS next FROM c",
     "q_named_rule": f"WITH {TRAJ} SELECT row_id, round(acc + 0.1 * fmt, 6) AS overall FROM traj",
     "q_make_batch": f"WITH {TRAJ}, {_BAND}, turn AS (SELECT uid FROM kept ORDER BY uid LIMIT 10) SELECT uid, count(*) AS count FROM traj WHERE uid IN (SELECT uid FROM turn) GROUP BY uid",
 }
