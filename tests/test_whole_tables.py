@@ -10,3 +10,11 @@ def test_balance_deals_every_document(spark, tmp_path):
     got = catalog.queries()["q_balance"](spark, str(tmp_path)).collect()
     assert sum(r["rows"] for r in got) == 515 and sum(r["chars"] for r in got) == sum(n for _, n in rows)
     assert sorted((r["batch_id"], r["rows"]) for r in got) == [(b, 32) for b in (0, 1) for _ in range(8)] + [(2, 1)] * 3
+
+
+def test_fold_pads_a_table_that_does_not_divide(spark, tmp_path):
+    rows = [(i * 5, f"c{i}", 0.0) for i in range(123)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["row_id"]: r["keys"].split(",") for r in catalog.queries()["q_fold_all"](spark, str(tmp_path)).collect()}
+    keys = [str(r[0]) for r in rows]
+    assert [k for i in range(10) for k in got[i]] == keys + keys[:7] and {len(k) for k in got.values()} == {13}

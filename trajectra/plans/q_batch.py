@@ -31,6 +31,12 @@ def _fold(df):
     return out.select("row_id", F.array_join(F.transform("c_custkey", lambda x: x.cast("string")), ",").alias("keys"))
 
 
+def _fold_all(df):
+    """All rows, padded to a multiple of the parts."""
+    out = batch.fold(batch.pad_to_multiple(df, 10), 10, ["c_custkey"])
+    return out.select("row_id", F.array_join(F.transform("c_custkey", lambda x: x.cast("string")), ",").alias("keys"))
+
+
 def _union(spark, d):
     orders = batch.with_row_id(table(spark, d, "orders"), "o_orderkey")
     return batch.union_columns(orders.select("row_id", "o_orderkey", "o_totalprice"), orders.select("row_id", "o_orderkey", "o_custkey"))
@@ -83,6 +89,7 @@ QUERIES = {
     "q_rename": _on(lambda c: batch.rename_columns(c, ["c_name"], ["name"]).select("row_id", "name")),
     "q_prompt_uid": _on(lambda c: c.select("c_custkey", batch.prompt_uid("c_name").alias("uid"))),
     "q_fold": _on(_fold),
+    "q_fold_all": _on(_fold_all),
     "q_take": _on(lambda c: batch.take(c, [5, 3, 3, 0, 99]).select("row_id", "c_custkey")),
     "q_mask": _on(lambda c: batch.where_mask(c, F.col("c_acctbal") > 0).select("row_id", "c_custkey")),
     "q_slice": _on(lambda c: batch.slice_rows(c, -100, -3, 7).select("row_id", "c_custkey")),
@@ -119,6 +126,7 @@ SQL = {
     "q_rename": f"WITH {_C} SELECT row_id, c_name AS name FROM c",
     "q_prompt_uid": "SELECT c_custkey, sha256(c_name) AS uid FROM customer",
     "q_fold": f"WITH {_C} SELECT row_id // 12 AS row_id, string_agg(c_custkey::VARCHAR, ',' ORDER BY row_id) AS keys FROM c WHERE row_id < 120 GROUP BY 1",
+    "q_fold_all": f"WITH {_C}, m AS (SELECT (10 - n % 10) % 10 AS p, (n + 9) // 10 AS size FROM n), a AS (SELECT row_id, c_custkey FROM c UNION ALL SELECT row_id + n, c_custkey FROM c, n, m WHERE row_id < p) SELECT row_id // size AS row_id, string_agg(c_custkey::VARCHAR, ',' ORDER BY row_id) AS keys FROM a, m GROUP BY 1",
     "q_take": f"WITH {_C}, i AS (SELECT unnest([5, 3, 3, 0, 99]) AS j, unnest([0, 1, 2, 3, 4]) AS k) SELECT k::BIGINT AS row_id, c_custkey FROM i JOIN c ON c.row_id = j",
     "q_mask": "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, c_custkey FROM customer WHERE c_acctbal > 0",
     "q_slice": f"WITH {_C} SELECT (row_id - (n - 100)) // 7 AS row_id, c_custkey FROM c, n WHERE row_id >= n - 100 AND row_id < n - 3 AND (row_id - (n - 100)) % 7 = 0",
