@@ -32,10 +32,12 @@ def _pairs_only(n: Column, x: Column) -> Column:
 
 def whiten(df: DataFrame, column: str, eps: float = 1e-8) -> DataFrame:
     """Values less their mean, over the root of their unbiased variance, of all tokens of the batch."""
-    flat = df.select(F.explode(column).alias("x"))
-    mean = flat.agg(F.sum("x") / (F.count("x") + F.lit(eps))).scalar()
-    variance = flat.agg(F.sum((F.col("x") - mean) * (F.col("x") - mean)) / (F.count("x") + F.lit(eps))).scalar()
-    n = flat.agg(F.count("x").cast("double")).scalar()
+    x = F.col("x")
+    row = df.select(F.explode(column).alias("x")).agg(F.struct(F.sum(x).alias("s"), F.count(x).cast("double").alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v")).alias("all")).scalar()
+    n, m = row["n"], row["m"]
+    mean = row["s"] / (n + F.lit(eps))
+    # Squares about the mean as it is defined here, from those about the plain one.
+    variance = n * (row["v"] + (m - mean) * (m - mean)) / (n + F.lit(eps))
     unbiased = F.when(n > 1, variance * n / (n - 1)).otherwise(variance)
     df = df.withColumns({"__mean": mean, "__scale": F.lit(1.0) / F.sqrt(unbiased + F.lit(eps))})
     return df.withColumn(column, F.transform(column, lambda x: (x - F.col("__mean")) * F.col("__scale"))).drop("__mean", "__scale")

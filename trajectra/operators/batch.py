@@ -2,20 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows of one range of an order; ranges at most, beyond which they hold more rows; sampled keys for each bound.
+RANGE_ROWS, MOST_RANGES, OVERSAMPLE = 50_000, 1 << 14, 16
+
+
+def _ranged(df: DataFrame, order: tuple[str | Column, ...]) -> DataFrame:
+    """df with __key and __range, which rises with the order.
+
+    The bounds between ranges are sampled keys that are collected once, here, so whatever plan the result becomes
+    part of deals a row to the same range. Rows whose order is equal are told apart by a hash of their values, so
+    that a frequent key isn't one range.
+    """
+    named = [F.col(c) if isinstance(c, str) else c for c in order]
+    own = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = df.withColumn("__key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(named)], F.xxhash64(*own or [F.lit(0)]).alias("tie")))
+    n = df.count()
+    ranges = min(MOST_RANGES, -(-n // RANGE_ROWS))
+    if ranges <= 1:
+        return keyed.withColumn("__range", F.lit(0))
+    # A little more than is wanted, so that hardly ever fewer keys than bounds come.
+    share = min(1.0, 1.5 * OVERSAMPLE * ranges / n)
+    keys = [r[0] for r in keyed.select("__key").sample(share, 17).orderBy("__key").collect()]
+    bounds = [keys[i * len(keys) // ranges] for i in range(1, ranges) if keys]
+    kind = keyed.schema["__key"].dataType
+    listed = df.sparkSession.createDataFrame([(bounds,)], f"b array<{kind.simpleString()}>").scalar()
+    keyed = keyed.withColumn("__bounds", listed)
+    strides = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    found = F.aggregate(strides, F.lit(0), lambda at, s: F.when(F.get("__bounds", at + s - 1) <= F.col("__key"), at + s).otherwise(at))
+    return keyed.withColumn("__range", found).drop("__bounds")
+
+
+def cumulative(df: DataFrame, *order: str | Column, value: Column | None = None, name: str = "total") -> DataFrame:
+    """df with name: the sum of value (of 1, without one) over the rows up to and with each, in ascending order, nulls
+    first. No task sorts all: ranges of the order are summed apart and shifted by the sums of the ranges before."""
+    keyed = _ranged(df, order).withColumn("__x", F.lit(1).cast("long") if value is None else value)
+    sums = keyed.groupBy("__range").agg(F.sum("__x").alias("__s"))
+    # At most MOST_RANGES rows.
+    before = sums.select(F.col("__range").alias("__r"), (F.sum("__s").over(Window.orderBy("__range")) - F.col("__s")).alias("__before"))
+    turn = [F.col(f"__key.k{i}") for i in range(len(order))]
+    inside = Window.partitionBy("__range").orderBy(*turn, F.col("__key.tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = keyed.withColumn("__in", F.sum("__x").over(inside)).join(F.broadcast(before), F.col("__range") == F.col("__r"))
+    return out.withColumn(name, F.col("__before") + F.col("__in")).drop("__range", "__r", "__before", "__in", "__x", "__key")
+
 
 def with_row_id(df: DataFrame, *order: str | Column, name: str = "row_id") -> DataFrame:
-    """df numbered from 0 in the given order, without one task that sorts all: ranges of the order are numbered apart
-    and shifted by the sizes of the ranges before."""
-    part = Window.partitionBy("__range")
-    ranged = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    ranged = ranged.withColumn("__n", F.row_number().over(part.orderBy(*order)))
-    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
-    before = F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")
-    offsets = sizes.select("__range", before.alias("__before"))
-    return ranged.join(offsets, "__range").withColumn(name, (F.col("__before") + F.col("__n") - 1).cast("long")).drop("__range", "__n", "__before")
+    """df numbered from 0 in the given order, ascending, nulls first; rows that are equal in it are ordered by a hash of their values."""
+    out = cumulative(df, *order, name="__to")
+    return out.withColumn(name, (F.col("__to") - 1).cast("long")).drop("__to")
+
+
+def from_columns(spark: SparkSession, columns: dict[str, Sequence], types: dict[str, str] | None = None) -> DataFrame:
+    """A batch of columns that the driver holds: lists, tuples or numpy arrays (one of two dimensions or more gives
+    arrays), all of one length. Other kinds of value and columns of different lengths raise."""
+    if wrong := [k for k, v in columns.items() if not isinstance(v, (list, tuple, np.ndarray)) or getattr(v, "ndim", 1) == 0]:
+        raise TypeError(f"a list, tuple or array is needed: {', '.join(wrong)}")
+    sizes = {k: len(v) for k, v in columns.items()}
+    if len(set(sizes.values())) > 1:
+        raise ValueError(f"columns of different lengths: {sizes}")
+    plain = [v.tolist() if isinstance(v, np.ndarray) else list(v) for v in columns.values()]
+    rows = [(i, *values) for i, values in enumerate(zip(*plain))]
+    if types and set(columns) <= set(types):
+        return spark.createDataFrame(rows, ", ".join(["row_id bigint", *[f"`{k}` {types[k]}" for k in columns]]))
+    if not rows:
+        raise ValueError("an empty batch needs the types of its columns")
+    made = spark.createDataFrame(rows, ["row_id", *columns])
+    return made.withColumns({k: F.col(k).cast(t) for k, t in (types or {}).items() if k in columns})
+
+
+def checked_lengths(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df, whose rows each must have arrays of one length in all of columns; a row that hasn't raises when it is read."""
+    same = F.lit(True)
+    for c in columns[1:]:
+        same = same & F.size(c).eqNullSafe(F.size(columns[0]))
+    told = F.concat_ws(", ", *[F.concat(F.lit(f"{c} "), F.size(c).cast("string")) for c in columns])
+    return df.withColumn("row_id", F.when(same, F.col("row_id")).otherwise(F.raise_error(F.concat(F.lit("arrays of different lengths: "), told))))
+
+
+def merge_records(*records: dict) -> dict:
+    """One record of all; a key of several must have one value."""
+    out: dict = {}
+    for record in records:
+        for key, value in record.items():
+            if key in out and out[key] != value:
+                raise ValueError(f"{key} has different values: {out[key]!r} and {value!r}")
+            out[key] = value
+    return out
 
 
 def size_of(df: DataFrame) -> Column:
@@ -60,10 +137,11 @@ def fold(df: DataFrame, parts: int, columns: list[str]) -> DataFrame:
 
 
 def take(df: DataFrame, index: list[int]) -> DataFrame:
-    """The rows at index, in its order, as often as it names them; an empty index gives no rows."""
-    spark = df.sparkSession
-    wanted = spark.createDataFrame(list(enumerate(index)), "new_id long, row_id long")
-    return df.join(F.broadcast(wanted), "row_id").drop("row_id").withColumnRenamed("new_id", "row_id")
+    """The rows at index, in its order, as often as it names them; negative places count from the end, places that there aren't give no rows."""
+    wanted = df.sparkSession.createDataFrame(list(enumerate(index)), "new_id long, __at long")
+    if any(i < 0 for i in index):
+        wanted = wanted.withColumn("__at", F.when(F.col("__at") < 0, F.col("__at") + size_of(df)).otherwise(F.col("__at")))
+    return df.join(wanted, F.col("row_id") == F.col("__at")).drop("row_id", "__at").withColumnRenamed("new_id", "row_id")
 
 
 def where_mask(df: DataFrame, mask: Column) -> DataFrame:
@@ -74,13 +152,43 @@ def renumber(df: DataFrame) -> DataFrame:
     return with_row_id(df.withColumnRenamed("row_id", "__old"), "__old").drop("__old")
 
 
-def slice_rows(df: DataFrame, start: int | None, stop: int | None, step: int = 1) -> DataFrame:
-    """Rows start:stop:step as Python counts them, negative bounds from the end; step is positive."""
+def slice_rows(df: DataFrame, start: int | None, stop: int | None, step: int | None = None) -> DataFrame:
+    """Rows start:stop:step as Python counts them: negative bounds from the end, and backwards with a negative step."""
+    step = 1 if step is None else step
+    if step == 0:
+        raise ValueError("a slice's step is not 0")
     n = size_of(df)
-    bound = lambda x, d: d if x is None else F.lit(x) if x >= 0 else F.greatest(n + F.lit(x), F.lit(0))
-    low, high = bound(start, F.lit(0)), bound(stop, n)
-    kept = df.where((F.col("row_id") >= low) & (F.col("row_id") < high) & ((F.col("row_id") - low) % step == 0))
-    return kept.withColumn("row_id", F.floor((F.col("row_id") - low) / step).cast("long"))
+    least, most = (F.lit(0), n) if step > 0 else (F.lit(-1), n - 1)
+
+    def bound(x: int | None, default: Column) -> Column:
+        if x is None:
+            return default
+        return F.least(F.lit(x), most) if x >= 0 else F.greatest(n + F.lit(x), least)
+
+    first, last = bound(start, least if step > 0 else most), bound(stop, most if step > 0 else least)
+    far = (F.col("row_id") - first) * (1 if step > 0 else -1)
+    inside = F.col("row_id") < last if step > 0 else F.col("row_id") > last
+    kept = df.where((far >= 0) & inside & (far % abs(step) == 0))
+    return kept.withColumn("row_id", F.floor(far / abs(step)).cast("long"))
+
+
+def get_rows(df: DataFrame, item: int | slice | list | np.ndarray | Column) -> DataFrame:
+    """One row (which there must be), a slice, the rows of a list of places or of flags, or those where a condition holds."""
+    if isinstance(item, Column):
+        return where_mask(df, item)
+    if isinstance(item, slice):
+        return slice_rows(df, item.start, item.stop, item.step)
+    if isinstance(item, (int, np.integer)) and not isinstance(item, bool):
+        found = take(df, [int(item)])
+        if found.isEmpty():
+            raise IndexError(f"no row {item}")
+        return found
+    if isinstance(item, (list, np.ndarray)):
+        listed = np.asarray(item).tolist()
+        if listed and all(isinstance(x, bool) for x in listed):
+            listed = [i for i, x in enumerate(listed) if x]
+        return take(df, listed)
+    raise TypeError(f"rows can't be told by {type(item).__name__}")
 
 
 def union_columns(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -142,11 +250,16 @@ def batches(df: DataFrame, size: int, drop_last: bool) -> DataFrame:
     return out.where(F.col("batch_id") < F.floor(size_of(df) / size)) if drop_last else out
 
 
+def _drawn(seed: int, *columns: str) -> Column:
+    """A hash of columns and seed, by which rows are put in an order that seems random."""
+    return F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns], F.lit(str(seed))))
+
+
 def epochs(df: DataFrame, n: int, size: int, seed: int) -> DataFrame:
     """n passes in mini-batches of size, each pass in its own order."""
     many = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    order = Window.partitionBy("epoch").orderBy(F.xxhash64("row_id", "epoch", F.lit(seed)), "row_id")
-    return many.withColumn("batch_id", F.floor((F.row_number().over(order) - 1) / size).cast("long"))
+    placed = with_row_id(many.withColumn("__h", _drawn(seed, "row_id", "epoch")), "epoch", "__h", "row_id", name="__at")
+    return placed.withColumn("batch_id", F.floor((F.col("__at") - F.col("epoch") * size_of(df)) / size).cast("long")).drop("__h", "__at")
 
 
 def limit_rows(df: DataFrame, n: int) -> DataFrame:
@@ -155,12 +268,12 @@ def limit_rows(df: DataFrame, n: int) -> DataFrame:
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     """df in an order that depends on key and seed only."""
-    return with_row_id(df.withColumn("__h", F.xxhash64(key, F.lit(seed))), "__h", key).drop("__h")
+    return with_row_id(df.withColumn("__h", _drawn(seed, key)), "__h", key).drop("__h")
 
 
 def sample_rows(df: DataFrame, text: str, n: int, seed: int = 42) -> DataFrame:
     """n rows by a seeded hash of a text column."""
-    return df.orderBy(F.xxhash64(text, F.lit(seed)), text, "row_id").limit(n)
+    return df.orderBy(_drawn(seed, text), text, "row_id").limit(n)
 
 
 def reorder(df: DataFrame, mapping: DataFrame) -> DataFrame:

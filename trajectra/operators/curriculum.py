@@ -38,7 +38,7 @@ def perception_ceiling(df: DataFrame, high: float = 1.0, column: str = "h_perc")
 def first_groups(df: DataFrame, n: int, order: str = "row_id", group: str = "uid") -> DataFrame:
     """The first n groups by their first row; the rest is dropped. Groups, not rows, are ranked, by a top-n."""
     turn = df.groupBy(group).agg(F.min(order).alias("__first")).orderBy("__first", group).limit(n)
-    return df.join(F.broadcast(turn.select(group)), group, "left_semi")
+    return df.join(turn.select(group), group, "left_semi")
 
 def make_batch(df: DataFrame, target: int, low: float, high: float, group: str = "uid", acc: str = "acc", order: str = "row_id") -> DataFrame:
     """What accumulation of mini-batches ends with: the first target groups of those in the band; fewer raise."""

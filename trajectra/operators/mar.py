@@ -40,3 +40,9 @@ def ratios(samples: DataFrame, attn: DataFrame, mode: str, layers: int, heads: i
         return samples.select("sample", F.lit(0.0).alias("mar"))
     found = {"mid": lambda: middle_layers(attn, layers, heads, tokens), "full_topk": lambda: top_tokens(attn, tokens), "vsh": lambda: selected_heads(attn, list(pairs), tokens)}[mode]()
     return samples.select("sample").join(found, "sample", "left").select("sample", F.coalesce("mar", F.lit(0.0)).alias("mar"))
+
+
+def summary(ratios_: DataFrame) -> DataFrame:
+    """One row: how many ratios there are, how many are above 0, their mean and the largest."""
+    m = F.col("mar")
+    return ratios_.agg(F.count(F.lit(1)).alias("total"), F.count_if(m > 0).alias("nonzero"), F.avg(m).alias("mean"), F.max(m).alias("max"))

@@ -6,7 +6,7 @@ import heapq
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batch import pad_to_multiple, size_of
@@ -56,7 +56,7 @@ def balanced_parts(lengths: list[int], k: int, equal_size: bool = True, by: Call
     return parts
 
 
-def deal(df: DataFrame, k: int, batch: str = "batch_id", length: str = "length", equal_size: bool = True) -> DataFrame:
+def deal(df: DataFrame, k: int, batch: str = "batch_id", length: str = "length", equal_size: bool = True, by: Callable = differencing) -> DataFrame:
     """batch, row_id, part: each batch is dealt by itself in one task, so batches must be of bounded size. Without
     equal_size a batch of fewer than k rows is dealt to as many parts as it has rows."""
 
@@ -64,7 +64,7 @@ def deal(df: DataFrame, k: int, batch: str = "batch_id", length: str = "length",
         rows = rows.sort_values("row_id").reset_index(drop=True)
         part = pd.Series(0, index=rows.index)
         parts = k if equal_size else min(k, len(rows))
-        for p, items in enumerate(balanced_parts([int(x) for x in rows[length]], parts, equal_size)):
+        for p, items in enumerate(balanced_parts([int(x) for x in rows[length]], parts, equal_size, by)):
             part[items] = p
         return pd.DataFrame({batch: rows[batch], "row_id": rows["row_id"], "part": part})
 
@@ -89,19 +89,15 @@ def micro_batches(df: DataFrame, max_tokens: int, batch: str = "batch_id", lengt
     return df.select(batch, "row_id", length).groupBy(batch).applyInPandas(run, f"{batch} long, row_id long, part long, turn long")
 
 
-def imbalance(df: DataFrame, k: int, n: Column, length: str = "length", part: str = "part") -> DataFrame:
-    """One row: least, most and difference of the sums of k contiguous parts, least and most of the dealt parts, and the mean."""
-    before = df.groupBy(F.floor(F.col("row_id") / (n / k)).alias("p")).agg(F.sum(length).alias("s"))
-    after = df.groupBy(F.col(part).alias("p")).agg(F.sum(length).alias("s"))
-    stat = lambda x, f: x.agg(f("s")).scalar()
-    return df.sparkSession.range(1).select(
-        stat(before, F.min).alias("min"),
-        stat(before, F.max).alias("max"),
-        (stat(before, F.max) - stat(before, F.min)).alias("minmax_diff"),
-        stat(after, F.min).alias("balanced_min"),
-        stat(after, F.max).alias("balanced_max"),
-        (df.agg(F.sum(length)).scalar() / k).alias("mean"),
-    )
+def imbalance(df: DataFrame, k: int, batch: str = "batch_id", length: str = "length", part: str = "part") -> DataFrame:
+    """Of each batch: least, most and difference of the sums of k contiguous parts (a rest goes to the last), least and most
+    of the dealt parts, and the mean of a part."""
+    w = Window.partitionBy(batch)
+    rows, turn = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy("row_id")) - 1
+    before = df.withColumn("__p", F.least(F.floor(turn / F.greatest(F.floor(rows / k), F.lit(1))), F.lit(k - 1)))
+    before = before.groupBy(batch, "__p").agg(F.sum(length).alias("s")).groupBy(batch).agg(F.min("s").alias("min"), F.max("s").alias("max"), (F.sum("s") / k).alias("mean"))
+    after = df.groupBy(batch, part).agg(F.sum(length).alias("s")).groupBy(batch).agg(F.min("s").alias("balanced_min"), F.max("s").alias("balanced_max"))
+    return before.join(after, batch).withColumn("minmax_diff", F.col("max") - F.col("min"))
 
 
 def shard(df: DataFrame, world: int, rank: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip
+from .batch import cumulative
 
 GROUP = 8
 #: Fixed value: response lengths are set against this many characters in the baseline and single-rollout rules.
@@ -79,15 +80,25 @@ def batch_reward(df: DataFrame, format_weight: float = 0.1, len_weight: float =
 
 
 def rank_normalised(values: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Average ranks scaled to 0..1, all 0.5 if the values are all equal. Counts of the different values are ranked,
-    and only these go through one window."""
+    """Average ranks scaled to 0..1, all 0.5 if the values are all equal. Counts of the different values are added up
+    by ranges, so no task sees all of them."""
     counts = values.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.orderBy(value)
-    n = F.sum("__c").over(Window.partitionBy())
-    below = F.sum("__c").over(w) - F.col("__c")
-    different = F.count(F.lit(1)).over(Window.partitionBy())
-    ranked = counts.withColumn(out, F.when(different == 1, 0.5).otherwise((below + (F.col("__c") - 1) / 2.0) / (n - 1))).drop("__c")
-    return values.join(ranked, value)
+    all_ = counts.agg(F.struct(F.sum("__c").alias("n"), F.count(F.lit(1)).alias("different")).alias("s")).scalar()
+    ranked = cumulative(counts, value, value=F.col("__c"), name="__upto")
+    below = F.col("__upto") - F.col("__c")
+    ranked = ranked.withColumn(out, F.when(all_["different"] == 1, 0.5).otherwise((below + (F.col("__c") - 1) / 2.0) / (all_["n"] - 1)))
+    return values.join(ranked.select(value, out), value)
+
+
+def percentile(df: DataFrame, column: str, share: float) -> Column:
+    """The share's percentile of a column, between its neighbours in proportion, as a scalar subquery: the neighbours
+    are found by running counts of the different values."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__c"))
+    n = counts.agg(F.sum("__c")).scalar()
+    at = F.lit(share) * (n - 1)
+    upto = cumulative(counts, column, value=F.col("__c"), name="__upto")
+    ends = upto.agg(F.struct(*[F.min(F.when(F.col("__upto") > f(at), F.col(column))).alias(k) for k, f in (("low", F.floor), ("high", F.ceil))]).alias("s")).scalar()
+    return ends["low"] + (ends["high"] - ends["low"]) * (at - F.floor(at))
 
 
 def thinking_reward(df: DataFrame, size: int = GROUP) -> DataFrame:
@@ -97,25 +108,16 @@ def thinking_reward(df: DataFrame, size: int = GROUP) -> DataFrame:
     df = df.withColumn("g", position_group(size))
     groups = df.groupBy("g").agg((F.sum("acc") / size).alias("pass"), F.coalesce(F.min_by("complexity", "row_id"), F.lit(0.5)).alias("first"))
     groups = rank_normalised(groups, "g", "first", "norm").withColumn("difficulty", (1.0 - F.col("pass")) * F.col("norm"))
-    hard = groups.agg(F.expr("percentile(difficulty, 0.8)")).scalar()
+    hard = percentile(groups, "difficulty", 0.8)
     all_ = _batch(df, avg=F.avg("len"), n=F.count(F.lit(1)))
     df = df.join(groups.select("g", "difficulty"), "g").withColumn("hard", F.col("difficulty") > hard)
     relative = F.coalesce(F.try_divide(F.col("len").cast("double"), all_["avg"]), F.lit(0.0))
     short, long_ = ~F.col("hard") & (F.col("acc") == 1), F.col("hard") & (F.col("acc") == 0)
-    df = _turns(df.withColumn("__short", short), "__short", "row_id", "__turn")
+    df = cumulative(df.withColumn("__short", short), "row_id", value=F.col("__short").cast("long"), name="__turn")
     gain = F.when(short & (F.col("__turn") <= F.ceil(0.8 * all_["n"])), 1.0 - relative).when(long_, F.least(relative - 1.0, F.lit(1.0))).otherwise(F.lit(0.0))
     return df.withColumns({"len_score": gain, "overall": F.col("acc") + 0.5 * F.col("fmt") + 0.5 * gain}).drop("__short", "__turn")
 
 
-def _turns(df: DataFrame, flag: str, order: str, out: str, cell: int = 4096) -> DataFrame:
-    """How many flagged rows there are up to each, by order: counts of cells of the dense order are summed, then each cell's rows."""
-    df = df.withColumn("__cell", F.floor(F.col(order) / cell))
-    cells = df.groupBy("__cell").agg(F.sum(F.col(flag).cast("long")).alias("__k"))
-    cells = cells.select("__cell", (F.sum("__k").over(Window.orderBy("__cell")) - F.col("__k")).alias("__before"))
-    inside = F.sum(F.col(flag).cast("long")).over(Window.partitionBy("__cell").orderBy(order))
-    return df.withColumn("__in", inside).join(cells, "__cell").withColumn(out, F.col("__in") + F.col("__before")).drop("__in", "__before", "__cell")
-
-
 def token_rewards(df: DataFrame, score: str, length: str, out: str = "token_level_scores") -> DataFrame:
     """The score at a response's last token, 0 at the others; no tokens, no values."""
     n = F.col(length)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rewards
+from ..operators.batch import size_of
 
 REWARDS: dict[str, Callable[..., DataFrame]] = {
     "full": rewards.grouped_reward,
@@ -61,13 +62,22 @@ def score_batches(df: DataFrame, rule: Callable[[list[dict]], list[dict]], colum
 
 
 def on_chunks(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, parts: int) -> DataFrame:
-    """function on contiguous chunks of the batch, results together; a chunk arrives in Arrow batches."""
+    """function on each of parts contiguous chunks of the batch, whole and in order of row_id; results together. A chunk is one task."""
+    part = F.floor(F.col("row_id") * parts / size_of(df))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield function(rows)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return function(rows.drop(columns="__part").sort_values("row_id", ignore_index=True))
+
+    return df.withColumn("__part", part).groupBy("__part").applyInPandas(run, schema)
+
+
+def on_given_chunks(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, part: str) -> DataFrame:
+    """function on chunks that the caller has dealt, told by column part; what it returns for each, without order."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return function(rows.sort_values("row_id", ignore_index=True))
 
-    return df.repartitionByRange(parts, "row_id").sortWithinPartitions("row_id").mapInPandas(run, schema)
+    return df.groupBy(part).applyInPandas(run, schema)
 
 
 def keep_rows(df: DataFrame, predicate: Callable[[pd.Series], pd.Series], column: str) -> DataFrame:

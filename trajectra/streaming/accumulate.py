@@ -6,6 +6,7 @@ is replayed writes what it wrote before.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -48,10 +49,14 @@ class Accumulator:
             self.done = True
             return
         band = scheduled(self.points, batch / self.steps, {"filter_low": self.low, "filter_high": self.high})
-        kept = group_band(df, band["filter_low"], band["filter_high"])
-        room = kept.select("uid").distinct().orderBy("uid").limit(self.target - have)
-        rows = kept.join(F.broadcast(room), "uid", "left_semi").withColumn("batch", F.lit(batch).cast("long"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.out)
+        df.persist()  # read for the groups' means, for the room and for the rows
+        try:
+            kept = group_band(df, band["filter_low"], band["filter_high"])
+            room = kept.select("uid").distinct().orderBy("uid").limit(self.target - have)
+            rows = kept.join(room, "uid", "left_semi").withColumn("batch", F.lit(batch).cast("long"))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.out)
+        finally:
+            df.unpersist()
 
 
 def accumulate(source: DataFrame, sink: Accumulator, checkpoint: str) -> None:
@@ -59,18 +64,20 @@ def accumulate(source: DataFrame, sink: Accumulator, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def controlled_coefficients(stream: DataFrame, low: float, high: float, start: float) -> DataFrame:
-    """run, step, used, next: the accuracy controller as state of a run. Input: run, step, acc (mean of the step)."""
+def controlled_coefficients(stream: DataFrame, controller) -> DataFrame:
+    """run, step, used, next: a controller (operators.kl) as state of a run. Input: run, step, and the step's kl, n (its
+    steps' worth) and acc; a null acc is none."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        beta = state.get[0] if state.exists else start
-        rows = pd.concat(list(batches)).sort_values("step")
+        ctl = copy.copy(controller)
+        if state.exists:
+            ctl.beta = state.get[0]
         out = []
-        for r in rows.itertuples():
-            after = beta if pd.isna(r.acc) else low + (high - low) * (1.0 - r.acc)
-            out.append((key[0], r.step, beta, after))
-            beta = after
-        state.update((beta,))
+        for r in pd.concat(list(batches)).sort_values("step").itertuples():
+            used = ctl.beta
+            ctl.update(r.kl, r.n, None if pd.isna(r.acc) else r.acc)
+            out.append((key[0], r.step, used, ctl.beta))
+        state.update((ctl.beta,))
         yield pd.DataFrame(out, columns=["run", "step", "used", "next"])
 
     return stream.groupBy("run").applyInPandasWithState(update, "run string, step long, used double, next double", "beta double", "append", GroupStateTimeout.NoTimeout)
