@@ -196,10 +196,13 @@ def test_arrays(spark):
 
 
 def test_grid_positions():
-    got = scalar.grid_positions([5, 9, 9, 9, 9, 5], [(1, 4, 4)], 9).tolist()
+    got = scalar.grid_positions([5, 9, 9, 9, 9, 5], [(1, 4, 4)], [], 9, 8).tolist()
     assert got == [[0, 1, 1, 1, 1, 3], [0, 1, 1, 2, 2, 3], [0, 1, 2, 1, 2, 3]]
-    apart = scalar.grid_positions([9, 9, 5, 9, 9], [(2, 2, 4)], 9, frames_apart=True).tolist()
+    apart = scalar.grid_positions([8, 8, 5, 8, 8], [], [(2, 2, 4)], 9, 8, frames_apart=True).tolist()
     assert apart == [[0, 0, 2, 3, 3], [0, 0, 2, 3, 3], [0, 1, 2, 3, 4]]
+    timed = scalar.grid_positions([0, 5, 8, 8, 8, 5, 9], [(1, 2, 2)], [(3, 2, 2)], 9, 8, seconds=[0.75], mask=[0, 1, 1, 1, 1, 1, 1]).tolist()
+    assert timed == [[1, 0, 1, 2, 4, 5, 6], [1, 0, 1, 1, 1, 5, 6], [1, 0, 1, 1, 1, 5, 6]]
+    assert scalar.grid_positions([4, 4, 4], [], [], 9, 8).tolist() == [[0, 1, 2]] * 3 and scalar.grid_positions([], [], [], 9, 8).shape == (3, 0)
 
 
 def test_attention_ratios(spark):
@@ -235,7 +238,7 @@ def test_names_and_numbers():
 def test_reading(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"q": 1}\n{"q": 2}\n')
     (tmp_path / "b.json").write_text('[{"q": 1, "split": "train"}, {"q": 2, "split": "test"}]')
-    assert prompts.read_table(spark, str(tmp_path / "b.json")).count() == 2
+    assert [r["q"] for r in prompts.read_table(spark, str(tmp_path / "b.json")).collect()] == [1]
     assert prompts.read_table(spark, str(tmp_path / "b.json") + "@test").first()["q"] == 2
     with pytest.raises(ValueError, match="format"):
         prompts.read_table(spark, str(tmp_path))

@@ -29,7 +29,7 @@ def plain(x):
 def test_query(spark, oracle, name):
     got = catalog.queries()[name](spark, DIR)
     if name not in catalog.oracle_sql():
-        assert got.count() > 0 or name == "q_balance"  # no full batch in so few rows
+        assert got.count() > 0
         return
     want = oracle.sql(catalog.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
@@ -49,3 +49,24 @@ def test_entry_without_corpus_queries(spark, monkeypatch):
     monkeypatch.setitem(sys.modules, "trajectra.llm", None)
     assert set(__spark_entry__.queries()) == set(catalog.queries())
     assert __spark_entry__.entry(spark).count() == 1
+
+
+def test_prompts_are_counted_as_the_tokenizer_does(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = catalog.queries()["q_overlong_tokens"](spark, DIR).collect()
+    asked = spark.read.parquet(f"{DIR}/conversations.parquet").where("role = 'user'").collect()
+    text = {(r["conv_id"], r["turn"]): f"<|im_start|>user\n{r['text'].strip(' ')} Reason.<|im_end|>\n<|im_start|>assistant\n" for r in asked}
+    size = {k: len(made.encode(t, add_special_tokens=False).ids) for k, t in text.items()}
+    assert {(r["conv_id"], r["turn"]): (r["prompt"], r["n_tokens"]) for r in rows} == {k: (text[k], n) for k, n in size.items() if n <= 60}
+
+
+def test_files_are_written_by_name(spark, tmp_path):
+    from trajectra.sources import sinks
+
+    rows = spark.createDataFrame([("a.png", bytearray(b"\x01\x02")), ("b.png", None)], "name string, content binary")
+    got = {r["name"]: r["path"] for r in sinks.write_files(rows, f"file://{tmp_path}/pictures", "name", "content").collect()}
+    assert got == {n: f"file://{tmp_path}/pictures/{n}" for n in ("a.png", "b.png")}
+    assert (tmp_path / "pictures/a.png").read_bytes() == b"\x01\x02" and (tmp_path / "pictures/b.png").read_bytes() == b""

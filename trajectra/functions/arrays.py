@@ -49,6 +49,19 @@ def next_value(values: Column, i: Column) -> Column:
     return F.coalesce(F.get(values, i + 1), F.lit(0.0))
 
 
+def shifted(values: Column, fill) -> Column:
+    """Each place has the value of the next one, the last has fill: the labels that a sequence's tokens are to predict."""
+    return F.when(F.size(values) > 0, F.concat(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(fill)))).otherwise(values)
+
+
+#: Fixed value: the id of the token that stands for a piece of an image.
+VISION_TOKEN = 151655
+
+
+def has_token(ids: Column, token: int = VISION_TOKEN) -> Column:
+    return F.array_contains(ids, F.lit(token).cast("long"))
+
+
 def reverse_scan(values: Column, factor: float) -> Column:
     """s_t = x_t + factor * s_(t+1)."""
     start = F.array().cast("array<double>")

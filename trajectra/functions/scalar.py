@@ -72,27 +72,52 @@ def checkpoint_step(path: Column) -> Column:
     return F.when(found != "", found.cast("long"))
 
 
-def grid_positions(ids, grids, vision_id: int, merge: int = 2, frames_apart: bool = False) -> np.ndarray:
-    """Three rows of positions (time, height, width) of a token sequence. Text counts up alike in all rows; a run of
-    vision tokens takes the cells of its grid (t, h, w), in units of merge, on top of where the text stood; text
-    goes on after the largest position. With frames_apart every frame of a grid is a run of its own with time 0."""
-    grids = [g for t, h, w in grids for g in ([(1, h, w)] * t if frames_apart else [(t, h, w)])]
-    out, at, i, used = [], 0, 0, 0
-    while i < len(ids):
-        if ids[i] == vision_id and used < len(grids):
-            t, h, w = grids[used][0], grids[used][1] // merge, grids[used][2] // merge
-            out.append(np.indices((t, h, w)).reshape(3, -1) + at)
-            at, i, used = at + max(t, h, w), i + t * h * w, used + 1
-        else:
-            out.append(np.full((3, 1), at))
-            at, i = at + 1, i + 1
-    return np.concatenate(out, 1) if out else np.zeros((3, 0), int)
-
-
-def grid_positions_udf(vision_id: int, merge: int = 2, frames_apart: bool = False):
+#: Fixed value: position steps that a second of a video takes.
+STEPS_PER_SECOND = 2
+
+
+def grid_positions(ids, images, videos, image_id: int, video_id: int, merge: int = 2, seconds=None, frames_apart: bool = False, mask=None) -> np.ndarray:
+    """Three rows of positions (time, height, width) of a token sequence.
+
+    Text counts up alike in all rows. A run of image or video tokens takes the cells of the next grid (t, h, w) of
+    its kind, in units of merge, on top of where the text stood; text goes on after the largest position. The time of an
+    image's cells is 0; a video's frame k stands at k times its seconds a grid (1 by default) and STEPS_PER_SECOND,
+    cut to a whole number. With frames_apart every frame of a video is a run of its own with time 0. Places that mask leaves out have
+    position 1.
+    """
+    valid = np.ones(len(ids), bool) if mask is None else np.asarray(mask) == 1
+    tokens = np.asarray(ids)[valid]
+    seconds = seconds if seconds is not None else [1.0] * len(videos)
+    films = [((1, h, w), 0.0) for (t, h, w) in videos for _ in range(t)] if frames_apart else list(zip(videos, seconds))
+    todo = {image_id: [(g, 0.0) for g in images][::-1], video_id: films[::-1]}
+    marks = np.flatnonzero((tokens == image_id) | (tokens == video_id))
+    out, base, at = [], 0, 0
+    while at < len(tokens):
+        k = np.searchsorted(marks, at)
+        ahead = marks[k:][[bool(todo[int(x)]) for x in tokens[marks[k:]]]][:1] if k < len(marks) else marks[:0]
+        end = int(ahead[0]) if len(ahead) else len(tokens)
+        out.append(np.broadcast_to(np.arange(base, base + end - at), (3, end - at)))
+        base += end - at
+        if end < len(tokens):
+            (t, h, w), step = todo[int(tokens[end])].pop()
+            cells = np.indices((t, h // merge, w // merge)).reshape(3, -1)
+            cells[0] = (cells[0] * step * STEPS_PER_SECOND).astype(np.int64)
+            out.append(cells + base)
+            end += cells.shape[1]
+            base = int(out[-1].max()) + 1 if cells.size else base
+        at = end
+    places = np.ones((3, len(ids)), np.int64)
+    if out:
+        places[:, valid] = np.concatenate(out, 1)[:, : len(tokens)]
+    return places
+
+
+def grid_positions_udf(image_id: int, video_id: int, merge: int = 2, frames_apart: bool = False):
+    """Of columns ids, image grids, video grids (arrays of [t, h, w]) and the videos' seconds a grid."""
+
     @F.pandas_udf("array<array<bigint>>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for ids, grids in batches:
-            yield pd.Series([grid_positions(list(i), [tuple(g) for g in gs], vision_id, merge, frames_apart).tolist() for i, gs in zip(ids, grids)])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series([grid_positions(i, [tuple(g) for g in a], [tuple(g) for g in b], image_id, video_id, merge, list(s), frames_apart).tolist() for i, a, b, s in zip(*rows)])
 
     return run

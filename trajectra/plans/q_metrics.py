@@ -94,6 +94,17 @@ def _overlong(spark, d):
     return prompts.without_overlong(docs, 20).select("conv_id", "turn", "n_tokens")
 
 
+def _overlong_tokens(spark, d):
+    """The overlong filter as a model's prompt is counted: chat template, then a tokenizer's ids."""
+    import public_tokenizers
+
+    asked = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), F.lit("x").alias("answer"), F.array(F.lit("a.png")).alias("image"), F.array().cast("array<string>").alias("videos"))
+    rows = prompts.chat_messages(asked, " Reason.")
+    rows = rows.withColumn("prompt", prompts.chat_prompt(F.col("messages")))
+    kept = prompts.without_overlong(rows, 60, "prompt", prompts.file_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    return kept.select("conv_id", "turn", "prompt", "n_tokens")
+
+
 def _resize(spark, d):
     p = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 61 + 13).alias("w"), (F.col("p_partkey") % 997 + 5).alias("h"))
     w, h = scalar.resized(F.col("w"), F.col("h"), 40_000, 600_000)
@@ -142,6 +153,7 @@ QUERIES = {
     "q_warmup": _warmup,
     "q_retention": _retention,
     "q_metric_line": _metric_line,
+    "q_overlong_tokens": _overlong_tokens,
 }
 
 _TOK = "(SELECT value / 97 AS r, CAST(props->>'$.k' AS DOUBLE) / 103 AS v, CAST(event_type <> 'error' AS DOUBLE) AS mask FROM events)"

@@ -89,6 +89,7 @@ QUERIES = {
     "q_mar_topk": _ratio("full_topk"),
     "q_mar_heads": _ratio("vsh"),
     "q_mar_disabled": _ratio("disabled"),
+    "q_mar_summary": lambda spark, d: rounded(mar.summary(_ratio("full_topk")(spark, d).withColumn("mar", F.when(F.col("sample") % 4 > 0, F.col("mar")).otherwise(0.0))), "total", "nonzero", "mean", "max"),
     "q_kl_group": _group_kl,
     "q_kl_perception": _perception_kl,
 }
@@ -173,6 +174,7 @@ SELECT row_id, round(acc + 0.5 * fmt + 0.5 * len_score, 6) + 0.0 AS overall, fmt
     "q_remax": "SELECT user_id AS row_id, round(sum(value / 97) - user_id / 7.0::DOUBLE, 6) + 0.0 AS advantage FROM events GROUP BY user_id",
     "q_mar_mid": f"WITH {ATTN} SELECT sample, round(sum(vis_mass) / 32.0, 6) AS mar FROM attn WHERE layer >= 1 AND layer < 3 GROUP BY sample",
     "q_mar_topk": f"WITH {ATTN}, p AS (SELECT sample, resp_pos, avg(vis_mass) AS m FROM attn GROUP BY ALL) SELECT sample, round(max(m), 6) AS mar FROM p GROUP BY sample",
+    "q_mar_summary": f"WITH {ATTN}, p AS (SELECT sample, resp_pos, avg(vis_mass) AS m FROM attn GROUP BY ALL), r AS (SELECT sample, CASE WHEN sample % 4 > 0 THEN round(max(m), 6) ELSE 0 END AS mar FROM p GROUP BY sample) SELECT count(*) AS total, count(*) FILTER (mar > 0) AS nonzero, round(avg(mar), 6) AS mean, round(max(mar), 6) AS max FROM r",
     "q_mar_heads": f"WITH {ATTN}, p AS (SELECT sample, resp_pos, avg(vis_mass) AS m FROM attn WHERE (layer, head) IN ((0, 1), (1, 3), (2, 0), (2, 2), (3, 1)) GROUP BY ALL) SELECT sample, round(max(m), 6) AS mar FROM p GROUP BY sample",
     "q_mar_disabled": "SELECT vec_id AS sample, 0.0::DOUBLE AS mar FROM embeddings",
     "q_kl_group": f"WITH {TRAJ} SELECT row_id, round(0.001 + 0.099 * (1 - avg(acc) OVER (PARTITION BY row_id // 8)), 6) AS kl_coef FROM traj",

@@ -36,30 +36,34 @@ def _mask(spark, d):
     return rows.select("row_id", F.posexplode("mask").alias("pos", "mask")).select("row_id", F.col("pos").cast("long").alias("pos"), "mask")
 
 
+def _each(rows, made: dict):
+    """Arrays in long form: which, row_id, pos, value."""
+    out = None
+    for name, values in made.items():
+        part = rows.select(F.lit(name).alias("which"), "row_id", F.posexplode(values).alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _shape(spark, d):
-    """Sums that tell padded and cut arrays apart."""
     ids = F.col("ids")
     made = {"right": arrays.truncate(ids, 20), "left": arrays.truncate(ids, 20, "left"), "safe": arrays.truncate(ids, 10_000, "error"), "padded": arrays.pad(arrays.truncate(ids, 20), 25, -1), "padded_left": arrays.pad(ids, 120, -2, left=True), "prefix": arrays.valid_prefix(ids, F.lit(3))}
-    weight = lambda a: F.aggregate(F.transform(a, lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return _ids(spark, d).select("row_id", *[weight(a).alias(k) for k, a in made.items()])
+    return _each(_ids(spark, d), made)
 
 
 def _positions(spark, d):
     rows = _ids(spark, d).withColumn("mask", F.transform("ids", lambda x: (x > 20).cast("int")))
     rows = rows.withColumn("positions", arrays.position_ids(F.col("mask")))
-    more = arrays.continue_positions(F.col("positions"), F.lit(4))
-    return rows.select("row_id", F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x).alias("sum_positions"), F.element_at(more, -1).alias("last_next"), F.array_contains("ids", F.lit(13).cast("long")).alias("has_token"))
+    return _each(rows, {"own": F.col("positions"), "next": arrays.continue_positions(F.col("positions"), F.lit(4))})
 
 
 def _segments(spark, d):
     rows = _ids(spark, d).withColumn("positions", F.transform("ids", lambda x, i: i % 30))
-    lengths = arrays.segment_lengths(F.col("positions"))
-    return rows.select("row_id", F.size(lengths).alias("segments"), F.array_max(lengths).alias("longest"))
+    return _each(rows, {"length": arrays.segment_lengths(F.col("positions"))}).drop("which")
 
 
 def _shifted(spark, d):
-    rows = _ids(spark, d).withColumn("labels", F.transform("ids", lambda _, i: arrays.next_value(F.col("ids"), i)))
-    return rows.select("row_id", F.round(F.aggregate(F.zip_with("ids", "labels", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 6).alias("product"))
+    return _each(_ids(spark, d), {"label": arrays.shifted(F.col("ids"), -100)}).drop("which")
 
 
 def _kl_rows(kind):
@@ -71,7 +75,7 @@ def _kl_rows(kind):
 
 
 def _full_kl(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("p"), F.transform(F.slice("embedding", 9, 8), lambda x: x.cast("double")).alias("q"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("p"), F.transform(F.slice("embedding", 33, 32), lambda x: x.cast("double")).alias("q"))
     return rounded(rows.select("vec_id", kl.kl_term(F.col("p"), F.col("q"), "full").alias("kl")), "vec_id", "kl")
 
 
@@ -112,9 +116,21 @@ def _scaled(spark, d):
     return rounded(rows.select("row_id", loss.scaled_loss(F.col("pg"), F.col("kl"), 0.02, F.col("n"), 4, F.lit(1000.0)).alias("loss"), loss.finite(F.col("pg")).alias("finite")), "row_id", "loss", "finite")
 
 
-def _grid(spark, d):
-    rows = spark.createDataFrame([(0, [1, 1, 9, 9, 9, 9, 1], [[1, 4, 4]]), (1, [1, 9, 9, 1, 9, 9, 9, 9], [[1, 2, 4], [2, 2, 4]])], "row_id long, ids array<int>, grids array<array<int>>")
-    return rows.select("row_id", grid_positions_udf(9)("ids", "grids").alias("positions")).select("row_id", F.to_json("positions").alias("positions"))
+def _grid(apart):
+    def run(spark, d):
+        """For each customer: text, an image, text, a video, text; the shapes follow the key."""
+        k = F.col("c_custkey")
+        some = lambda n, x: F.array_repeat(F.lit(x), n.cast("int"))
+        grid = lambda t, h, w: F.array(F.array(t.cast("int"), (2 * h).cast("int"), (2 * w).cast("int")))
+        t, h, w, one = k % 3 + 1, k % 4 + 1, k % 2 + 1, F.lit(1)
+        # With frames apart a token of text stands before each frame.
+        film = F.flatten(F.array_repeat(F.concat(some(one, 1), some(F.lit(2), 8)), t.cast("int"))) if apart else some(2 * t, 8)
+        rows = table(spark, d, "customer").select(k.alias("row_id"), F.concat(some(k % 5 + 1, 1), some(h * w, 9), some(k % 4 + 1, 1), film, some(k % 2 + 1, 1)).alias("ids"), grid(one, h, w).alias("images"), grid(t, one, 2 * one).alias("videos"), F.array(F.lit(1.5)).alias("seconds"))
+        rows = rows.select("row_id", grid_positions_udf(9, 8, frames_apart=apart)("ids", "images", "videos", "seconds").alias("p"))
+        cells = F.arrays_zip(*[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(("time", "height", "width"))])
+        return rows.select("row_id", F.posexplode(cells).alias("pos", "c")).select("row_id", F.col("pos").cast("long").alias("pos"), "c.time", "c.height", "c.width")
+
+    return run
 
 
 QUERIES = {
@@ -141,7 +157,9 @@ QUERIES = {
     "q_value_loss": _value("token"),
     "q_value_loss_seq": _value("seq"),
     "q_scaled_loss": _scaled,
-    "q_grid_positions": _grid,
+    "q_grid_positions": _grid(False),
+    "q_grid_frames": _grid(True),
+    "q_has_token": lambda spark, d: _ids(spark, d).select("row_id", arrays.has_token(F.col("ids"), 13).alias("has")),
 }
 
 _IDS = "ids AS (SELECT user_id AS row_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n, CAST(props->>'$.k' AS BIGINT) AS k FROM events)"
@@ -163,6 +181,14 @@ _OBJ = f"""{TOKENS}, o AS (
   SELECT *, CASE WHEN adv < 0 THEN least(greatest(free, cl), -adv * 3) ELSE greatest(free, cl) END AS loss, CAST(free < cl AS DOUBLE) AS high,
          CASE WHEN adv < 0 THEN CAST(greatest(free, cl) > -adv * 3 AS DOUBLE) ELSE 0 END AS low FROM y)"""
 
+#: first, mid: tokens of text before and after the image of h x w cells; film: the position after these.
+_SHAPES = """c AS (
+  SELECT *, first + greatest(h, w) + mid AS film FROM (
+    SELECT c_custkey AS k, c_custkey % 5 + 1 AS first, c_custkey % 4 + 1 AS mid, c_custkey % 4 + 1 AS h, c_custkey % 2 + 1 AS w, c_custkey % 3 + 1 AS t FROM customer))"""
+_HEAD = """SELECT k AS row_id, i::BIGINT AS pos, i::BIGINT AS "time", i::BIGINT AS height, i::BIGINT AS width FROM c, generate_series(0, 4) AS g(i) WHERE i < first
+UNION ALL SELECT k, first + i, first, first + i // w, first + i % w FROM c, generate_series(0, 7) AS g(i) WHERE i < h * w
+UNION ALL SELECT k, first + h * w + i, first + greatest(h, w) + i, first + greatest(h, w) + i, first + greatest(h, w) + i FROM c, generate_series(0, 3) AS g(i) WHERE i < mid"""
+
 SQL = {
     "q_gae": f"""
 WITH {TOKENS}, a AS (SELECT *, r + 0.9 * coalesce(lead(v) OVER (PARTITION BY row_id ORDER BY pos), 0) - v AS delta FROM tokens),
@@ -177,22 +203,28 @@ s AS (SELECT sum((ret - mean) * (ret - mean)) / (any_value(n) + 1e-8) * any_valu
 SELECT row_id, pos, round((ret - mean) / sqrt(var + 1e-8), 6) + 0.0 AS advantages, round(ret, 6) + 0.0 AS returns FROM b, m, s""",
     "q_eos_mask": f"WITH {_IDS} SELECT row_id, pos, CAST(sum(CAST(k = 7 AS INT)) OVER (PARTITION BY row_id ORDER BY pos) - CAST(k = 7 AS INT) = 0 AS INT) AS mask FROM ids",
     "q_pad_truncate": f"""
-WITH {_IDS} SELECT row_id, sum(k * (pos + 1)) FILTER (pos < 20)::BIGINT AS "right", sum(k * (pos - n + least(n, 20) + 1)) FILTER (pos >= n - 20)::BIGINT AS "left", sum(k * (pos + 1))::BIGINT AS safe,
-  (sum(k * (pos + 1)) FILTER (pos < 20) - 21 - 22 - 23 - 24 - 25)::BIGINT AS padded, (sum(k * (pos + 1 + 120 - n)) - (120 - any_value(n)) * (121 - any_value(n)))::BIGINT AS padded_left,
-  sum(k * (pos + 1)) FILTER (pos < 3)::BIGINT AS prefix
-FROM ids GROUP BY row_id""",
+WITH {_IDS} SELECT 'right' AS which, row_id, pos, k AS value FROM ids WHERE pos < 20
+UNION ALL SELECT 'left', row_id, pos - greatest(n - 20, 0), k FROM ids WHERE pos >= n - 20
+UNION ALL SELECT 'safe', row_id, pos, k FROM ids
+UNION ALL SELECT 'padded', row_id, pos, k FROM ids WHERE pos < 20
+UNION ALL SELECT 'padded', row_id, g.i, -1 FROM (SELECT row_id, least(20, any_value(n)) AS n FROM ids GROUP BY row_id), generate_series(0, 24) AS g(i) WHERE g.i >= n
+UNION ALL SELECT 'padded_left', row_id, pos + greatest(120 - n, 0), k FROM ids
+UNION ALL SELECT 'padded_left', row_id, g.i, -2 FROM (SELECT row_id, any_value(n) AS n FROM ids GROUP BY row_id), generate_series(0, 119) AS g(i) WHERE g.i < 120 - n
+UNION ALL SELECT 'prefix', row_id, pos, k FROM ids WHERE pos < 3""",
     "q_position_ids": f"""
-WITH {_IDS}, p AS (SELECT *, greatest(0, sum(CAST(k > 20 AS INT)) OVER (PARTITION BY row_id ORDER BY pos) - 1) AS position FROM ids)
-SELECT row_id, sum(position)::BIGINT AS sum_positions, (max(position) + 4)::BIGINT AS last_next, bool_or(k = 13) AS has_token FROM p GROUP BY row_id""",
-    "q_segments": f"WITH {_IDS} SELECT row_id, ceil(any_value(n) / 30)::INT AS segments, least(30, any_value(n))::INT AS longest FROM ids GROUP BY row_id",
-    "q_shifted_labels": f"WITH {_IDS}, s AS (SELECT row_id, k * coalesce(lead(k) OVER (PARTITION BY row_id ORDER BY pos), 0) AS p FROM ids) SELECT row_id, sum(p)::DOUBLE AS product FROM s GROUP BY row_id",
+WITH {_IDS}, p AS (SELECT *, greatest(0, sum(CAST(k > 20 AS INT)) OVER (PARTITION BY row_id ORDER BY pos) - 1)::BIGINT AS position FROM ids)
+SELECT 'own' AS which, row_id, pos, position AS value FROM p
+UNION ALL SELECT 'next', row_id, g.i - 1, position + g.i FROM p, generate_series(1, 4) AS g(i) WHERE pos = n - 1""",
+    "q_segments": f"WITH {_IDS} SELECT row_id, pos // 30 AS pos, count(*)::INT AS value FROM ids GROUP BY ALL",
+    "q_shifted_labels": f"WITH {_IDS} SELECT row_id, pos, coalesce(lead(k) OVER (PARTITION BY row_id ORDER BY pos), -100) AS value FROM ids",
+    "q_has_token": f"WITH {_IDS} SELECT row_id, bool_or(k = 13) AS has FROM ids GROUP BY row_id",
     "q_masked_select": f"WITH {TOKENS} SELECT row_id, pos, round(r, 6) + 0.0 AS rewards FROM tokens WHERE mask > 0",
     "q_masked_row_mean": f"WITH {TOKENS} SELECT row_id, round(sum(r * mask) / (sum(mask) + 1e-8), 6) + 0.0 AS mean, round(sum(r), 6) + 0.0 AS total FROM tokens GROUP BY row_id",
     "q_kl": _kl_sql(_D),
     "q_kl_abs": _kl_sql(f"abs({_D})"),
     "q_kl_mse": _kl_sql(f"0.5 * ({_D}) * ({_D})"),
     "q_kl_low_var": _kl_sql(f"greatest(-10, least(10, exp({_LOW}) - ({_LOW}) - 1))"),
-    "q_kl_full": "WITH e AS (SELECT vec_id, unnest(embedding[1:8])::DOUBLE AS p, unnest(embedding[9:16])::DOUBLE AS q FROM embeddings) SELECT vec_id, round(sum(exp(q) * (q - p)), 6) + 0.0 AS kl FROM e GROUP BY vec_id",
+    "q_kl_full": "WITH e AS (SELECT vec_id, unnest(embedding[1:32])::DOUBLE AS p, unnest(embedding[33:64])::DOUBLE AS q FROM embeddings) SELECT vec_id, round(sum(exp(q) * (q - p)), 6) + 0.0 AS kl FROM e GROUP BY vec_id",
     "q_log_softmax": "WITH e AS (SELECT vec_id, embedding[label + 1]::DOUBLE AS x, unnest(embedding)::DOUBLE AS y FROM embeddings) SELECT vec_id, round(any_value(x) - ln(sum(exp(y))), 6) + 0.0 AS lp FROM e GROUP BY vec_id",
     "q_kl_penalty": f"WITH {TOKENS} SELECT row_id, pos, round(r - 0.05 * mask * greatest(-10, least(10, exp({_LOW}) - ({_LOW}) - 1)), 6) + 0.0 AS rewards FROM tokens",
     "q_kl_penalty_metrics": f"WITH {TOKENS}, m AS (SELECT row_id, sum(({_D}) * mask * mask) / (sum(mask) + 1e-8) AS k FROM tokens GROUP BY row_id) SELECT round(avg(k), 6) + 0.0 AS kl, 0.05::DOUBLE AS kl_coef, count(*) AS rows FROM m",
@@ -206,5 +238,15 @@ SELECT row_id, pos, round(CASE WHEN adv < 0 THEN least(greatest(free, cl), -adv
     "q_value_loss": f"WITH {_OBJ} SELECT round(0.5 * sum(greatest(vfree, vheld)) / (count(*) + 1e-8), 6) AS vf_loss, round(sum(CAST(vfree < vheld AS DOUBLE)) / (count(*) + 1e-8), 6) AS vf_clipfrac, round(sum(pred) / (count(*) + 1e-8), 6) AS vpred_mean FROM z",
     "q_value_loss_seq": f"WITH {_OBJ}, q AS (SELECT sum(greatest(vfree, vheld)) / (count(*) + 1e-8) AS l, sum(CAST(vfree < vheld AS DOUBLE)) AS c, sum(pred) AS p, count(*) AS n FROM z GROUP BY row_id) SELECT round(0.5 * avg(l), 6) AS vf_loss, round(sum(c) / (sum(n) + 1e-8), 6) AS vf_clipfrac, round(sum(p) / (sum(n) + 1e-8), 6) AS vpred_mean FROM q",
     "q_scaled_loss": f"WITH {TOKENS} SELECT row_id, round((avg(r) + 0.02 * avg(v)) * sum(mask) * 4 / 1000, 6) + 0.0 AS loss, true AS finite FROM tokens GROUP BY row_id",
-    "q_grid_positions": "SELECT * FROM (VALUES (0::BIGINT, '[[0,1,2,2,2,2,4],[0,1,2,2,3,3,4],[0,1,2,3,2,3,4]]'), (1::BIGINT, '[[0,1,1,3,4,4,5,5],[0,1,1,3,4,4,4,4],[0,1,2,3,4,5,4,5]]')) t(row_id, positions)",
+    "q_grid_positions": f"""
+WITH {_SHAPES}, tail AS (SELECT *, film + greatest(3 * (t - 1), 1) + 1 AS rest, first + h * w + mid AS seen FROM c)
+{_HEAD}
+UNION ALL SELECT k, seen + i, film + 3 * (i // 2), film, film + i % 2 FROM tail, generate_series(0, 5) AS g(i) WHERE i < 2 * t
+UNION ALL SELECT k, seen + 2 * t + i, rest + i, rest + i, rest + i FROM tail, generate_series(0, 1) AS g(i) WHERE i < k % 2 + 1""",
+    "q_grid_frames": f"""
+WITH {_SHAPES}, tail AS (SELECT *, film + 3 * t AS rest, first + h * w + mid AS seen FROM c)
+{_HEAD}
+UNION ALL SELECT k, seen + 3 * j, film + 3 * j, film + 3 * j, film + 3 * j FROM tail, generate_series(0, 2) AS g(j) WHERE j < t
+UNION ALL SELECT k, seen + 3 * j + 1 + i, film + 3 * j + 1, film + 3 * j + 1, film + 3 * j + 1 + i FROM tail, generate_series(0, 2) AS g(j), generate_series(0, 1) AS e(i) WHERE j < t
+UNION ALL SELECT k, seen + 3 * t + i, rest + i, rest + i, rest + i FROM tail, generate_series(0, 1) AS g(i) WHERE i < k % 2 + 1""",
 }

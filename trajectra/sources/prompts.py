@@ -29,15 +29,29 @@ def _listing(spark: SparkSession, path: str) -> list[str] | None:
     return sorted(n for s in fs.listStatus(at) if not (n := s.getPath().getName()).startswith(("_", ".")))
 
 
+#: Fixed value: the split that is read if a path names none.
+DEFAULT_SPLIT = "train"
+
+
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """path, or path@split. A file's or folder's format is told by its extension; a folder with several formats raises.
-    A split is the sub-folder or file of that name, or else the rows whose column split names it."""
-    path, _, split = path.partition("@") if "@" in path.rsplit("/", 1)[-1] else (path, "", "")
+    """path, or path@split; without a split, train. A file's or folder's format is told by its extension; a folder
+    with several formats raises. A split is the sub-folder or file of that name, or else the rows whose column split
+    names it (null: train). A table without either is all train; any other split of it raises."""
+    path, _, split = path.rpartition("@") if "@" in path.rsplit("/", 1)[-1] else (path, "", "")
+    wanted = split or DEFAULT_SPLIT
+    names = _listing(spark, path)
+    if names is not None and (own := [n for n in names if n == wanted or n.rsplit(".", 1)[0] == wanted]):
+        return _read(spark, f"{path}/{own[0]}", schema)
+    df = _read(spark, path, schema)
+    if "split" in df.columns:
+        return df.where(F.coalesce("split", F.lit(DEFAULT_SPLIT)) == wanted)
+    if wanted != DEFAULT_SPLIT:
+        raise ValueError(f"{path} has no split {wanted}")
+    return df
+
+
+def _read(spark: SparkSession, path: str, schema=None) -> DataFrame:
     names = _listing(spark, path)
-    if names is not None and split:
-        own = [n for n in names if n == split or n.rsplit(".", 1)[0] == split]
-        if own:
-            return read_table(spark, f"{path}/{own[0]}", schema)
     kinds = {PurePosixPath(n).suffix.lstrip(".") for n in (names if names is not None else [path])}
     if len(kinds) != 1 or not kinds <= set(FORMATS):
         raise ValueError(f"{path}: one known format is needed, found {sorted(kinds)}")
@@ -47,8 +61,7 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
         reader = reader.option("multiLine", True)
     if kind == "csv":
         reader = reader.option("header", True)
-    df = reader.format(FORMATS[kind]).load(path)
-    return df.where(F.col("split") == split) if split and "split" in df.columns else df
+    return reader.format(FORMATS[kind]).load(path)
 
 
 def validation_sets(spark: SparkSession, paths: list[str], names: list[str] | None = None, read: Callable[[SparkSession, str], DataFrame] = read_table) -> DataFrame:
@@ -98,14 +111,43 @@ def chat_messages(df: DataFrame, suffix: str = "", base: str = "", question: str
     return df.withColumn("image", F.transform("image", lambda p: resolve_path(p, base))).withColumnRenamed("answer", "ground_truth")
 
 
+#: What opens and closes a turn in a chat prompt.
+TURN, TURN_END = "<|im_start|>", "<|im_end|>"
+
+
+def chat_prompt(messages: Column, answer_next: bool = True) -> Column:
+    """The text that a model gets for messages (array of role and content parts): a turn each, image and video parts as
+    their marker, and the opening of the assistant's turn."""
+    body = lambda m: F.array_join(F.transform(m["content"], lambda p: F.when(p["type"] == "text", p["text"]).otherwise(F.concat(F.lit("<"), p["type"], F.lit(">")))), "")
+    turns = F.transform(messages, lambda m: F.concat(F.lit(TURN), m["role"], F.lit("\n"), body(m), F.lit(TURN_END + "\n")))
+    return F.concat(F.array_join(turns, ""), F.lit(f"{TURN}assistant\n" if answer_next else ""))
+
+
 def white_space_tokens(text: Column) -> Column:
     """The default tokenizer, for want of a model's: words."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def without_overlong(df: DataFrame, most: int, text: str = "question", tokenize: Callable[[Column], Column] = white_space_tokens) -> DataFrame:
+def file_tokenizer(path: str) -> Callable[[Column], Column]:
+    """A tokenizer for without_overlong from a file of the tokenizers library, which the driver reads and the workers
+    get with their code. No special tokens are added; a null text has no ids."""
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_str(spec)
+        for texts in batches:
+            yield pd.Series([x.ids for x in made.encode_batch([t or "" for t in texts], add_special_tokens=False)])
+
+    return lambda text: ids(text)
+
+
+def without_overlong(df: DataFrame, most: int, text: str | Column = "question", tokenize: Callable[[Column], Column] = white_space_tokens) -> DataFrame:
     """Rows of at most most tokens. tokenize may be a pandas UDF; its result is made once, as n_tokens."""
-    return df.withColumn("n_tokens", F.size(tokenize(F.col(text)))).where(F.col("n_tokens") <= most)
+    return df.withColumn("n_tokens", F.size(tokenize(F.col(text) if isinstance(text, str) else text))).where(F.col("n_tokens") <= most)
 
 
 @F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))

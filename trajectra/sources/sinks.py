@@ -17,6 +17,35 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
+def write_json_array(df: DataFrame, path: str, order: str = "row_id") -> None:
+    """The rows, in the order of a dense row number that is left out, as one JSON array over the files of a folder: joined
+    in the order of their names, the files are the array. Null fields are left out, other characters stay as they are."""
+    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != order]), {"ignoreNullFields": "true"})
+    first, last = F.col(order) == 0, F.col(order) == df.agg(F.max(order)).scalar()
+    line = F.concat(F.when(first, "[").otherwise(","), body, F.when(last, "]").otherwise(""))
+    df.select(order, line.alias("value")).repartitionByRange(order).sortWithinPartitions(order).select("value").write.mode("overwrite").text(path)
+
+
+def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFrame:
+    """Write content (bytes) of each row to a file of that name in folder, on the workers, and give name and path. A name
+    that occurs twice is written twice; tasks that are repeated write what they wrote."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        at, top = fs.FileSystem.from_uri(folder)
+        at.create_dir(top, recursive=True)
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for n, data in zip(names, batch.column(1).to_pylist()):
+                with at.open_output_stream(f"{top}/{n}") as out:
+                    out.write(data or b"")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([f"{folder}/{n}" for n in names], pa.string())], names=["name", "path"])
+
+    return df.select(F.col(name).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "name string, path string")
+
+
 def metric_line(df: DataFrame, step: str = "step") -> DataFrame:
     """One column value: {"step": ..., nested by the slashes of the names}."""
 
