@@ -16,7 +16,7 @@ from .mixing import mixing_rates
 from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .repeats import remove_repeats
-from .syncmers import as_text, likeness, with_anchors, with_next
+from .syncmers import compare_edited
 from .toxicity import score_toxicity
 from .warc import archive_pages
 
@@ -45,20 +45,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(with_anchors(docs, "text", "anchors"), "doc_id", ["text", "anchors"], "text")
-    docs = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
-    kept, new = F.substr("text", F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")), F.substr("next_text", F.lit(1), F.col("half"))
-    docs = with_anchors(docs.withColumn("edited", F.concat(kept, new)), "edited", "edited_anchors")
-    return docs.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        as_text("anchors").alias("fingerprint"),
-        as_text("edited_anchors").alias("edited_fingerprint"),
-        likeness("anchors", "edited_anchors").alias("near_edited"),
-        likeness("anchors", "next_anchors").alias("near_next"),
-    )
+    """Fingerprints of all documents, their edited texts' and their likeness by position."""
+    return compare_edited(table(spark, sf_dir, "documents"))
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
