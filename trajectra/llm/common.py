@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +23,11 @@ _written: list[tuple[SparkSession, str]] = []
 def prepare(spark: SparkSession) -> None:
     """Workers find this package, and get whole texts in small batches, so that their memory doesn't grow with long ones."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}")
+        # The session's own bound stays if it is lower.
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,19 +70,43 @@ def _clean() -> None:
             return
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _busy, _before = threading.Lock(), Counter(), {}
+
+
+@contextlib.contextmanager
+def _shuffles_end_with_their_job(spark: SparkSession):
+    """What the jobs inside shuffle isn't needed once their result is written. The session's setting is back when the last of several threads leaves."""
+    session = id(spark._jsparkSession)
+    with _lock:
+        if not _busy[session]:
+            _before[session] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _busy[session] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _busy[session] -= 1
+            if not _busy[session]:
+                spark.conf.set(_CLEANUP, _before.pop(session))
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it from there: later jobs neither recompute it nor lose it with an executor."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    spark, path = df.sparkSession, path or new_path(df.sparkSession, name)
     prepare(spark)
-    # What this job shuffles isn't needed once its result is written.
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
+    with _shuffles_end_with_their_job(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what materialise returned and nothing will read again."""
+    for df in tables:
+        remove(df.sparkSession, df.written_to)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

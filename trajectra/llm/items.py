@@ -126,6 +126,30 @@ class Block:
     texts: list[bytes]
 
 
+def home(block: int, n: int) -> int:
+    """The bucket that a block's own row goes to: its key is mixed, as partitions and their blocks are numbered in a row."""
+    return int(mix(np.array([block], np.uint64))[0] % np.uint64(n))
+
+
+def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of hashes: n ranges of the hash space in order, so that sorted hashes lie in sorted buckets."""
+    if n <= 1 << 16:
+        return ((key >> np.uint64(48)) * np.uint64(n) >> np.uint64(16)).astype(np.int64)
+    return ((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def bucket_start(bucket, n: int) -> np.ndarray:
+    """The least hash of a bucket; a hash less this takes as many bytes less as there are buckets for, and gives it back."""
+    bits = 16 if n <= 1 << 16 else 32
+    first = ((np.asarray(bucket, np.uint64) << np.uint64(bits)) + np.uint64(n - 1)) // np.uint64(n)
+    return first << np.uint64(64 - bits)
+
+
+def add(out: list[list], *row) -> None:
+    for column, value in zip(out, row):
+        column.append(value)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[Block]:
     part, seq = TaskContext.get().partitionId(), 0
     columns: dict[str, list] = {}
@@ -154,42 +178,45 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
 
 # ---- packed arrays
 
-_KINDS = {"1": np.uint8, "2": np.uint16, "4": np.uint32, "8": np.uint64, "f": np.float64}
-
-
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of unsigned numbers, each in the fewest bytes that hold its largest, or of doubles."""
     out = [struct.pack("<B", len(arrays))]
     for a in arrays:
         if a.dtype == np.float64:
-            kind = "f"
-        else:
-            top = int(a.max()) if len(a) else 0
-            kind = "1" if top < 1 << 8 else "2" if top < 1 << 16 else "4" if top < 1 << 32 else "6" if top < 1 << 48 else "8"
-        if kind == "6":
-            data = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+            out.append(struct.pack("<BI", 0, len(a)) + a.astype("<f8").tobytes())
+            continue
+        size = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
+        if size in (1, 2, 4, 8):
+            data = a.astype(f"<u{size}").tobytes()
         else:
-            data = a.astype(_KINDS[kind]).tobytes()
-        out.append(struct.pack("<cI", kind.encode(), len(a)) + data)
+            data = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+        out.append(struct.pack("<BI", size, len(a)) + data)
     return b"".join(out)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     out, at = [], 1
     for _ in range(data[0]):
-        kind, n = struct.unpack_from("<cI", data, at)
+        size, n = struct.unpack_from("<BI", data, at)
         at += 5
-        kind = kind.decode()
-        if kind == "6":
+        if size == 0:
+            out.append(np.frombuffer(data, "<f8", n, at))
+            at += 8 * n
+            continue
+        if size in (1, 2, 4, 8):
+            out.append(np.frombuffer(data, f"<u{size}", n, at).astype(np.uint64))
+        else:
             wide = np.zeros((n, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(-1, 6)
+            wide[:, :size] = np.frombuffer(data, np.uint8, size * n, at).reshape(-1, size)
             out.append(wide.reshape(-1).view("<u8"))
-            at += 6 * n
-        else:
-            out.append(np.frombuffer(data, _KINDS[kind], n, at))
-            at += out[-1].nbytes
-        if kind in "124":
-            out[-1] = out[-1].astype(np.uint64)
+        at += size * n
+    return out
+
+
+def steps(keys: np.ndarray) -> np.ndarray:
+    """A sorted array as its first value and the steps between its values, which take fewer bytes; cumsum undoes it."""
+    out = keys.copy()
+    out[1:] -= keys[:-1]
     return out
 
 
@@ -213,15 +240,43 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.concatenate([first, [len(values)]]))
 
 
-def by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, slice, np.ndarray]]:
-    """Places of the items of each bucket, in their order."""
+def pack_small(counts: np.ndarray) -> list[np.ndarray]:
+    """Counts most of which are below 255: a byte each, and the others again."""
+    return [np.minimum(counts, 255).astype(np.uint64), counts[counts >= 255].astype(np.uint64)]
+
+
+def unpack_small(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    out = small.astype(np.int64)
+    out[out == 255] = large
+    return out
+
+
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the items of each bucket that has any, in their order. Takes as long as there are items, however many buckets there are."""
     order = np.argsort(bucket, kind="stable")
-    ends = np.cumsum(np.bincount(bucket, minlength=n))
-    begin = 0
-    for b, end in enumerate(ends.tolist()):
-        if end > begin:
-            yield b, slice(begin, end), order[begin:end]
-        begin = end
+    names, sizes = runs(bucket[order])
+    ends = np.cumsum(sizes)
+    for b, begin, end in zip(names.tolist(), (ends - sizes).tolist(), ends.tolist()):
+        yield b, order[begin:end]
+
+
+def in_buckets(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
+    """The stretch of sorted keys that lies in each bucket that has any."""
+    names, sizes = runs(bucket_of(keys, n))
+    ends = np.cumsum(sizes)
+    for b, begin, end in zip(names.tolist(), (ends - sizes).tolist(), ends.tolist()):
+        yield b, slice(begin, end)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and the place of each key among them."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = ranked[1:] != ranked[:-1]
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(first) - 1
+    return ranked[first], at
 
 
 def bucket_count(df: DataFrame, text: str) -> int:

@@ -24,15 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, materialise, shuffle_parts
-from .items import Block, batch_of, blocks, bucket_count, by_bucket, combine, hash_words, map_arrow, mix, pack, runs, unpack
-from .katz import _add, _bucket
+from .items import add, batch_of, blocks, bucket_count, bucket_of, bucket_start, by_bucket, combine, hash_words, home, map_arrow, mix, pack, runs, unpack
 
 #: Words of an n-gram; a pair links if PERCENT * |union| <= 100 * |intersection|.
 N, PERCENT = 5, 80
 #: Sets of one tile of a frequent n-gram, and rows of one partition of the index.
 TILE, INDEX_ROWS = 1024, 60_000
 _SKETCH_WORDS = 8
-_LOW = np.uint64((1 << 48) - 1)
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 _SETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("lone", pa.int64()), ("items", pa.binary())])
 
@@ -83,21 +81,21 @@ def _ask(n_buckets: int, n: int):
             null = np.array([i is None for i in ids], np.uint64)
             ids = np.array([i or 0 for i in ids], np.int64).view(np.uint64)
             out = [[], [], [], []]
-            _add(out, block.key % n_buckets, 0, block.key, pack(ids, null, size.astype(np.uint64), hi, lo))
+            add(out, home(block.key, n_buckets), 0, block.key, pack(ids, null, size.astype(np.uint64), hi, lo))
             # Of equal sets in the block the first asks for all.
             _, first = np.unique(np.stack([hi, lo], 1), axis=0, return_index=True)
             asks = np.zeros(m, bool)
             asks[first] = True
             grams, where = grams[asks[where]], where[asks[where]]
-            for b, _, at in by_bucket(_bucket(grams, n_buckets), n_buckets):
+            for b, at in by_bucket(bucket_of(grams, n_buckets)):
                 which, times = runs(where[at])
-                _add(out, b, 1, block.key, pack(which.astype(np.uint64), times.astype(np.uint64), grams[at] & _LOW if n_buckets <= 1 << 16 else grams[at]))
+                add(out, b, 1, block.key, pack(which.astype(np.uint64), times.astype(np.uint64), grams[at] - bucket_start(b, n_buckets)))
             yield batch_of(_PACKED, out)
 
     return run
 
 
-def _count(small: bool):
+def _count(n: int):
     """Of one bucket: for each block the items that occur in two sets or more, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +120,7 @@ def _count(small: bool):
             if found.any():
                 doc = np.repeat(np.arange(len(which)), times.astype(np.int64))[found]
                 names, times = runs(doc)
-                full = asks[found] | np.uint64(here << 48) if small else asks[found]
+                full = asks[found] + bucket_start(here, n)
                 yield batch_of(_PACKED, [[0], [1], [block], [pack(which[names], times.astype(np.uint64), full, df[at[found]].astype(np.uint64))]])
 
     return run
@@ -166,7 +164,7 @@ def _order(percent: int):
             rows = [[], [], [], [], [], [], []]
             able = shared >= least_partner(size[names], percent)
             for d, a, b in zip(names[able].tolist(), (ends - shared)[able].tolist(), ends[able].tolist()):
-                _add(rows, 1, None, int(hi[d].view(np.int64)), int(lo[d].view(np.int64)), int(size[d]), int(size[d]) - (b - a), item[a:b].tobytes())
+                add(rows, 1, None, int(hi[d].view(np.int64)), int(lo[d].view(np.int64)), int(size[d]), int(size[d]) - (b - a), item[a:b].tobytes())
             if rows[0]:
                 yield batch_of(_SETS, rows)
 
@@ -268,7 +266,7 @@ def _verify(percent: int):
             for a, b, na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "xa", "xb"))):
                 both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                 if both * (100 + percent) >= percent * (na + nb):
-                    _add(out, a, b)
+                    add(out, a, b)
             if out[0]:
                 yield batch_of(schema, out)
 
@@ -301,7 +299,7 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = bucket_count(rows, "text")
     schema = "bucket int, kind int, block long, payload binary"
     asked = map_arrow(rows, _ask(buckets, n), schema).repartitionById(buckets, F.col("bucket"))
-    asked = map_arrow(asked, _count(buckets <= 1 << 16), schema)
+    asked = map_arrow(asked, _count(buckets), schema)
     both = map_arrow(asked.repartition(buckets, "block"), _order(percent), "kind int, id long, hi long, lo long, n long, lone long, items binary")
     both = materialise(both, "sets")
     documents = both.where("kind = 0").select("id", "n", "hi", "lo")

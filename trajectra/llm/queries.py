@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
-from .katz import fit_katz, score_katz
+from .katz import fit_and_score
 from .language_id import identify_languages
 from .mixing import mixing_rates
 from .ngram_join import near_duplicates
@@ -34,9 +34,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those whose crc32(doc_id) mod 5 isn't 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
-    scored = score_katz(fit_katz(docs.where(~held).select("text"), least=1), docs)
+    _, scored = fit_and_score(docs, ~held)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

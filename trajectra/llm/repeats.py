@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .items import batch_of, blocks, bucket_count, by_bucket, map_arrow, mix, pack, runs, unpack
-from .katz import _add, _bucket
+from .items import add, batch_of, blocks, bucket_count, bucket_of, by_bucket, home, map_arrow, mix, pack, runs, unpack
 
 LENGTH, K = 200, 32
 HOT = 1000
@@ -91,10 +90,10 @@ def _anchors(n: int, length: int):
             keys, doc = keys[new], doc[new]
             out = [[], [], [], []]
             ids = block.columns["id"]
-            _add(out, block.key % n, 0, block.key, pack(np.array([i or 0 for i in ids], np.int64).view(np.uint64), np.array([i is None for i in ids], np.uint64), np.array(block.columns["h"], np.int64).view(np.uint64)))
-            for b, _, at in by_bucket(_bucket(keys, n), n):
+            add(out, home(block.key, n), 0, block.key, pack(np.array([i or 0 for i in ids], np.int64).view(np.uint64), np.array([i is None for i in ids], np.uint64), np.array(block.columns["h"], np.int64).view(np.uint64)))
+            for b, at in by_bucket(bucket_of(keys, n)):
                 which, times = runs(doc[at])
-                _add(out, b, 1, block.key, pack(which.astype(np.uint64), times.astype(np.uint64), keys[at], c[at].astype(np.uint64)))
+                add(out, b, 1, block.key, pack(which.astype(np.uint64), times.astype(np.uint64), keys[at], c[at].astype(np.uint64)))
             yield batch_of(_PACKED, out)
 
     return run
@@ -203,7 +202,7 @@ def _stretches(n: int, length: int):
             done = [_result(t, []) for t, k in zip(block.texts, known) if not k]
             sizes = np.array([len(t) for t in texts], np.uint64)
             head = [np.array([i or 0 for i, _, _ in shown], np.int64).view(np.uint64), np.array([i is None for i, _, _ in shown], np.uint64), np.array([k for *_, k in shown], np.uint64), sizes, np.array([d[0] for d in done], np.uint64)]
-            _add(out, block.key % n, 0, block.key, _join(pack(*head), squeeze.compress(b"".join(texts)), "".join(d[3] for d in done).encode(), squeeze.compress(_join(*(k or b"" for k in block.columns["known"])))))
+            add(out, home(block.key, n), 0, block.key, _join(pack(*head), squeeze.compress(b"".join(texts)), "".join(d[3] for d in done).encode(), squeeze.compress(_join(*(k or b"" for k in block.columns["known"])))))
             rows: list[tuple] = []
             pieces: list[bytes] = []
             hot: list[tuple] = []
@@ -217,10 +216,10 @@ def _stretches(n: int, length: int):
                 hot.append((hashes, np.full(len(hashes), ids[d]), places))
             if pieces:
                 doc, first, count, anchor = (np.concatenate(x) for x in zip(*rows))
-                for b, _, at in by_bucket(_bucket(anchor, n), n):
+                for b, at in by_bucket(bucket_of(anchor, n)):
                     which, times = runs(doc[at])
                     meta = pack(which.astype(np.uint64), times.astype(np.uint64), ids[which].view(np.uint64), first[at].astype(np.uint64), count[at].astype(np.uint64))
-                    _add(out, b, 1, block.key, _join(meta, squeeze.compress(b"".join(pieces[i] for i in at.tolist()))))
+                    add(out, b, 1, block.key, _join(meta, squeeze.compress(b"".join(pieces[i] for i in at.tolist()))))
             if hot and sum(len(x) for x, _, _ in hot):
                 hashes, owner, places = (np.concatenate(x) for x in zip(*hot))
                 order = np.lexsort((places, owner, hashes))
@@ -228,8 +227,8 @@ def _stretches(n: int, length: int):
                 new = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
                 c = np.minimum(np.diff(np.concatenate([new, [len(hashes)]])), 2)
                 hashes, owner, places = hashes[new], owner[new], places[new]
-                for b, _, at in by_bucket(_bucket(hashes, n), n):
-                    _add(out, b, 2, block.key, pack(hashes[at], c[at].astype(np.uint64), owner[at].view(np.uint64), places[at].astype(np.uint64)))
+                for b, at in by_bucket(bucket_of(hashes, n)):
+                    add(out, b, 2, block.key, pack(hashes[at], c[at].astype(np.uint64), owner[at].view(np.uint64), places[at].astype(np.uint64)))
             yield batch_of(_PACKED, out)
 
     return run
@@ -466,7 +465,7 @@ def _remove(length: int, keep: str, texts: bool):
             for d in range(len(ids)):
                 i = None if null[d] else int(ids[d].view(np.int64))
                 if not has[d]:
-                    _add(out, i, int(lengths[other]), 0, 0, digests[64 * other : 64 * other + 64].decode(), None)
+                    add(out, i, int(lengths[other]), 0, 0, digests[64 * other : 64 * other + 64].decode(), None)
                     other += 1
                     continue
                 text = raw[at : at + int(sizes[turn])]
@@ -481,7 +480,7 @@ def _remove(length: int, keep: str, texts: bool):
                     mine = mine + [(p, p + length) for p in places[ok].tolist()]
                 turn += 1
                 cut = _result(text, mine)
-                _add(out, i, *cut, _rest(text, mine) if texts else None)
+                add(out, i, *cut, _rest(text, mine) if texts else None)
             yield batch_of(_OUT, out)
 
     return run
