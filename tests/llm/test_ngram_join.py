@@ -1,6 +1,8 @@
 import random
 import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from trajectra.llm import ngram_join
@@ -92,8 +94,67 @@ def test_one_document_of_each_group_stays(spark):
     df = awkward(spark)
     out = drop_near_duplicates(df)
     assert out.columns == df.columns
-    left = [r["doc_id"] for r in out.select("doc_id").collect()]
-    assert set(left) == {i for i, _, c in run(df) if i == c}
+    left = [(r["doc_id"], r["text"]) for r in out.select("doc_id", "text").collect()]
+    rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    groups = {c for i, n, c in brute(rows) if n}
+    assert sorted(c for i, t in left for c in [i] if grams(t)) == sorted(groups)
+    assert sorted(map(repr, [x for x in left if not grams(x[1])])) == sorted(map(repr, [x for x in rows if not grams(x[1])]))
+
+
+def test_one_row_stays_of_ids_that_repeat(spark):
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a, "x"), (1, a + " tail", "y"), (1, b, "z"), (2, b, "u"), (3, a, "v"), (1, a, "w"), (None, c, "p"), (None, c, "q"), (4, None, "r"), (4, None, "s")]
+    left = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, extra string")).collect()
+    assert sorted(repr(r["doc_id"]) for r in left) == ["1", "1", "4", "4", "None"]
+    assert {b} < {r["text"] for r in left} and c in {r["text"] for r in left} and len({a, a + " tail"} & {r["text"] for r in left}) == 1
+
+
+def test_filters_keep_every_pair_that_reaches_the_threshold():
+    """Of sets and a global order, the index rows of each n-gram that both have in their prefixes."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    kept = refused = 0
+    for _ in range(300):
+        n = int(rng.integers(5, 400))
+        base = rng.choice(1 << 62, n, replace=False)
+        other = base.copy()
+        other[rng.random(n) < rng.choice([0.02, 0.08, 0.1, 0.12, 0.3])] += 1
+        if rng.random() < 0.5:
+            other = other[: int(n * rng.choice([0.8, 0.9, 1]))]
+        df = Counter(base.tolist()) + Counter(other.tolist())
+        rows = []
+        for x in (base, other):
+            order = sorted(x.tolist(), key=lambda i: (df[i], i))
+            lone = sum(df[i] == 1 for i in order)
+            batch = pa.RecordBatch.from_pydict({"sid": [0], "n": [len(order)], "lone": [lone], "items": [np.array(order[lone:], np.uint64).tobytes()]})
+            rows.append({r["item"]: r for b in ngram_join._index(80)(iter([batch])) for r in b.to_pylist()})
+        both = len(set(base.tolist()) & set(other.tolist()))
+        true = 100 * both >= 80 * (len(base) + len(other) - both)
+        side = lambda r: (*(np.array([r[c]]) for c in ("n", "lone", "pos")), np.frombuffer(r["suffix"], np.uint8)[None])
+        met = [bool(ngram_join.passes(80, side(rows[0][i]), side(rows[1][i]))[0]) for i in rows[0].keys() & rows[1].keys()]
+        if true:
+            assert met and all(met)
+            kept += 1
+        refused += met.count(False)
+    assert kept > 50 and refused > 50
+
+
+def test_no_pair_is_verified_twice(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [t for _ in range(6) for t in variants(rng, prose(rng, 60), 12, lambda r: r.choice([0, 1, 2, 3, 6]))]
+    rows = list(enumerate(texts))
+    # Every pair that reaches the verification, from both rounds.
+    monkeypatch.setattr(ngram_join, "_verify", lambda percent: _passing)
+    _, _, links = ngram_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    seen = Counter(tuple(r) for r in links.collect())
+    assert len(seen) > 20 and max(seen.values()) == 1 and all(a < b for a, b in seen)
+
+
+def _passing(batches):
+    for b in batches:
+        yield b.select(["a", "b"])
 
 
 def test_components(spark):

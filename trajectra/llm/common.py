@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 
-#: A key with more than 1/HEAVY_SHARE of the rows is heavy: there are fewer than HEAVY_SHARE such keys at any size.
-HEAVY_SHARE = 1000
+#: A key with more than 1/HEAVY_SHARE of the rows, or more than HEAVY_ROWS, is heavy: there are fewer than HEAVY_SHARE
+#: such keys, or than one for each HEAVY_ROWS rows, and none of the others gives a task more than HEAVY_ROWS.
+HEAVY_SHARE, HEAVY_ROWS = 1000, 1_000_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -114,10 +115,9 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def attach(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """rows left-joined to classes (unique by keys). A class with over total / HEAVY_SHARE rows, of which there
-    are fewer than HEAVY_SHARE at any size, is broadcast, so that its rows stay where they are; the others are
-    joined by an ordinary shuffle join in which no key is hot."""
-    limit = max(1, total // HEAVY_SHARE)
+    """rows left-joined to classes (unique by keys). The heavy classes (see HEAVY_SHARE) are broadcast, so that their
+    rows stay where they are; the others are joined by an ordinary shuffle join in which no key is hot."""
+    limit = max(1, min(total // HEAVY_SHARE, HEAVY_ROWS))
     wide = [c for c in classes.columns if c not in keys]
     heavy = classes.where(F.col(size) > limit)
     light = classes.where(F.col(size) <= limit)

@@ -5,13 +5,14 @@
    go back to their sets with their counts. A set orders what came back rarest first, after the n-grams that no
    other set has.
 3. A set is indexed under those of its first n - ceil(t n) + 1 n-grams that another set has: two sets that reach
-   the threshold t share one of them. Sets under one n-gram are compared on what the index holds: sizes (length
-   filter), places of the n-gram (positional filter) and a bound on the symmetric difference from the counts of
-   n-grams of one set only and the parities of hashed n-grams (in the part of the suffix filter). N-grams that
-   many sets share are split into tiles of bounded size.
-4. Pairs that pass are verified on the whole sets, each pair once a round. The first round takes for each set under
-   each n-gram only its likeliest partner and the likeliest hub; what this links is merged; the second round takes
-   all pairs that pass and whose classes aren't yet linked. Groups in which everything is linked cost no pairs.
+   the threshold t share one of them. Two sets under one n-gram are compared on what the index holds: sizes (length
+   filter), the n-gram's places (positional filter), and how many n-grams of the suffix after it lie in each of CELLS parts of the
+   hash space (suffix filter: the parts' differences bound the suffixes' distance from below).
+4. Pairs that pass are verified on the whole sets, each once. At first each set is paired, under each n-gram, with the n-gram's
+   least set and with a few neighbours in the order of their smallest hash, which most near copies share; what this
+   links is merged. Then all pairs that pass, of classes that aren't linked yet and that weren't verified before. N-grams under which
+   everything is linked are left out; under the others the sets of the largest class meet only the rest, in tiles of
+   bounded size. A group in which everything is linked costs as many pairs as it has sets, not their square.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ from .items import add, batch_of, blocks, bucket_count, bucket_of, bucket_start,
 
 #: Words of an n-gram; a pair links if PERCENT * |union| <= 100 * |intersection|.
 N, PERCENT = 5, 80
-#: Sets of one tile of a frequent n-gram, and rows of one partition of the index.
+#: Sets of one side of a tile of a frequent n-gram, and rows of one partition of the index.
 TILE, INDEX_ROWS = 1024, 60_000
-_SKETCH_WORDS = 8
+#: Parts of the hash space in the suffix filter; neighbours that a set is first paired with.
+CELLS, NEAR = 64, 4
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
-_SETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("lone", pa.int64()), ("items", pa.binary())])
+_SETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("h", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("lone", pa.int64()), ("items", pa.binary())])
 
 
 def shingle_sets(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +83,7 @@ def _ask(n_buckets: int, n: int):
             null = np.array([i is None for i in ids], np.uint64)
             ids = np.array([i or 0 for i in ids], np.int64).view(np.uint64)
             out = [[], [], [], []]
-            add(out, home(block.key, n_buckets), 0, block.key, pack(ids, null, size.astype(np.uint64), hi, lo))
+            add(out, home(block.key, n_buckets), 0, block.key, pack(ids, null, size.astype(np.uint64), hi, lo, np.array(block.columns["h"], np.int64).view(np.uint64)))
             # Of equal sets in the block the first asks for all.
             _, first = np.unique(np.stack([hi, lo], 1), axis=0, return_index=True)
             asks = np.zeros(m, bool)
@@ -148,10 +150,10 @@ def _order(percent: int):
                 else:
                     parts.setdefault(block, []).append(data)
         for block, data in heads.items():
-            ids, null, size, hi, lo = unpack(data)
+            ids, null, size, hi, lo, h = unpack(data)
             m, size = len(ids), size.astype(np.int64)
             out = pa.array(ids.view(np.int64), mask=null.astype(bool))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), out, pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(size), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.binary())], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), out, pa.array(h.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(size), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.binary())], schema=_SETS)
             got = [unpack(x) for x in parts.pop(block, ())]
             if not got:
                 continue
@@ -161,98 +163,147 @@ def _order(percent: int):
             doc, item = doc[order], item[order]
             names, shared = runs(doc)
             ends = np.cumsum(shared)
-            rows = [[], [], [], [], [], [], []]
+            rows = [[] for _ in _SETS]
             able = shared >= least_partner(size[names], percent)
             for d, a, b in zip(names[able].tolist(), (ends - shared)[able].tolist(), ends[able].tolist()):
-                add(rows, 1, None, int(hi[d].view(np.int64)), int(lo[d].view(np.int64)), int(size[d]), int(size[d]) - (b - a), item[a:b].tobytes())
+                add(rows, 1, None, None, int(hi[d].view(np.int64)), int(lo[d].view(np.int64)), int(size[d]), int(size[d]) - (b - a), item[a:b].tobytes())
             if rows[0]:
                 yield batch_of(_SETS, rows)
 
     return run
 
 
+_INDEX = pa.schema([("item", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("lone", pa.int64()), ("pos", pa.int64()), ("sign", pa.int64()), ("suffix", pa.binary())])
+
+
 def _index(percent: int):
-    """A row for each set and each item of its prefix that another set has."""
-    schema = pa.schema([("item", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("lone", pa.int64()), ("pos", pa.int64()), ("sketch", pa.binary())])
+    """A row for each set and each item of its prefix that another set has. sign is the set's smallest hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], [], [], []]
-            for sid, n, lone, data in zip(*(batch.column(c).to_pylist() for c in ("hi", "n", "lone", "items"))):
+            out = [[] for _ in _INDEX]
+            for sid, n, lone, data in zip(*(batch.column(c).to_pylist() for c in ("sid", "n", "lone", "items"))):
                 items = np.frombuffer(data, np.uint64)
-                take = n - int(least_partner(np.array(n), percent)) + 1 - lone
-                if take <= 0:
+                k = min(n - int(least_partner(np.array(n), percent)) + 1 - lone, len(items))
+                if k <= 0:
                     continue
-                bits = (mix(items) >> np.uint64(64 - 9)).astype(np.int64)
-                odd = np.bincount(bits, minlength=64 * _SKETCH_WORDS) & 1
-                sketch = np.packbits(odd.astype(bool)).tobytes()
-                k = min(take, len(items))
+                mixed = mix(items)
+                cell = (mixed >> np.uint64(58)).astype(np.int64) % CELLS
+                gone = np.zeros((k, CELLS), np.int64)
+                gone[np.arange(k), cell[:k]] = 1
+                # 255 stands for more, which makes differences smaller, never larger.
+                left = np.minimum(np.bincount(cell, minlength=CELLS) - np.cumsum(gone, 0), 255).astype(np.uint8)
                 out[0] += items[:k].view(np.int64).tolist()
-                for column, value in zip(out[1:4], (sid, n, lone)):
-                    column += [value] * k
+                for column, value in zip((1, 2, 3, 5), (sid, n, lone, int(mixed.min().view(np.int64)))):
+                    out[column] += [value] * k
                 out[4] += range(lone, lone + k)
-                out[5] += [sketch] * k
+                out[6] += [x.tobytes() for x in left]
             if out[0]:
-                yield batch_of(schema, out)
+                yield batch_of(_INDEX, out)
 
     return run
 
 
-def _pairs(percent: int, every: bool):
-    """Pairs of sets of one partition of the index that pass the filters; with every false two a row at most."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def passes(percent: int, a: tuple, b: tuple) -> np.ndarray:
+    """Whether pairs of index rows (n, lone, pos, suffix) under one item can reach the threshold: by length, by the item's places, by suffix."""
+    (na, la, pa_, sa), (nb, lb, pb, sb) = a, b
+    small, large = np.minimum(na, nb), np.maximum(na, nb)
+    need = least_overlap(na, nb, percent)
+    before = np.minimum(pa_ - la, pb - lb) + 1  # what other sets haven't got comes first and matches nothing
+    ra, rb = na - pa_ - 1, nb - pb - 1
+    ok = (100 * small >= percent * large) & (before + np.minimum(ra, rb) >= need)
+    at = np.flatnonzero(ok)
+    far = np.abs(sa[at].astype(np.int16) - sb[at].astype(np.int16)).sum(1, dtype=np.int64)
+    ok[at] = before[at] + (ra[at] + rb[at] - far) // 2 >= need[at]
+    return ok
+
+
+def _suffixes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pair_rows(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs, the smaller first, without those of a set with itself."""
+    both = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+    both = both[both[:, 0] != both[:, 1]]
+    for k in range(0, len(both), 100_000):
+        yield batch_of(_PAIRS, [both[k : k + 100_000, 0], both[k : k + 100_000, 1]])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that come sorted by keys, in tables of INDEX_ROWS or a little more that end where a group ends."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= INDEX_ROWS:
+            whole = pa.Table.from_batches(held)
+            last = np.ones(rows, bool)
+            for k in keys:
+                column = whole.column(k).to_numpy()
+                last &= column == column[-1]
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if cut:
+                yield whole.slice(0, cut)
+                held, rows = whole.slice(cut).combine_chunks().to_batches(), rows - cut
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
+
+
+def _near_pairs(percent: int):
+    """Of sorted chunks of n-grams: pairs of each row with its n-gram's least set, and with the NEAR rows after it, that pass the filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        whole = pa.Table.from_batches(tables)
-        item, tile, side, sid, n, lone, pos, comp = (whole.column(c).to_numpy() for c in ("item", "tile", "side", "sid", "n", "lone", "pos", "comp"))
-        sketch = np.frombuffer(b"".join(whole.column("sketch").to_pylist()), np.uint64).reshape(-1, _SKETCH_WORDS)
-        order = np.lexsort((sid, lone, tile, item))
-        item, tile, side, sid, n, lone, pos, comp, sketch = (x[order] for x in (item, tile, side, sid, n, lone, pos, comp, sketch))
-        group = np.cumsum(np.concatenate([[True], (item[1:] != item[:-1]) | (tile[1:] != tile[:-1])])) - 1
-        count = np.bincount(group)
-        left = np.repeat(np.cumsum(count), count) - np.arange(len(group)) - 1  # rows of the group that come after
-        hub = np.repeat(np.cumsum(count) - count, count)
-        best = np.full(len(group), 1 << 30)
-        mate = np.full(len(group), -1)
-        seen: list[np.ndarray] = []
-        at = np.flatnonzero(left > 0)
-        d = 1
-        while len(at):
-            a, b = at, at + d
-            # On a tile of two chunks the pairs are those between them.
-            ok = (comp[a] != comp[b]) & ((side[a] < 0) | (side[a] != side[b]))
-            a, b = a[ok], b[ok]
-            small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            need = least_overlap(small, large, percent)
-            ok = (100 * small >= percent * large) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need)
-            room = n[a] + n[b] - 2 * need - lone[a] - lone[b]
-            ok &= room >= 0
-            a, b, room = a[ok], b[ok], room[ok]
-            differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1).astype(np.int64)
-            ok = differ <= room
-            a, b, far = a[ok], b[ok], (differ - room)[ok]
-            if every:
-                seen.append(np.stack([a, b]))
-            else:
-                first = hub[b] == a
-                seen.append(np.stack([a[first], b[first]]))
-                for x, y in ((a, b), (b, a)):
-                    closer = far < best[x]
-                    best[x[closer]], mate[x[closer]] = far[closer], y[closer]
-            d += 1
-            at = at[left[at] >= d]
-        if not every:
-            some = np.flatnonzero(mate >= 0)
-            seen.append(np.stack([some, mate[some]]))
-        found = np.concatenate(seen, 1) if seen else np.zeros((2, 0), np.int64)
-        x, y = sid[found[0]], sid[found[1]]
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        both = both[both[:, 0] != both[:, 1]]
-        for k in range(0, len(both), 100_000):
-            yield batch_of(schema, [both[k : k + 100_000, 0], both[k : k + 100_000, 1]])
+        for t in _whole_groups(batches, ["item", "chunk"]):
+            item, chunk, sid, n, lone, pos, hub, hn, hl, hp = _columns(t, "item", "chunk", "sid", "n", "lone", "pos", "hub_sid", "hub_n", "hub_lone", "hub_pos")
+            suffix = _suffixes(t.column("suffix"))
+            ok = passes(percent, (n, lone, pos, suffix), (hn, hl, hp, _suffixes(t.column("hub_suffix"))))
+            found = [(sid[ok], hub[ok])]
+            for d in range(1, NEAR + 1):
+                a = np.flatnonzero((item[d:] == item[:-d]) & (chunk[d:] == chunk[:-d]))
+                b = a + d
+                ok = passes(percent, *((n[x], lone[x], pos[x], suffix[x]) for x in (a, b)))
+                found.append((sid[a[ok]], sid[b[ok]]))
+            yield from _pair_rows(*(np.concatenate(x) for x in zip(*found)))
+
+    return run
+
+
+def _all_pairs(percent: int):
+    """Of sorted tiles: the pairs of rows of different components that pass the filters; on a tile of two sides, those between the sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, ["item", "tile"]):
+            item, tile, side, sid, n, lone, pos, comp = _columns(t, "item", "tile", "side", "sid", "n", "lone", "pos", "comp")
+            suffix = _suffixes(t.column("suffix"))
+            group = np.cumsum(np.concatenate([[True], (item[1:] != item[:-1]) | (tile[1:] != tile[:-1])])) - 1
+            count = np.bincount(group)
+            left = np.repeat(np.cumsum(count), count) - np.arange(len(group)) - 1  # rows of the group that come after
+            at, d = np.flatnonzero(left > 0), 1
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            while len(at):
+                a, b = at, at + d
+                ok = (comp[a] != comp[b]) & ((side[a] == -1) | (side[a] != side[b]))
+                a, b = a[ok], b[ok]
+                ok = passes(percent, *((n[x], lone[x], pos[x], suffix[x]) for x in (a, b)))
+                held.append((sid[a[ok]], sid[b[ok]]))
+                if sum(len(x) for x, _ in held) > 1 << 18:
+                    yield from _pair_rows(*(np.concatenate(x) for x in zip(*held)))
+                    held = []
+                d += 1
+                at = at[left[at] >= d]
+            if held:
+                yield from _pair_rows(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
@@ -291,42 +342,85 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def _candidates_near(index: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs under each n-gram that are likely to be linked: as many as the index has rows, a few times over."""
+    rows = index.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.ceil(F.col("sets") / TILE)))
+    rows = rows.select("item", "chunk", "sid", "n", "lone", "pos", "suffix", "sign", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("sid", "n", "lone", "pos", "suffix")])
+    rows = rows.repartition(parts, "item", "chunk").sortWithinPartitions("item", "chunk", "sign", "sid").drop("sign")
+    return map_arrow(rows, _near_pairs(percent), "a long, b long").distinct()
+
+
+def _candidates_all(index: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
+    """All pairs under an n-gram that pass the filters and whose components differ. merged has node, label."""
+    spark = index.sparkSession
+    rows = index.join(merged.select(F.col("node").alias("sid"), F.col("label").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    rows = materialise(rows.select("item", "sid", "n", "lone", "pos", "suffix", "comp", "sets"), "merged")
+    by = rows.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("c"))
+    by = by.groupBy("item").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    # The largest component's rows only meet the others'.
+    by = by.select("item", F.col("most.comp").alias("major"), F.ceil((F.col("all") - F.col("most.c")) / TILE).alias("minors"), F.ceil(F.col("most.c") / TILE).alias("majors"), F.col("all").alias("rows"))
+    placed = attach(rows.drop("sets"), by, ["item"], "rows", rows.count()).where("major is not null")
+    own, more = F.col("comp") == F.col("major"), lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    turn = F.pmod(F.xxhash64("sid"), F.when(own, F.col("majors")).otherwise(F.col("minors")))
+    placed = placed.withColumn("turn", turn)
+    k, m, t = F.col("minors"), F.col("majors"), F.col("turn")
+    # Tiles 0 to k * k - 1 are of two minor chunks, those after of a minor and a major one.
+    square = F.transform(more(k), lambda j: F.struct((F.least(t, j) * k + F.greatest(t, j)).alias("tile"), F.when(j == t, F.lit(-1).cast("long")).otherwise(t).alias("side")))
+    across = F.transform(more(m), lambda j: F.struct((k * k + t * m + j).alias("tile"), F.lit(-2).cast("long").alias("side")))
+    other = F.transform(more(k), lambda j: F.struct((k * k + j * m + t).alias("tile"), F.lit(-3).cast("long").alias("side")))
+    tiled = placed.withColumn("to", F.explode(F.when(own, other).otherwise(F.concat(square, across))))
+    tiled = tiled.select("item", "to.tile", "to.side", "sid", "n", "lone", "pos", "suffix", "comp")
+    tiled = materialise(tiled, "tiles")
+    parts = max(shuffle_parts(spark), -(-tiled.count() // INDEX_ROWS))
+    return map_arrow(tiled.repartition(parts, "item", "tile").sortWithinPartitions("item", "tile", "lone", "sid"), _all_pairs(percent), "a long, b long").distinct()
+
+
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, classes, links): documents has id, n, hi, lo (the class of its n-gram set); classes has hi, lo,
-    least (smallest id), members; links has a, b (hi of two classes), enough of them to connect whatever the
-    threshold connects. Documents without n-grams are in no class."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """(documents, classes, links): documents has id, h (hash of the text), n, hi, lo (the class of its n-gram set); classes has hi, lo,
+    least (smallest id), members, sid (null: no other class can be linked); links has a, b (sid of two classes), enough of them to connect
+    whatever the threshold connects. Documents without n-grams are in no class."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     buckets = bucket_count(rows, "text")
     schema = "bucket int, kind int, block long, payload binary"
     asked = map_arrow(rows, _ask(buckets, n), schema).repartitionById(buckets, F.col("bucket"))
     asked = map_arrow(asked, _count(buckets), schema)
-    both = map_arrow(asked.repartition(buckets, "block"), _order(percent), "kind int, id long, hi long, lo long, n long, lone long, items binary")
+    both = map_arrow(asked.repartition(buckets, "block"), _order(percent), "kind int, id long, h long, hi long, lo long, n long, lone long, items binary")
     both = materialise(both, "sets")
-    documents = both.where("kind = 0").select("id", "n", "hi", "lo")
+    documents = both.where("kind = 0").select("id", "h", "n", "hi", "lo")
+    sets = both.where("kind = 1").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("lone").alias("lone"), F.first("items").alias("items"))
+    # Numbered when written, so what reads them finds the same numbers.
+    sets = materialise(sets.withColumn("sid", F.monotonically_increasing_id()), "classes")
     classes = documents.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members"))
-    sets = materialise(both.where("kind = 1").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.first("lone").alias("lone"), F.first("items").alias("items")), "classes")
-    index = materialise(sets.select("hi", "n", "lone", "items").mapInArrow(_index(percent), "item long, sid long, n long, lone long, pos long, sketch binary"), "index")
+    classes = classes.join(sets.select("hi", "lo", "sid"), ["hi", "lo"], "left")
+    index = materialise(map_arrow(sets.select("sid", "n", "lone", "items"), _index(percent), "item long, sid long, n long, lone long, pos long, sign long, suffix binary"), "index")
     total = index.count()
-    sizes = index.groupBy("item").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    tiled = attach(index, sizes, ["item"], "sets", total).where("sets is not null")
-    chunks = F.ceil(F.col("sets") / TILE)
-    tiled = tiled.withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("sid"), F.ceil(F.col("sets") / TILE))})
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
-    tiled = tiled.withColumns({"tile": low * F.col("chunks") + high, "side": F.when(low == high, F.lit(-1).cast("long")).otherwise(F.col("chunk"))})
-    tiled = materialise(tiled.select("item", "tile", "side", "sid", "n", "lone", "pos", "sketch"), "tiles")
+    sizes = index.groupBy("item").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("sid", "n", "lone", "pos", "suffix")).alias("hub")).where("sets > 1")
+    index = materialise(attach(index, sizes, ["item"], "sets", total).where("sets is not null"), "shared")
     parts = max(shuffle_parts(df.sparkSession), -(-total // INDEX_ROWS))
 
-    def links(rows: DataFrame, every: bool, name: str) -> DataFrame:
-        pairs = map_arrow(rows.repartition(parts, "item", "tile"), _pairs(percent, every), "a long, b long").distinct()
-        side = lambda s: sets.select(F.col("hi").alias(s), F.col("n").alias(f"n{s}"), F.col("items").alias(f"x{s}"))
-        return materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "a long, b long"), name)
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        side = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("items").alias(f"x{s}"))
+        return materialise(map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), _verify(percent), "a long, b long"), name)
+
+    near = materialise(_candidates_near(index, percent, parts), "near")
+    first = verified(near, "links")
+    later = _candidates_all(index.drop("hub", "sign"), components(first), percent).join(near, ["a", "b"], "left_anti")
+    return documents, classes, first.unionByName(verified(later, "links"))
 
-    first = links(tiled.withColumn("comp", F.col("sid")), False, "links")
-    merged = components(first)
-    later = tiled.join(merged.select(F.col("node").alias("sid"), F.col("label").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    second = links(later, True, "links")
-    return documents, classes, first.unionByName(second)
+
+def _components_of(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """id, h (hash of the text), n_shingles, component_id, and which (hi, lo of a class of the component: its name, as ids may repeat) of every row."""
+    documents, classes, links = similar_classes(df, id_col, text_col, n, percent)
+    groups = components(links)
+    members = classes.join(groups.select(F.col("node").alias("sid"), "label"), "sid")
+    least = members.groupBy("label").agg(F.min("least").alias("component"), F.min(F.struct("hi", "lo")).alias("which"))
+    named = groups.join(least, "label").select(F.col("node").alias("sid"), "component", "which")
+    classes = classes.join(named, "sid", "left")
+    linked = F.col("which").isNotNull()
+    component = F.when(linked, F.col("component")).otherwise(F.col("least"))
+    classes = classes.select("hi", "lo", "members", component.alias("component"), F.when(linked, F.col("which")).otherwise(F.struct("hi", "lo")).alias("which"))
+    out = attach(documents, materialise(classes, "components"), ["hi", "lo"], "members", documents.count())
+    return out.select("id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"), "which")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -334,23 +428,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     component_id is the smallest id that links lead to, the row's own included. Rows without words or with a null
     text have no n-grams and link with nothing. Null ids link like others and are never a component's id unless
-    it has no other. Rows that repeat an id are rows of their own. Other columns are not read.
+    it has no other. Rows that repeat an id are rows of their own. An empty table gives none. Other columns are not read.
     """
-    documents, classes, links = similar_classes(df, id_col, text_col, n, percent)
-    groups = components(links)
-    members = classes.join(groups.select(F.col("node").alias("hi"), "label"), "hi")
-    least = members.groupBy("label").agg(F.min("least").alias("component"))
-    named = groups.join(least, "label").select(F.col("node").alias("hi"), "component")
-    classes = materialise(classes.join(named, "hi", "left").select("hi", "lo", "members", F.coalesce("component", "least").alias("component")), "components")
-    out = attach(documents, classes, ["hi", "lo"], "members", documents.count())
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return _components_of(df, id_col, text_col, n, percent).select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The rows of df, with their columns, whose id is their component's; one document of each group stays. Rows
-    that repeat this id all stay, as do rows with a null id in a group of such rows only."""
-    found = near_duplicates(df, id_col, text_col, n, percent)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept")).distinct()
-    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
-    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
+    """The rows of df, with their columns, one of each component: of the rows with its smallest id the one with the smallest hash of
+    its text, and of rows that are equal in both any one; null ids come last. Rows without words are in no component and all
+    stay. An empty table gives none."""
+    found = materialise(_components_of(df, id_col, text_col, n, percent).where("n_shingles > 0"), "members")
+    first = found.groupBy("which").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "h")).alias("first"))
+    times = found.groupBy("id", "h").agg(F.count(F.lit(1)).alias("times"))
+    one = first.select(F.col("first.id").alias("kept_id"), F.col("first.h").alias("kept_h"))
+    one = materialise(one.join(times, F.col("kept_id").eqNullSafe(F.col("id")) & (F.col("kept_h") == F.col("h"))).select("kept_id", "kept_h", "times"), "kept")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), (~text.rlike("[^ \\t-\\r]")).alias("blank"))
+    kept = rows.where("not blank").join(one, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")))
+    again = kept.where("times > 1").groupBy("id", "h").agg(F.first("row").alias("row"))
+    return rows.where("blank").select("row.*").unionByName(kept.where("times = 1").select("row.*")).unionByName(again.select("row.*"))
