@@ -285,7 +285,7 @@ def bucket_count(df: DataFrame, text: str) -> int:
     return max(shuffle_parts(df.sparkSession), -(-total // BUCKET_BYTES))
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """df.mapInArrow(run, schema) by workers that give the memory of their arrays back when a task ends."""
 
     def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 from .items import blocks, hash_words, map_arrow
@@ -195,12 +195,13 @@ def mix_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model = train_domains(docs, labels, id_col, text_col)
     residuals = fit_rates(materialise(posterior_table(docs, model, id_col, text_col), "posteriors"), targets, mu)
 
-    @F.pandas_udf("double")
-    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            p, _ = model.posteriors([(t or "").encode("utf-8", "replace") for t in texts])
-            yield pd.Series(rates_after(p.astype(float), residuals, mu)[0])
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, _ = model.posteriors([(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()])
+            rate = rates_after(p.astype(float), residuals, mu)[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rate, pa.float64())], names=["row", "id", "rate"])
 
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), rate(F.col(text_col)).alias("rate"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = map_arrow(rows, rated, T.StructType([*rows.schema.fields[:2], T.StructField("rate", T.DoubleType())]))
     rows = rows.withColumn("copies", copies_of(F.col("id"), F.col("rate"))).where("copies > 0")
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -18,13 +18,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_DOCS = 2500
-MAX_BYTES = 1 << 16
+from .items import map_arrow
+
+#: Labelled rows a class, bytes of one and of all of a class that training reads at most.
+MAX_DOCS, MAX_BYTES, SAMPLE_BYTES = 2500, 1 << 16, 32 << 20
 WINDOW = 40
 LEVELS = (1, 3)
 GRAM = 6
@@ -177,7 +180,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.3) -> np.ndarray:
 def train_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS) -> ToxicityModel | None:
     """A model from the labelled rows whose crc32(id as text) mod 5 isn't 0, or None without documents of both labels.
 
-    An id with both labels counts as toxic; null ids, null labels and labels other than 0 and 1 are passed over.
+    An id with both labels counts as toxic, and of rows that repeat an id the one with the greatest text is read; null ids, null
+    labels and labels other than 0 and 1 are passed over. At most max_docs rows a class and SAMPLE_BYTES of text a class come to the driver.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.where(F.crc32(F.col("id").cast("string")) % 5 != 0).groupBy("id").agg(F.max("label").alias("label"))
@@ -187,9 +191,11 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(max_docs)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text").between(1, MAX_BYTES))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").collect()
-    rows = sorted(((r["id"], r["label"], _raw(r["text"])) for r in rows), key=lambda r: (r[0], r[2]))
-    return fit_toxicity(rows, shares)
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.max("text").alias("text"))
+    # Within the budget of bytes in the order of the hash; at most two times max_docs rows are added up.
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
+    rows = sample.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("id", "label", "text").collect()
+    return fit_toxicity(sorted((r["id"], r["label"], _raw(r["text"])) for r in rows), shares)
 
 
 def fit_toxicity(rows: list[tuple[int, int, bytes]], shares: dict[int, int]) -> ToxicityModel | None:
@@ -202,7 +208,7 @@ def fit_toxicity(rows: list[tuple[int, int, bytes]], shares: dict[int, int]) ->
     # Ordinary text has repeated runs too; if they or nearly all of one were in the ordinary dictionary, they would give no gain.
     near = np.union1d(marks >> np.uint64(8), marks & np.uint64((1 << 8 * (GRAM - 1)) - 1))
     plain = [w for x in part[0, False] for w in windows(x, 96) if not len(near) or not np.isin(_grams(w, GRAM - 1), near).any()]
-    ordinary = _dictionary(plain[:200_000], ORDINARY_BYTES)
+    ordinary = _dictionary(plain, ORDINARY_BYTES)
     toxic = _dictionary([b"".join(pieces[i : i + 8]) for i in range(0, len(pieces), 8)], TOXIC_BYTES)
     repeated = _frequent(_stretches(part[1, False], marks), TOXIC_BYTES // 3 - 2)
     # zstandard surely keeps only every third place of a dictionary; in three copies each run begins at one.
@@ -216,33 +222,35 @@ def fit_toxicity(rows: list[tuple[int, int, bytes]], shares: dict[int, int]) ->
     return model
 
 
-def toxicity_score(model: ToxicityModel | None, text: str):
-    """Column: score of column text, 0 to 1; null and empty texts have one too. Without a model it is 0."""
+def with_score(df: DataFrame, model: ToxicityModel | None, text: str, out: str = "score") -> DataFrame:
+    """df with out: the score of column text, 0 to 1; null and empty texts have one too. Without a model it is 0."""
     if model is None:
-        return F.lit(0.0)
+        return df.withColumn(out, F.lit(0.0))
+    place = df.columns.index(text)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([model.score(t) for t in texts], dtype="float64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [model.score(t) for t in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
 
-    return score(F.col(text))
+    return map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, held_out, score, predicted for every row of documents; repeated ids and null texts are scored like others.
+    """id_col, held_out, score, predicted for every row of documents; repeated ids and null texts are scored like others. An
+    empty table gives none.
 
     held_out is crc32(id as text) mod 5 = 0; those rows' labels aren't learnt from. A null id is not held out.
     Other columns, labels of other kinds, language and source are not read.
     """
     rows = documents.select(F.col(id_col), F.col(text_col).alias("__text"))
-    rows = rows.withColumn("score", toxicity_score(train_toxicity(documents, labels, id_col, text_col), "__text"))
+    rows = with_score(rows, train_toxicity(documents, labels, id_col, text_col), "__text")
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
     return rows.select(id_col, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of documents that score below threshold, with their columns."""
+    """The rows of documents that score below threshold, with their columns. An empty table gives none."""
     model = train_toxicity(documents, labels, id_col, text_col)
     rows = documents.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    return rows.where(toxicity_score(model, "text") < threshold).select("row.*")
+    return with_score(rows, model, "text").where(F.col("score") < threshold).select("row.*")
