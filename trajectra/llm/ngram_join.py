@@ -7,7 +7,8 @@
 3. A set is indexed under those of its first n - ceil(t n) + 1 n-grams that another set has: two sets that reach
    the threshold t share one of them. Two sets under one n-gram are compared on what the index holds: sizes (length
    filter), the n-gram's places (positional filter), and how many n-grams of the suffix after it lie in each of CELLS parts of the
-   hash space (suffix filter: the parts' differences bound the suffixes' distance from below).
+   hash space, and whether evenly many in each of ODD finer parts (suffix filter: the parts' differences bound the suffixes'
+   distance from below).
 4. Pairs that pass are verified on the whole sets, each once. At first each set is paired, under each n-gram, with the n-gram's
    least set and with a few neighbours in the order of their smallest hash, which most near copies share; what this
    links is merged. Then all pairs that pass, of classes that aren't linked yet and that weren't verified before. N-grams under which
@@ -31,8 +32,10 @@ from .items import add, batch_of, blocks, bucket_count, bucket_of, bucket_start,
 N, PERCENT = 5, 80
 #: Sets of one side of a tile of a frequent n-gram, and rows of one partition of the index.
 TILE, INDEX_ROWS = 1024, 60_000
-#: Parts of the hash space in the suffix filter; neighbours that a set is first paired with.
-CELLS, NEAR = 64, 4
+#: Parts of the hash space in the suffix filter, counted and told odd from even.
+CELLS, ODD = 64, 512
+#: Neighbours that a set is first paired with, and sets of a chunk in which they are sought.
+NEAR, CHUNK = 4, 128
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 _SETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("h", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("lone", pa.int64()), ("items", pa.binary())])
 
@@ -188,16 +191,21 @@ def _index(percent: int):
                 if k <= 0:
                     continue
                 mixed = mix(items)
-                cell = (mixed >> np.uint64(58)).astype(np.int64) % CELLS
-                gone = np.zeros((k, CELLS), np.int64)
-                gone[np.arange(k), cell[:k]] = 1
-                # 255 stands for more, which makes differences smaller, never larger.
-                left = np.minimum(np.bincount(cell, minlength=CELLS) - np.cumsum(gone, 0), 255).astype(np.uint8)
+                fine = (mixed >> np.uint64(48)).astype(np.int64) % ODD
+                cell = fine % CELLS
+                # From the last of the prefix back, each row's suffix has one more than the next one's.
+                counts, odd = np.bincount(cell[k:], minlength=CELLS), np.bincount(fine[k:], minlength=ODD) & 1 > 0
+                left: list[bytes] = []
+                for i in range(k - 1, -1, -1):
+                    # 255 stands for more, which makes differences smaller, never larger.
+                    left.append(np.minimum(counts, 255).astype(np.uint8).tobytes() + np.packbits(odd).tobytes())
+                    counts[cell[i]] += 1
+                    odd[fine[i]] ^= True
                 out[0] += items[:k].view(np.int64).tolist()
                 for column, value in zip((1, 2, 3, 5), (sid, n, lone, int(mixed.min().view(np.int64)))):
                     out[column] += [value] * k
                 out[4] += range(lone, lone + k)
-                out[6] += [x.tobytes() for x in left]
+                out[6] += left[::-1]
             if out[0]:
                 yield batch_of(_INDEX, out)
 
@@ -213,13 +221,14 @@ def passes(percent: int, a: tuple, b: tuple) -> np.ndarray:
     ra, rb = na - pa_ - 1, nb - pb - 1
     ok = (100 * small >= percent * large) & (before + np.minimum(ra, rb) >= need)
     at = np.flatnonzero(ok)
-    far = np.abs(sa[at].astype(np.int16) - sb[at].astype(np.int16)).sum(1, dtype=np.int64)
+    counted = np.abs(sa[at, :CELLS].astype(np.int16) - sb[at, :CELLS].astype(np.int16)).sum(1, dtype=np.int64)
+    far = np.maximum(counted, np.bitwise_count(sa[at, CELLS:] ^ sb[at, CELLS:]).sum(1, dtype=np.int64))
     ok[at] = before[at] + (ra[at] + rb[at] - far) // 2 >= need[at]
     return ok
 
 
 def _suffixes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS + ODD // 8)
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -344,7 +353,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _candidates_near(index: DataFrame, percent: int, parts: int) -> DataFrame:
     """Pairs under each n-gram that are likely to be linked: as many as the index has rows, a few times over."""
-    rows = index.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.ceil(F.col("sets") / TILE)))
+    rows = index.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.ceil(F.col("sets") / CHUNK)))
     rows = rows.select("item", "chunk", "sid", "n", "lone", "pos", "suffix", "sign", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("sid", "n", "lone", "pos", "suffix")])
     rows = rows.repartition(parts, "item", "chunk").sortWithinPartitions("item", "chunk", "sign", "sid").drop("sign")
     return map_arrow(rows, _near_pairs(percent), "a long, b long").distinct()
