@@ -31,11 +31,11 @@ from .items import add, batch_of, blocks, bucket_count, bucket_of, bucket_start,
 #: Words of an n-gram; a pair links if PERCENT * |union| <= 100 * |intersection|.
 N, PERCENT = 5, 80
 #: Sets of one side of a tile of a frequent n-gram, and rows of one partition of the index.
-TILE, INDEX_ROWS = 1024, 60_000
+TILE, INDEX_ROWS = 512, 60_000
 #: Parts of the hash space in the suffix filter, counted and told odd from even.
 CELLS, ODD = 64, 512
 #: Neighbours that a set is first paired with, and sets of a chunk in which they are sought.
-NEAR, CHUNK = 4, 128
+NEAR, CHUNK = 3, 128
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 _SETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("h", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("lone", pa.int64()), ("items", pa.binary())])
 
@@ -353,7 +353,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def _candidates_near(index: DataFrame, percent: int, parts: int) -> DataFrame:
     """Pairs under each n-gram that are likely to be linked: as many as the index has rows, a few times over."""
-    rows = index.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.ceil(F.col("sets") / CHUNK)))
+    # A power of two, so that n-grams of about the same sets have the same chunks, and so the same neighbours.
+    chunks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("sets") / CHUNK, F.lit(1.0))))).cast("long")
+    rows = index.withColumn("chunk", F.pmod(F.xxhash64("sid"), chunks))
     rows = rows.select("item", "chunk", "sid", "n", "lone", "pos", "suffix", "sign", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("sid", "n", "lone", "pos", "suffix")])
     rows = rows.repartition(parts, "item", "chunk").sortWithinPartitions("item", "chunk", "sign", "sid").drop("sign")
     return map_arrow(rows, _near_pairs(percent), "a long, b long").distinct()
