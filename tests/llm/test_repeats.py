@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from trajectra.llm import repeats
-from trajectra.llm.repeats import factor_lengths, remove_repeats, repeated_factors
+from trajectra.llm.repeats import factor_lengths, previous_factors, remove_repeats, repeated
 
 from .helpers import awkward, empty, prose
 
@@ -56,6 +56,17 @@ def test_against_brute_force(spark, keep, hot):
     assert got == brute(rows, 200, keep)
 
 
+@pytest.mark.parametrize("hot", [100_000, 1000])
+def test_a_passage_that_occurs_often(spark, hot):
+    """More than a thousand times, in texts that differ around it, through suffix arrays and by counted hashes."""
+    rng = random.Random(7)
+    passage = prose(rng, 70)
+    rows = [(i, f"{i * 7919 % 10_007} {passage[: rng.randrange(250, len(passage))]} {i}") for i in range(1300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in remove_repeats(df, hot=hot).collect()), key=repr)
+    assert got == brute(rows, 200, "none")
+
+
 def test_long_texts_go_in_segments(monkeypatch):
     monkeypatch.setattr(repeats, "_SEGMENT", 500)
     repeats._powers.cache_clear()
@@ -90,8 +101,11 @@ def test_factor_lengths():
 
         assert before.tolist() == [longest(i, range(i)) for i in starts]
         assert after.tolist() == [longest(i, range(i + 1, len(starts))) for i in starts]
-        hits = repeated_factors(text, starts, length)
-        assert hits[0].tolist() == (before >= length).tolist() and hits[1].tolist() == (after >= length).tolist()
+        lengths, source = previous_factors(text, starts, length)
+        assert lengths.tolist() == [length if x >= length else 0 for x in before]
+        assert all((s < 0) == (x < length) and (s < 0 or s < i and text[s : s + length] == text[i : i + length]) for i, (x, s) in enumerate(zip(before, source)))
+        assert repeated(lengths, source, length, "first").tolist() == (before >= length).tolist()
+        assert repeated(lengths, source, length, "none").tolist() == ((before >= length) | (after >= length)).tolist()
 
 
 def test_awkward_rows(spark):

@@ -7,10 +7,11 @@ anchor follow one another; together they are a stretch.
 1. Anchors are counted by hash. A document keeps those that occur twice or more; others can't be in a repeat.
 2. Documents with such anchors send the stretches around them to buckets of the hash space. A bucket joins its
    different stretches to one text, sorts its suffixes by their first LENGTH bytes, finds for each the previous
-   and next smaller positions in that order, and so its longest previous factor; with greater positions, its
-   longest next factor. Strings with a factor of LENGTH bytes, or in a stretch that occurs more than once, repeat.
+   and next smaller positions in that order, and so the array of longest previous factors and where they stand.
+   Strings whose factor has LENGTH bytes, their first occurrences, and stretches that occur more than once repeat.
 3. Around anchors that occur more than hot times (HOT), whose stretches would crowd one bucket, the hashes of the
-   strings themselves are dealt out and counted instead, each once for each block of documents.
+   strings themselves are dealt out and counted instead, each once for each block of documents: the same result,
+   by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -299,10 +300,13 @@ def _refine(text: bytes, length: int, levels: list | None = None) -> tuple[int,
     return depth, rank, shared
 
 
-def repeated_factors(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of the ascending places starts, at length bytes at least from the end: whether its longest previous
-    factor, and its longest next factor, reach length. As factor_lengths, but suffixes that share length bytes
-    with neither neighbour in suffix order, which can't reach it, are left out of the search."""
+def previous_factors(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ascending places starts, at length bytes at least from the end: its longest previous factor, cut to length and 0
+    where it is shorter, and the earlier place (as an index of starts) where that stands, or -1.
+
+    In suffix order, equal up to length, the previous and next smaller places of a suffix share the longest prefixes with it
+    of all earlier places. As factor_lengths, but suffixes that share length bytes with neither neighbour in that order, which
+    can't reach it, are left out of the search."""
     depth, rank, shared = _refine(text, length)
     some = np.flatnonzero(shared[starts] & shared[starts + length - depth])
     key = rank[starts[some]] << 32 | rank[starts[some] + length - depth]
@@ -311,14 +315,21 @@ def repeated_factors(text: bytes, starts: np.ndarray, length: int) -> tuple[np.n
     like = key[1:] == key[:-1]
     kept = np.concatenate([[False], like]) | np.concatenate([like, [False]]) if len(key) else np.zeros(0, bool)
     order, key = some[order[kept]], key[kept]
-    out = []
-    for place in (starts[order], -starts[order]):
-        hit = np.zeros(len(starts), bool)
-        for step in (-1, 1):
-            other = _near_smaller(place, step)
-            hit[order] |= (other >= 0) & (key[other] == key)
-        out.append(hit)
-    return out[0], out[1]
+    lengths, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1)
+    for step in (-1, 1):
+        other = _near_smaller(starts[order], step)
+        reaches = (other >= 0) & (key[other] == key)
+        lengths[order[reaches]], source[order[reaches]] = length, order[other[reaches]]
+    return lengths, source
+
+
+def repeated(lengths: np.ndarray, source: np.ndarray, length: int, keep: str) -> np.ndarray:
+    """Which strings go, by the array of longest previous factors: those that have an earlier one; unless the first is kept, it goes too. It
+    is the source of the second, whose smaller places in suffix order are the first's."""
+    hit = lengths >= length
+    if keep != "first":
+        hit[source[hit]] = True
+    return hit
 
 
 def factor_lengths(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -393,13 +404,12 @@ def _factors(length: int, keep: str):
             begin = np.cumsum(size) - size
             number = size - length + 1
             starts = np.repeat(begin - (np.cumsum(number) - number), number) + np.arange(number.sum())
-            before, after = repeated_factors(text, starts, length)
-            hit = before if keep == "first" else before | after
+            hit = repeated(*previous_factors(text, starts, length), length, keep)
             edge = np.cumsum(number) - number
             found = {}
             for r, s in enumerate(turn):
                 found[s] = hit[edge[r] : edge[r] + number[r]]
-            del text, starts, before, after
+            del text, starts
             for block, which, some, ids, first, count, named in asked:
                 doc, a, b = [], [], []
                 for d, i, j, c, s in zip(np.repeat(which, some.astype(np.int64)).tolist(), ids.tolist(), first.tolist(), count.tolist(), named):
@@ -500,7 +510,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Bytes of the UTF-8 text go that lie in a string of length bytes which begins at another place too, in the same
     row or another. With keep="first" the first of equal strings, by id and place, stays. A null text is
-    empty; null ids come last and are rows like others, as are repeated ids. Other columns are not read.
+    empty; null ids come last and are rows like others, as are repeated ids; an empty table gives none. Other columns are not read.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     n = bucket_count(rows, "text")
