@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from trajectra.llm.packing import encoder, pack_documents, plan_packing
+from trajectra.llm.packing import Sums, encoder, pack_documents, plan_packing
 
 from .helpers import awkward, empty
 
@@ -41,6 +41,24 @@ def test_plan_finds_exact_complements():
     assert sum(n for _, n in plan) == 3
 
 
+def test_sums_of_up_to_three_by_brute_force():
+    from itertools import combinations_with_replacement
+
+    rng = random.Random(3)
+    for _ in range(30):
+        left = np.zeros(41, np.int64)
+        for _ in range(rng.randrange(1, 9)):
+            left[rng.randrange(1, 41)] += rng.randrange(1, 4)
+        sums = Sums(left)
+        while left.any():
+            gap = rng.randrange(1, 60)
+            want = [c for k in (1, 2, 3) for c in combinations_with_replacement(np.flatnonzero(left).tolist(), k) if sum(c) == gap and all(left[x] >= c.count(x) for x in c)]
+            got = sums.exact(gap)
+            assert (got is None) == (not want) and (got is None or tuple(sorted(got)) in want and len(got) == len(want[0]))
+            for x in got or [int(np.flatnonzero(left)[0])]:
+                left[x] -= 1
+
+
 def test_ids_are_those_of_the_tokenizer_file():
     plain, encode = Tokenizer.from_file(PATH), encoder(PATH)
     for text in ["", " ", "a  b\n\n c\t", "don't  ", "ünï 日本語 😀‍", "<|endoftext|> x", "12 345abc!!  ", "　\xa0 x", "tail \n"]:

@@ -77,47 +77,81 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 # ---- the plan, over counts of lengths only
 
 
-def _complement(gap: int, left: np.ndarray) -> list[int] | None:
-    """Up to three available lengths that fill gap exactly: one, else the most available pair, else a triple with the longest first."""
-    if gap < len(left) and left[gap]:
-        return [gap]
-
-    def pair(total: int, most: int) -> list[int] | None:
-        low = np.arange(max(1, total - most), total // 2 + 1)
-        if not len(low):
-            return None
-        both = np.minimum(left[low], left[total - low])
-        if total % 2 == 0 and low[-1] == total // 2:
-            both[-1] //= 2
-        at = int(both.argmax())
-        return [total - int(low[at]), int(low[at])] if both[at] > 0 else None
-
-    if found := pair(gap, gap - 1):
-        return found
-    for a in np.flatnonzero(left[: gap - 1])[::-1]:
-        a = int(a)
-        if 3 * a < gap:
-            break
-        left[a] -= 1
-        found = pair(gap - a, a)
-        left[a] += 1
-        if found:
-            return [a, *found]
-    return None
+class Sums:
+    """Index of the sums of one, two and three available lengths. left has how often each length is available and only
+    falls, so a combination that isn't available any more is passed over once and never looked at again."""
+
+    def __init__(self, left: np.ndarray):
+        self.left, self.capacity = left, len(left) - 1
+        self._pairs: dict[int, list[int]] = {}
+        self._triples: dict[int, int] = {}
+
+    def _of_two(self, total: int) -> list[int]:
+        """The smaller parts of the pairs that sum to total, the least available first, so that the most available is at the end."""
+        if total not in self._pairs:
+            low = np.arange(max(1, total - self.capacity), total // 2 + 1)
+            both = np.minimum(self.left[low], self.left[total - low])
+            low, both = low[both > 0], both[both > 0]
+            self._pairs[total] = low[np.argsort(both, kind="stable")].tolist()
+        return self._pairs[total]
+
+    def _has(self, *parts: int) -> bool:
+        return all(self.left[x] >= parts.count(x) for x in parts)
+
+    def pair(self, total: int, most: int, beside: int = 0) -> list[int] | None:
+        """Two lengths of at most most that sum to total, available besides a third, if given."""
+        found = self._of_two(total)
+        while found and not self._has(found[-1], total - found[-1]):
+            found.pop()
+        for low in reversed(found):
+            parts = [total - low, low]
+            if parts[0] <= most and self._has(*parts, *[beside] * (beside > 0)):
+                return parts
+        return None
+
+    def exact(self, gap: int) -> list[int] | None:
+        """Up to three available lengths that fill gap exactly: one, else the most available pair, else a triple with the longest first."""
+        if gap <= self.capacity and self.left[gap]:
+            return [gap]
+        if found := self.pair(gap, gap):
+            return found
+        for a in range(self._triples.get(gap, min(gap - 2, self.capacity)), (gap + 2) // 3 - 1, -1):
+            self._triples[gap] = a
+            if self.left[a] and (found := self.pair(gap - a, a, a)):
+                return [a, *found]
+        self._triples[gap] = 0
+        return None
 
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """Patterns (lengths of one sequence, number of such sequences) that use every length as often as it occurs.
 
-    From the longest down, each length is completed by combinations that fill the gap exactly, as often as the
-    counts of all their members allow; where no single, pair or triple does, the longest length that fits is
-    added and the new gap is looked up in turn. Works on the histogram, so its cost doesn't grow with the rows.
+    From the longest down, each length goes with combinations of one to three lengths that fill its sequence exactly, as often
+    as the counts of all members allow. What is left of it goes by best fit: as many as a sequence holds, then
+    exact combinations for the gap or else the longest length that fits, and so on. Works on the histogram, so its
+    cost doesn't grow with the rows.
     """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] += n
+    sums = Sums(left)
     done: list[tuple[list[int], int]] = []
+
+    def use(parts: list[int], most: int) -> int:
+        k = min(most, *(int(left[x]) // c for x, c in Counter(parts).items()))
+        for x in parts:
+            left[x] -= k
+        return k
+
     for top in range(capacity, 0, -1):
+        while left[top]:
+            left[top] -= 1  # one is in the sequence already
+            add = sums.exact(capacity - top) if top < capacity else []
+            left[top] += 1
+            if add is None:
+                break
+            parts = [top, *add]
+            done.append((parts, use(parts, int(left[top]))))
         while left[top]:
             fit = min(capacity // top, int(left[top]))
             begun = int(left[top]) // fit
@@ -125,16 +159,14 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
             open_ = [([top] * fit, capacity - top * fit, begun)]
             while open_:
                 items, gap, n = open_.pop()
-                add = gap and _complement(gap, left)
+                add = sums.exact(gap) if gap else None
                 if not add and gap:
                     fits = np.flatnonzero(left[: gap + 1])
                     add = [int(fits[-1])] if len(fits) else None
                 if not add:
                     done.append((items, n))
                     continue
-                k = min(n, *(int(left[x]) // c for x, c in Counter(add).items()))
-                for x in add:
-                    left[x] -= k
+                k = use(add, n)
                 if n > k:
                     open_.append((items, gap, n - k))
                 open_.append((items + add, gap - sum(add), k))
