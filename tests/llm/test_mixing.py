@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from trajectra.llm.mixing import MU, fit_rates, mix_documents, mixing_rates, rates_after
+from trajectra.llm.mixing import MU, features, fit_rates, mix_documents, mixing_rates, posterior_table, rates_after, train_domains
 
 from .helpers import awkward, empty, prose
 
@@ -46,6 +46,26 @@ def test_steps_are_projected_gradient(spark):
     assert np.abs(rate - r).max() < 0.02
 
 
+def test_rates_that_have_not_settled_are_told(spark):
+    import pytest
+
+    df = spark.createDataFrame([(0, 5, [0.9, 0.1]), (1, 50, [0.2, 0.8])], "id long, n_tokens long, posterior array<double>")
+    with pytest.warns(RuntimeWarning, match="settled"):
+        fit_rates(df, (0.9, 0.1), steps=2)
+
+
+def test_posteriors_by_brute_force(spark):
+    """The classifier's numbers for whole texts, in blocks, as for each text alone."""
+    docs, labels = corpus(spark, 60)
+    model = train_domains(docs, labels)
+    rows = {r["id"]: r for r in posterior_table(docs, model).collect()}
+    for r in docs.collect():
+        x, n = features([r["text"].encode()])
+        z = x[0] @ model.weights
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert np.allclose(rows[r["doc_id"]]["posterior"], p, atol=1e-5) and rows[r["doc_id"]]["n_tokens"] == len(r["text"].split()) == n[0]
+
+
 def test_awkward_rows(spark):
     docs, labels = corpus(spark, 100)
     df = awkward(spark)
