@@ -1,6 +1,10 @@
 import random
+from collections import defaultdict
 
-from trajectra.llm.language_id import declared_language, host_of, identify_languages, train_text_model, visible_text
+import numpy as np
+from pyspark.sql import functions as F
+
+from trajectra.llm.language_id import WEIGHT, declared_language, host_of, identify_languages, registered_domain, train_text_model, visible_text
 
 LETTERS = {"aa": "abcdeflm", "bb": "nopqrstu", "cc": "vwxyzghi"}
 
@@ -45,3 +49,47 @@ def test_text_model_and_empty(spark):
     assert identify_languages(none, docs(spark)).count() == 0
     one = spark.createDataFrame([(1, "http://a.b/", "x")], "page_id long, url string, html string")
     assert identify_languages(one, docs(spark).limit(0)).first()["language"] is None
+
+
+def brute(pages, model):
+    """Posteriors by the formula, on dictionaries. pages: id, host, domain, suffix, declared, text."""
+    evidence = [model.evidence(p[5]) for p in pages]
+    own = [np.exp(e) / np.exp(e).sum() for e in evidence]
+    prior = (sum(own) + 1) / (len(pages) + len(model.languages))
+    sums = [defaultdict(lambda: [np.zeros(len(prior)), 0]) for _ in range(4)]
+    for p, o in zip(pages, own):
+        for s, key in zip(sums, p[1:5]):
+            if key:
+                s[key][0] = s[key][0] + o
+                s[key][1] += 1
+    out = []
+    for p, e, o in zip(pages, evidence, own):
+        def share(level, above):
+            total, n = sums[level][p[1 + level]] if p[1 + level] else (o, 1)
+            return (total - o + WEIGHT * above) / (n - 1 + WEIGHT)
+
+        x = e + np.log(share(0, share(1, prior))) + np.log(share(2, prior)) + np.log(share(3, prior)) - 2 * np.log(prior)
+        out.append(np.exp(x - x.max()) / np.exp(x - x.max()).sum())
+    return out
+
+
+def test_posteriors_by_brute_force_on_awkward_pages(spark):
+    """Null, repeated and very long pages, hosts that hold most rows, ties, clashing column names."""
+    rng = random.Random(5)
+    rows = [(i, f"http://{'hot' if i % 3 else f'h{i % 7}'}.{rng.choice(['x.org', 'y.co.uk', 'z.aa', 'w.de'])}/{i}", f"<html lang={rng.choice(['aa', 'bb', 'cc', 'q'])}>{words(rng, rng.choice(['aa', 'bb', 'cc']), rng.randrange(6))}") for i in range(150)]
+    rows += [rows[0]] * 3 + [(None, None, None), (None, None, None), (7, "host", ""), (8, "http://localhost/", words(rng, "aa", 30_000)), (9, "http://a.b.c.co.uk", "<html lang='bb'>1 2 3</html>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = train_text_model(docs(spark))
+    parts = df.select("page_id", host_of(F.col("url")).alias("h"), declared_language(F.col("html")).alias("d"), visible_text(F.col("html")).alias("t"))
+    parts = parts.select("page_id", "h", registered_domain(F.col("h")).alias("r"), F.regexp_extract("h", r"\.([^.]+)$", 1).alias("s"), "d", "t").collect()
+    want = sorted((repr(p["page_id"]), [round(float(x), 9) for x in q]) for p, q in zip(parts, brute([tuple(p) for p in parts], model)))
+    clash = df.selectExpr("*", "url as id", "html as text", "page_id as host", "url as declared", "1 as suffix", "2 as own", "3 as evidence", "4 as host_n")
+    got = identify_languages(clash, docs(spark)).collect()
+    assert sorted((repr(r["page_id"]), [round(x, 9) for x in r["posterior"]]) for r in got) == want
+    assert all(r["language"] == model.languages[int(np.argmax(r["posterior"]))] and r["probability"] == max(r["posterior"]) for r in got)
+
+
+def test_registered_domains(spark):
+    names = {"a.b.example.com": "example.com", "x.co.uk": "x.co.uk", "w.x.co.uk": "x.co.uk", "co.uk": "co.uk", "localhost": "", "a.net.br": "a.net.br", "my.site.org": "site.org"}
+    df = spark.createDataFrame(list(names.items()), "h string, want string")
+    assert all(r["want"] == r["got"] for r in df.select("want", registered_domain(F.col("h")).alias("got")).collect())

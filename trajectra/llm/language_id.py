@@ -101,6 +101,15 @@ def host_of(url: Column) -> Column:
     return F.when(found != "", found)
 
 
+#: Second-level labels under which names are registered in two-letter domains (a.co.uk, b.com.br).
+SECOND_LEVEL = "ac|co|com|edu|gob|gov|gouv|mil|ne|net|or|org"
+
+
+def registered_domain(host: Column) -> Column:
+    """The last two labels of a host, or three under a second-level label; empty for a host of one label."""
+    return F.regexp_extract(host, rf"(?:^|\.)([^.]+\.(?:(?:{SECOND_LEVEL})\.[a-z]{{2}}|[^.]+))$", 1)
+
+
 def _spread(n: int, name: str) -> list[Column]:
     return [F.sum(F.get(F.col(name), F.lit(i))) for i in range(n)]
 
@@ -111,7 +120,7 @@ def identify_languages(pages: DataFrame, docs: DataFrame, id_col: str = "page_id
 
     Null urls and html, pages without text and unknown declarations bring no evidence of their kind. Ties go to
     the first language by name. Repeated ids are rows of their own; null ids stay null. Without labelled texts
-    language is null. Other columns are not read.
+    language is null; an empty table gives none. More than MAX_LANGUAGES languages raise ValueError. Other columns are not read.
     """
     model = train_text_model(docs, lang_col, text_col)
     k = len(model.languages)
@@ -126,7 +135,7 @@ def identify_languages(pages: DataFrame, docs: DataFrame, id_col: str = "page_id
             yield pd.Series([model.evidence(t) for t in texts])
 
     rows = rows.withColumn("evidence", evidence("text")).drop("text")
-    rows = rows.withColumns({"suffix": F.regexp_extract("host", r"\.([^.]+)$", 1), "domain": F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)})
+    rows = rows.withColumns({"suffix": F.regexp_extract("host", r"\.([^.]+)$", 1), "domain": registered_domain(F.col("host"))})
     total = F.aggregate("evidence", F.lit(0.0), lambda a, x: a + F.exp(x))
     rows = materialise(rows.withColumn("own", F.transform("evidence", lambda x: F.exp(x) / total)), "evidence")
     n_rows = rows.count()
