@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline
 
-from .helpers import DOCS, prose
+from .helpers import DOCS, awkward, empty, prose
 from .test_ngram_join import brute
 from .test_toxicity import INSULTS
 
@@ -41,3 +41,20 @@ def test_stages_and_run(spark, tmp_path):
     assert {i for i, _ in seen[3]} <= {i for i, _ in seen[2]}
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in rows} == {i for i, _ in seen[3]} and all(r["length"] <= 1024 for r in rows)
+
+
+def test_awkward_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, clashing column names, and no rows at all."""
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, docs in (("some", awkward(spark)), ("none", empty(spark))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        at = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = stage(spark, at, f"{tmp_path}/{name}")
+            assert out.columns == at.columns
+            out.write.parquet(f"{tmp_path}/{name}/{k}")
+            at = spark.read.parquet(f"{tmp_path}/{name}/{k}")
+        rows = corpus_pipeline.STAGES[-1][1](spark, at, f"{tmp_path}/{name}").collect()
+        assert sorted(repr(r["doc_id"]) for r in rows if r["piece"] == 0) == sorted(repr(r["doc_id"]) for r in at.select("doc_id").collect())
+        assert bool(rows) == (name == "some")

@@ -22,14 +22,17 @@ from .warc import archive_pages
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces in sequences of 1024 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a model of the labelled ones that are not held out."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of documents that share four fifths of their five-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -42,6 +45,7 @@ def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all pages; the text model is of all documents."""
     return identify_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
@@ -51,18 +55,22 @@ def op6_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without strings of 200 bytes that occur elsewhere too."""
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equals that stays."""
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates at which all documents make up the target shares of good and poor text."""
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back."""
     back = archive_pages(table(spark, sf_dir, "pages"))
     # What a response says of its payload is taken from the payload as it was read back.
     full = F.col("record_type") == "response"

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
@@ -306,6 +306,18 @@ def write_warc(df: DataFrame, path: str, compression: str = "gzip") -> None:
     full.write.format("warc").option("compression", compression).mode("append").save(path)
 
 
+def _numbered(rows: DataFrame, total: int) -> DataFrame:
+    """rows with copy, 1 but for rows that are equal in id, address and payload, which are numbered: every record has a name of its own."""
+    rows = rows.withColumn("__same", F.xxhash64("page_id", "target_uri", "digest"))
+    equal = materialise(rows.groupBy("__same").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "equal")
+    if equal.isEmpty():
+        return rows.withColumn("copy", F.lit(1)).drop("__same")
+    marked = attach(rows, equal, ["__same"], "times", total)
+    turn = F.row_number().over(Window.partitionBy("__same").orderBy("payload_length"))
+    lone = marked.where("times is null").withColumn("copy", F.lit(1))
+    return lone.unionByName(marked.where("times is not null").withColumn("copy", turn)).drop("__same", "times")
+
+
 def captures(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_REVISIT_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Rows for write_warc, one for each row of df, revisits for payloads that another row holds.
 
@@ -315,21 +327,24 @@ def captures(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     """
     rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("target_uri"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"payload_length": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
-    classes = rows.where(F.col("payload_length") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("copies"))
-    classes = materialise(classes.where("copies > 1 and keep is not null"), "payloads")
-    joined = attach(rows, classes, ["digest"], "copies", df.select(F.lit(1)).count())
+    total = df.select(F.lit(1)).count()
+    # The response that revisits refer to is told by id and, of rows that repeat the id, by the greatest address.
+    best = F.max(F.struct("page_id", "target_uri"))
+    classes = rows.where(F.col("payload_length") >= min_bytes).groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("copies"))
+    classes = classes.select("digest", F.col("best.page_id").alias("keep"), F.col("best.target_uri").alias("keep_uri"), "copies")
+    joined = attach(_numbered(rows, total), materialise(classes.where("copies > 1 and keep is not null"), "payloads"), ["digest"], "copies", total)
     again = F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
 
-    def record(page):
-        hashed = F.md5(F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("null")), "digest"))
-        return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(hashed, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+    def record(page, uri, copy):
+        named = [F.coalesce(x.cast("string"), F.lit("null")) for x in (page, uri, copy)]
+        return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws(":", *named, "digest")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
     return joined.select(
-        record(F.col("page_id")).alias("record_id"),
+        record(F.col("page_id"), F.col("target_uri"), F.col("copy")).alias("record_id"),
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         "target_uri",
         F.lit(date).alias("date"),
-        F.when(again, record(F.col("keep"))).alias("refers_to"),
+        F.when(again, record(F.col("keep"), F.col("keep_uri"), F.lit(1))).alias("refers_to"),
         F.concat(F.lit("sha1:"), F.col("digest")).alias("payload_digest"),
         F.col("page_id").cast("string").alias("page_id"),
         F.when(again, F.col("keep")).cast("string").alias("refers_to_page"),
