@@ -293,7 +293,8 @@ def _contribute(out: list[list], k: int, n: int, names: np.ndarray, block: int,
     used = np.flatnonzero(classes.any(1))
     for b, some in in_buckets(names[used], n):
         i = used[some]
-        add(out, ASK, b, block, pack(np.array([k], np.uint64), steps(names[i]), *[classes[i, r].astype(np.uint64) for r in range(GT_MAX + 1)], above[i], below[i]))
+        # Few histories have words above GT_MAX; the others send nothing of them.
+        add(out, ASK, b, block, pack(np.array([k], np.uint64), steps(names[i]), *[classes[i, r].astype(np.uint64) for r in range(GT_MAX + 1)], above[i][classes[i, GT_MAX] > 0], below[i]))
 
 
 def _weigh(factors: list[np.ndarray], order: int, keep: bool):
@@ -307,6 +308,10 @@ def _weigh(factors: list[np.ndarray], order: int, keep: bool):
                 continue
             which, keys, *more = unpack(data)
             keys = np.cumsum(keys, dtype=np.uint64)
+            if len(more) > 1:
+                above = np.zeros(len(keys))
+                above[more[GT_MAX] > 0] = more[GT_MAX + 1]
+                more[GT_MAX + 1] = above
             if more:
                 given.setdefault(int(which[0]), []).append((kind, keys, more))
             else:
