@@ -267,32 +267,40 @@ def _refine(text: bytes, length: int, levels: list | None = None) -> tuple[int,
     """(depth, rank, shared): ranks of all suffixes by their first depth bytes, the largest 8 * 2^i up to length, equal for equal
     prefixes, and whether another suffix has the same. Depth doubles; only suffixes that are still shared are sorted again.
     levels, if given, gets the ranks of every depth."""
-    b = np.frombuffer(text + b"\0" * 8, np.uint8).astype(np.uint64)
+    b = np.frombuffer(text + b"\0" * 8, np.uint8)
     n = len(text)
     words = np.zeros(n, np.uint64)
     for i in range(8):
-        words = words << np.uint64(8) | b[i : n + i]
-    open_ = np.argsort(words)
-    key, base = words[open_], np.zeros(n, np.int64)
-    rank, depth = np.zeros(n, np.int64), 8
+        words <<= np.uint64(8)
+        words |= b[i : n + i]
+    open_ = np.argsort(words).astype(np.int32)  # a bucket's text is well below 2^31 bytes
+    key, base = words[open_], np.zeros(n, np.int32)
+    del words
+    rank, depth = np.zeros(n, np.int32), 8
     while True:
         first, begin = np.ones(len(key), bool), np.ones(len(key), bool)
         first[1:], begin[1:] = key[1:] != key[:-1], base[1:] != base[:-1]
-        at = np.arange(len(key))
-        whole = np.maximum.accumulate(np.where(begin, at, 0))
-        rank[open_] = base + np.maximum.accumulate(np.where(first, at, 0)) - whole
+        del key
+        at = np.arange(len(open_), dtype=np.int32)
+        base -= np.maximum.accumulate(np.where(begin, at, np.int32(0)))
+        base += np.maximum.accumulate(np.where(first, at, np.int32(0)))
+        del at, begin
+        rank[open_] = base
         if levels is not None:
-            levels.append((depth, rank.copy()))
+            levels.append((depth, rank.astype(np.int64)))
         lone = first.copy()
         lone[:-1] &= first[1:]
         open_ = open_[~lone]
+        del first, lone, base
         if 2 * depth > length:
             break
         after = open_ + depth
         after = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        key = (rank[open_] << 32 | after).astype(np.uint64)
+        key = rank[open_].astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
+        del after
         order = np.argsort(key)
         open_, key = open_[order], key[order]
+        del order
         base = rank[open_]
         depth *= 2
     shared = np.zeros(n, bool)
@@ -308,14 +316,16 @@ def previous_factors(text: bytes, starts: np.ndarray, length: int) -> tuple[np.n
     of all earlier places. As factor_lengths, but suffixes that share length bytes with neither neighbour in that order, which
     can't reach it, are left out of the search."""
     depth, rank, shared = _refine(text, length)
-    some = np.flatnonzero(shared[starts] & shared[starts + length - depth])
-    key = rank[starts[some]] << 32 | rank[starts[some] + length - depth]
+    some = np.flatnonzero(shared[starts] & shared[starts + (length - depth)])
+    del shared
+    key = rank[starts[some]].astype(np.int64) << 32 | rank[starts[some] + (length - depth)]
+    del rank
     order = np.argsort(key, kind="stable")
     key = key[order]
     like = key[1:] == key[:-1]
     kept = np.concatenate([[False], like]) | np.concatenate([like, [False]]) if len(key) else np.zeros(0, bool)
     order, key = some[order[kept]], key[kept]
-    lengths, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1)
+    lengths, source = np.zeros(len(starts), np.uint16), np.full(len(starts), -1, np.int32)
     for step in (-1, 1):
         other = _near_smaller(starts[order], step)
         reaches = (other >= 0) & (key[other] == key)
@@ -328,7 +338,7 @@ def repeated(lengths: np.ndarray, source: np.ndarray, length: int, keep: str) ->
     is the source of the second, whose smaller places in suffix order are the first's."""
     hit = lengths >= length
     if keep != "first":
-        hit[source[hit]] = True
+        hit[source[np.flatnonzero(hit)]] = True
     return hit
 
 
@@ -341,7 +351,7 @@ def factor_lengths(text: bytes, starts: np.ndarray, length: int) -> tuple[np.nda
     ranks: list[tuple[int, np.ndarray]] = []
     depth, rank, _ = _refine(text, length, ranks)
     b, n = np.frombuffer(text, np.uint8), len(text)
-    order = np.argsort(rank[starts] << 32 | rank[starts + length - depth], kind="stable")
+    order = np.argsort(rank[starts].astype(np.int64) << 32 | rank[starts + length - depth], kind="stable")
     place = starts[order]
 
     def common(other: np.ndarray) -> np.ndarray:
@@ -403,7 +413,8 @@ def _factors(length: int, keep: str):
             size = np.array([len(pieces[s]) for s in turn])
             begin = np.cumsum(size) - size
             number = size - length + 1
-            starts = np.repeat(begin - (np.cumsum(number) - number), number) + np.arange(number.sum())
+            starts = np.repeat((begin - (np.cumsum(number) - number)).astype(np.int32), number)
+            starts += np.arange(len(starts), dtype=np.int32)
             hit = repeated(*previous_factors(text, starts, length), length, keep)
             edge = np.cumsum(number) - number
             found = {}
