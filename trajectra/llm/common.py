@@ -93,11 +93,31 @@ def _shuffles_end_with_their_job(spark: SparkSession):
                 spark.conf.set(_CLEANUP, _before.pop(session))
 
 
-def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it from there: later jobs neither recompute it nor lose it with an executor."""
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_few = threading.Lock()
+
+
+@contextlib.contextmanager
+def _batches_of(spark: SparkSession, records: int | None):
+    """Arrow batches of at most so many rows for the jobs inside, one such job at a time."""
+    if records is None:
+        yield
+        return
+    with _few:
+        before = spark.conf.get(_RECORDS)
+        spark.conf.set(_RECORDS, str(records))
+        try:
+            yield
+        finally:
+            spark.conf.set(_RECORDS, before)
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None, records: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it from there: later jobs neither recompute it nor lose it with an executor.
+    records: rows of an Arrow batch at most, where rows are large."""
     spark, path = df.sparkSession, path or new_path(df.sparkSession, name)
     prepare(spark)
-    with _shuffles_end_with_their_job(spark):
+    with _shuffles_end_with_their_job(spark), _batches_of(spark, records):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path

@@ -36,6 +36,8 @@ TILE, INDEX_ROWS = 512, 60_000
 CELLS, ODD = 64, 512
 #: Neighbours that a set is first paired with, and sets of a chunk in which they are sought.
 NEAR, CHUNK = 3, 128
+#: Pairs of whole sets that a worker gets at once: a set of a long document takes as much room as its text.
+VERIFIED = 24
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 _SETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("h", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("lone", pa.int64()), ("items", pa.binary())])
 
@@ -411,7 +413,7 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         side = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("items").alias(f"x{s}"))
-        return materialise(map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), _verify(percent), "a long, b long"), name)
+        return materialise(map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), _verify(percent), "a long, b long"), name, records=VERIFIED)
 
     near = materialise(_candidates_near(index, percent, parts), "near")
     first = verified(near, "links")
