@@ -79,6 +79,8 @@ def _segments(text: bytes, length: int, hashes: bool) -> Iterator[tuple[int, np.
 
 
 def _anchors(n: int, length: int):
+    """Anchors are small hashes, being smallest ones, so they are mixed again before they are dealt to ranges."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             got = [np.concatenate([a for _, _, _, a, _ in _segments(t, length, False)] or [np.zeros(0, np.uint64)]) for t in block.texts]
@@ -92,7 +94,7 @@ def _anchors(n: int, length: int):
             out = [[], [], [], []]
             ids = block.columns["id"]
             add(out, home(block.key, n), 0, block.key, pack(np.array([i or 0 for i in ids], np.int64).view(np.uint64), np.array([i is None for i in ids], np.uint64), np.array(block.columns["h"], np.int64).view(np.uint64)))
-            for b, at in by_bucket(bucket_of(keys, n)):
+            for b, at in by_bucket(bucket_of(mix(keys), n)):
                 which, times = runs(doc[at])
                 add(out, b, 1, block.key, pack(which.astype(np.uint64), times.astype(np.uint64), keys[at], c[at].astype(np.uint64)))
             yield batch_of(_PACKED, out)
@@ -217,7 +219,7 @@ def _stretches(n: int, length: int):
                 hot.append((hashes, np.full(len(hashes), ids[d]), places))
             if pieces:
                 doc, first, count, anchor = (np.concatenate(x) for x in zip(*rows))
-                for b, at in by_bucket(bucket_of(anchor, n)):
+                for b, at in by_bucket(bucket_of(mix(anchor), n)):
                     which, times = runs(doc[at])
                     meta = pack(which.astype(np.uint64), times.astype(np.uint64), ids[which].view(np.uint64), first[at].astype(np.uint64), count[at].astype(np.uint64))
                     add(out, b, 1, block.key, _join(meta, squeeze.compress(b"".join(pieces[i] for i in at.tolist()))))
