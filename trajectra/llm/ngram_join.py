@@ -36,8 +36,8 @@ TILE, INDEX_ROWS = 512, 60_000
 CELLS, ODD = 64, 512
 #: Neighbours that a set is first paired with, and sets of a chunk in which they are sought.
 NEAR, CHUNK = 3, 128
-#: Pairs of whole sets that a worker gets at once: a set of a long document takes as much room as its text.
-VERIFIED = 24
+#: Pairs of whole sets, and sets, that a worker gets at once: a long document's takes as much room as its text; rows of the index that it gives at once.
+VERIFIED, SETS, INDEXED = 24, 64, 8192
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 _SETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("h", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("lone", pa.int64()), ("items", pa.binary())])
 
@@ -208,6 +208,9 @@ def _index(percent: int):
                     out[column] += [value] * k
                 out[4] += range(lone, lone + k)
                 out[6] += left[::-1]
+                if len(out[0]) >= INDEXED:
+                    yield batch_of(_INDEX, out)
+                    out = [[] for _ in _INDEX]
             if out[0]:
                 yield batch_of(_INDEX, out)
 
@@ -405,7 +408,7 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = materialise(sets.withColumn("sid", F.monotonically_increasing_id()), "classes")
     classes = documents.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members"))
     classes = classes.join(sets.select("hi", "lo", "sid"), ["hi", "lo"], "left")
-    index = materialise(map_arrow(sets.select("sid", "n", "lone", "items"), _index(percent), "item long, sid long, n long, lone long, pos long, sign long, suffix binary"), "index")
+    index = materialise(map_arrow(sets.select("sid", "n", "lone", "items"), _index(percent), "item long, sid long, n long, lone long, pos long, sign long, suffix binary"), "index", records=SETS)
     total = index.count()
     sizes = index.groupBy("item").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("sid", "n", "lone", "pos", "suffix")).alias("hub")).where("sets > 1")
     index = materialise(attach(index, sizes, ["item"], "sets", total).where("sets is not null"), "shared")
