@@ -38,16 +38,22 @@ def _ranged(df: DataFrame, order: tuple[str | Column, ...]) -> DataFrame:
     return keyed.withColumn("__range", found).drop("__bounds")
 
 
-def cumulative(df: DataFrame, *order: str | Column, value: Column | None = None, name: str = "total") -> DataFrame:
+def cumulative(df: DataFrame, *order: str | Column, value: Column | None = None, name: str = "total", dense: bool = False) -> DataFrame:
     """df with name: the sum of value (of 1, without one) over the rows up to and with each, in ascending order, nulls
-    first. No task sorts all: ranges of the order are summed apart and shifted by the sums of the ranges before."""
-    keyed = _ranged(df, order).withColumn("__x", F.lit(1).cast("long") if value is None else value)
+    first. No task sorts all: ranges of the order are summed apart and shifted by the sums of the ranges before. With dense the order
+    is one column of row numbers, which tell the ranges by themselves."""
+    if dense:
+        keyed = df.withColumns({"__key": F.struct(F.col(order[0]).alias("k0"), F.lit(0).alias("tie")), "__range": F.floor(F.col(order[0]) / RANGE_ROWS)})
+    else:
+        keyed = _ranged(df, order)
+    keyed = keyed.withColumn("__x", F.lit(1).cast("long") if value is None else value)
     sums = keyed.groupBy("__range").agg(F.sum("__x").alias("__s"))
-    # At most MOST_RANGES rows.
     before = sums.select(F.col("__range").alias("__r"), (F.sum("__s").over(Window.orderBy("__range")) - F.col("__s")).alias("__before"))
+    # At most MOST_RANGES rows, unless the row numbers tell them.
+    before = before if dense else F.broadcast(before)
     turn = [F.col(f"__key.k{i}") for i in range(len(order))]
     inside = Window.partitionBy("__range").orderBy(*turn, F.col("__key.tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = keyed.withColumn("__in", F.sum("__x").over(inside)).join(F.broadcast(before), F.col("__range") == F.col("__r"))
+    out = keyed.withColumn("__in", F.sum("__x").over(inside)).join(before, F.col("__range") == F.col("__r"))
     return out.withColumn(name, F.col("__before") + F.col("__in")).drop("__range", "__r", "__before", "__in", "__x", "__key")
 
 

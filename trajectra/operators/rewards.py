@@ -113,7 +113,7 @@ def thinking_reward(df: DataFrame, size: int = GROUP) -> DataFrame:
     df = df.join(groups.select("g", "difficulty"), "g").withColumn("hard", F.col("difficulty") > hard)
     relative = F.coalesce(F.try_divide(F.col("len").cast("double"), all_["avg"]), F.lit(0.0))
     short, long_ = ~F.col("hard") & (F.col("acc") == 1), F.col("hard") & (F.col("acc") == 0)
-    df = cumulative(df.withColumn("__short", short), "row_id", value=F.col("__short").cast("long"), name="__turn")
+    df = cumulative(df.withColumn("__short", short), "row_id", value=F.col("__short").cast("long"), name="__turn", dense=True)
     gain = F.when(short & (F.col("__turn") <= F.ceil(0.8 * all_["n"])), 1.0 - relative).when(long_, F.least(relative - 1.0, F.lit(1.0))).otherwise(F.lit(0.0))
     return df.withColumns({"len_score": gain, "overall": F.col("acc") + 0.5 * F.col("fmt") + 0.5 * gain}).drop("__short", "__turn")
 
