@@ -12,10 +12,13 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .katz import fit_and_score
 from .language_id import identify_languages
+from .manifest import verified_manifest
+from .merge_rounds import round_trip
 from .mixing import mixing_rates
 from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .repeats import remove_repeats
+from .resampling import resample
 from .syncmers import compare_edited
 from .toxicity import score_toxicity
 from .warc import archive_pages
@@ -83,6 +86,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the piece model, and decoded again."""
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their weight towards the benchmark's texts, and the rank of those drawn."""
+    rows = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents proven against the manifest's root, a fifth of them tampered with."""
+    return verified_manifest(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
@@ -130,10 +149,114 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
 FROM documents
 """
 
+_SQL_CRC = """
+poly AS (
+  -- The remainders of the 256 bytes by the reflected polynomial 0xEDB88320, by eight steps of one bit.
+  SELECT list(list_reduce([b, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)
+)"""
+
+_SQL_CRC_OF = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen({0})), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT)),
+           lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"""
+
+OP12_SQL = (
+    r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), """
+    + _SQL_CRC.strip()
+    + """, f AS (
+  SELECT row, unnest(words) AS w FROM d
+), g AS (
+  SELECT unnest(words) AS w FROM b
+), bucket AS (
+  SELECT w, """
+    + _SQL_CRC_OF.format("w")
+    + """ % 10000 AS k
+  FROM (SELECT DISTINCT w FROM f UNION SELECT DISTINCT w FROM g), poly
+), own AS (
+  SELECT k, count(*) AS s FROM f JOIN bucket USING (w) GROUP BY k
+), other AS (
+  SELECT k, count(*) AS t FROM g JOIN bucket USING (w) GROUP BY k
+), totals AS (
+  SELECT (SELECT count(*) FROM f)::DOUBLE AS s_all, (SELECT count(*) FROM g)::DOUBLE AS t_all
+), gain AS (
+  SELECT k, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + 10000) / ((coalesce(s, 0) + 1.0::DOUBLE) * (t_all + 10000))))::BIGINT AS gain
+  FROM (SELECT DISTINCT k FROM bucket) LEFT JOIN own USING (k) LEFT JOIN other USING (k), totals
+), weights AS (
+  SELECT row, sum(gain)::BIGINT AS weight FROM f JOIN bucket USING (w) JOIN gain USING (k) GROUP BY row
+), scored AS (
+  SELECT doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (row)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= n * 10 // 100 THEN place END AS rank FROM placed
+"""
+)
+
+OP13_SQL = (
+    "WITH RECURSIVE "
+    + _SQL_CRC.strip()
+    + """, fields AS (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+            || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         coalesce("""
+    + _SQL_CRC_OF.format("doc_id::VARCHAR")
+    + """ % 5 = 0, false) AS hit
+  FROM documents, poly
+), hashed AS (
+  SELECT doc_id, coalesce('+' || source, '') AS key, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(text) || ':' || CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS claimed
+  FROM fields
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY key) AS n FROM hashed
+), up AS (
+  SELECT key, 0 AS level, idx, leaf AS digest, n FROM leaves
+  UNION ALL
+  SELECT key, level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16 FROM up WHERE n > 1 GROUP BY key, level, idx // 16, n
+), subroots AS (
+  SELECT key, digest, row_number() OVER (ORDER BY key) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1
+), top AS (
+  SELECT 0 AS level, idx, digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16 FROM top WHERE n > 1 GROUP BY level, idx // 16, n
+), runs AS (
+  SELECT key, level, idx // 16 AS run, list(digest ORDER BY idx) AS digests FROM up WHERE n > 1 GROUP BY key, level, idx // 16
+  UNION ALL
+  SELECT NULL, level, idx // 16, list(digest ORDER BY idx) FROM top WHERE n > 1 GROUP BY level, idx // 16
+), climb AS (
+  SELECT doc_id, leaf, key, 0 AS level, idx, claimed AS done, '' AS proof FROM leaves
+  UNION ALL
+  SELECT doc_id, leaf, c.key, c.level + 1, c.idx // 16,
+         sha256(array_to_string(digests[1:c.idx % 16], '') || done || array_to_string(digests[c.idx % 16 + 2:], '')),
+         proof || array_to_string(digests[1:c.idx % 16], '') || array_to_string(digests[c.idx % 16 + 2:], '')
+  FROM climb c JOIN runs r ON r.key = c.key AND r.level = c.level AND r.run = c.idx // 16
+), joined AS (
+  SELECT c.doc_id, c.leaf, s.digest AS subroot, s.idx, done, proof
+  FROM climb c JOIN (SELECT key, max(level) AS level FROM climb GROUP BY key) m ON m.key = c.key AND m.level = c.level JOIN subroots s ON s.key = c.key
+), climb_top AS (
+  SELECT doc_id, leaf, subroot, 0 AS level, idx, done, proof FROM joined
+  UNION ALL
+  SELECT doc_id, leaf, subroot, c.level + 1, c.idx // 16,
+         sha256(array_to_string(digests[1:c.idx % 16], '') || done || array_to_string(digests[c.idx % 16 + 2:], '')),
+         proof || array_to_string(digests[1:c.idx % 16], '') || array_to_string(digests[c.idx % 16 + 2:], '')
+  FROM climb_top c JOIN runs r ON r.key IS NULL AND r.level = c.level AND r.run = c.idx // 16
+)
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, done AS folded_root, done = digest AS verified
+FROM climb_top, (SELECT digest FROM top WHERE n = 1) WHERE level = (SELECT max(level) FROM top)
+"""
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_ngram_jaccard_join, op4_katz_backoff, op5_language_id, op6_closed_syncmers, op7_repeated_passages, op8_exact_dedup, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_ngram_jaccard_join, op4_katz_backoff, op5_language_id, op6_closed_syncmers, op7_repeated_passages, op8_exact_dedup, op9_mixing, op10_warc, op11_sentencepiece, op12_importance_resampling, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op10_warc": OP10_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op10_warc": OP10_SQL, "op12_importance_resampling": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
