@@ -35,9 +35,8 @@ def truncate(values: Column, n: int, side: str = "right") -> Column:
 
 def position_ids(mask: Column) -> Column:
     """How many valid places there are up to each, less one, 0 at least."""
-    last = lambda acc: F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(F.lit(0).cast("long"))
-    running = F.aggregate(mask, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(last(acc) + x.cast("long"))))
-    return F.transform(running, lambda x: F.greatest(x - 1, F.lit(0).cast("long")))
+    running = linear_scan(F.transform(mask, lambda x: x.cast("double")), 1.0)
+    return F.transform(running, lambda x: F.greatest(x.cast("bigint") - 1, F.lit(0).cast("long")))
 
 
 def continue_positions(positions: Column, n: Column) -> Column:
@@ -62,11 +61,54 @@ def has_token(ids: Column, token: int = VISION_TOKEN) -> Column:
     return F.array_contains(ids, F.lit(token).cast("long"))
 
 
-def reverse_scan(values: Column, factor: float) -> Column:
-    """s_t = x_t + factor * s_(t+1)."""
-    start = F.array().cast("array<double>")
-    back = F.aggregate(F.reverse(values), start, lambda acc, x: F.concat(acc, F.array(x + F.lit(factor) * F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(F.lit(0.0)))))
-    return F.reverse(back)
+def _let(value: Column, use) -> Column:
+    """use(value), where value is computed once: what a lambda's body names from outside is computed at every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Values of a block of a scan. A block's sums are appended one by one, which copies them, so blocks are short.
+SCAN_BLOCK = 64
+
+
+def linear_scan(values: Column, factors: Column | float) -> Column:
+    """y_t = x_t + f_t * y_(t-1), from y = 0 before the first: factors are an array as long as values, or one number.
+
+    Blocks of SCAN_BLOCK values are scanned each by itself, as pairs of the sum and the product of the factors so far; then
+    what a block carries to the next; then each sum is added to its factor times what its block is given. So time grows
+    with the length and not with its square, until the blocks themselves are many thousands. A null value makes it and those after it null.
+    """
+    pair = lambda x, f: F.struct(x.alias("x"), f.alias("f"))
+    if isinstance(factors, Column):
+        items = F.zip_with(values, factors, lambda x, f: pair(x, f.cast("double")))
+    else:
+        items = F.transform(values, lambda x: pair(x, F.lit(float(factors))))
+    none = F.array().cast("array<struct<s:double,p:double>>")
+
+    def extended(done: Column, item: Column) -> Column:
+        last = F.element_at(done, -1)
+        first = F.struct(item["x"].cast("double").alias("s"), item["f"].alias("p"))
+        return F.concat(done, F.array(F.when(F.size(done) == 0, first).otherwise(F.struct((item["x"] + item["f"] * last["s"]).alias("s"), (item["f"] * last["p"]).alias("p")))))
+
+    def cut(items: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / SCAN_BLOCK), F.lit(0)).cast("int"))
+        return F.transform(places, lambda i: F.aggregate(F.slice(items, i * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)), none, extended))
+
+    def given(done: Column, block: Column) -> Column:
+        end = F.element_at(block, -1)
+        return F.concat(done, F.array(end["s"] + end["p"] * F.element_at(done, -1)))
+
+    def joined(blocks: Column) -> Column:
+        # What each block is given by those before it; the last entry is what the last block carries on.
+        return _let(F.aggregate(blocks, F.array(F.lit(0.0)), given), lambda carried: F.flatten(F.zip_with(blocks, F.slice(carried, F.lit(1), F.size(blocks)), lambda block, c: F.transform(block, lambda x: x["s"] + x["p"] * c))))
+
+    out = _let(items, lambda given_items: _let(cut(given_items), joined))
+    return F.when(F.size(values) > 0, out).when(F.size(values) == 0, F.array().cast("array<double>"))
+
+
+def reverse_scan(values: Column, factor: Column | float) -> Column:
+    """s_t = x_t + f_t * s_(t+1); see linear_scan."""
+    turned = F.reverse(factor) if isinstance(factor, Column) else factor
+    return F.reverse(linear_scan(F.reverse(values), turned))
 
 
 def total(values: Column) -> Column:

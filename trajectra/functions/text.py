@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .answers import canonical
+
 #: Fixed value: what Unicode-aware engines count as white space, with the separators U+001C to U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]*"
 
@@ -36,28 +37,19 @@ def last_boxed(text: str | None) -> str | None:
     return None
 
 
-def canonical_answer(text: str | None) -> str | Fraction | None:
-    """An exact number where the text is one (integer, decimal, percentage, a/b, \\frac{a}{b}), else the text without
-    white space, dollar signs, \\text{...} wrappers, \\left and \\right, and a final full stop."""
-    if text is None:
-        return None
-    out = re.sub(r"\\(?:text|mathrm|mbox)\{([^{}]*)\}", r"\1", text)
-    out = re.sub(r"\\left|\\right|\\[,;!]|\$|\s", "", out).rstrip(".")
-    out = re.sub(r"^\\boxed\{(.*)\}$", r"\1", out)
-    plain = re.sub(r"^(-?)\\[dt]?frac\{(-?\d+)\}\{(-?\d+)\}$", r"\1\2/\3", out.replace("\\%", "%"))
-    plain = re.sub(r"(?<=\d),(?=\d{3}(?:\D|$))", "", plain)
-    try:
-        return Fraction(plain[:-1]) / 100 if plain.endswith("%") else Fraction(plain)
-    except (ValueError, ZeroDivisionError):
-        return out
-
-
 def grade(response: str | None, truth: str | None) -> float:
-    """1.0 if the response's last boxed answer equals the truth, which may be boxed itself."""
-    got, want = canonical_answer(last_boxed(response)), canonical_answer(last_boxed(truth) or truth)
+    """1.0 if the response's last boxed answer is the truth, which may be boxed itself, by the rules of answers.canonical."""
+    got, want = canonical(last_boxed(response)), canonical(last_boxed(truth) or truth)
     return float(got is not None and got == want)
 
 
+@F.pandas_udf(T.StringType())
+def answer_form(answers: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The form that equal answers share: a key to group or join answers by. Of a text with a box the box counts; null stays null."""
+    for texts in answers:
+        yield pd.Series([canonical(last_boxed(t) or t) for t in texts], dtype="object")
+
+
 @F.pandas_udf(T.DoubleType())
 def accuracy_score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for responses, truths in pairs:

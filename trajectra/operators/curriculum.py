@@ -48,5 +48,3 @@ def make_batch(df: DataFrame, target: int, low: float, high: float, group: str =
 
 def progress_of(step: Column, steps: int) -> Column:
     return step.cast("double") / F.lit(float(steps))
-
-__all__ = ["first_groups", "group_band", "make_batch", "perception_ceiling", "progress_of", "schedule_lookup", "scheduled", "Window"]

@@ -47,11 +47,16 @@ def data_metrics(rows: DataFrame, tokens: DataFrame, critic: bool) -> DataFrame:
     return top.withColumn("__s", below.scalar()).select(*top.columns, "__s.*")
 
 
-def timing_per_token(timings: DataFrame, response_tokens: int, all_tokens: int) -> DataFrame:
-    """timings (section, seconds) with milliseconds a token for the sections that have a token count."""
-    tokens = {"gen": response_tokens, "reward": response_tokens} | dict.fromkeys(("ref", "old", "values", "adv", "update_critic", "update_actor"), all_tokens)
-    known = timings.sparkSession.createDataFrame(list(tokens.items()), "section string, tokens long")
-    return timings.join(F.broadcast(known), "section").select("section", "seconds", (F.col("seconds") * 1000 / F.col("tokens")).alias("ms_per_token"))
+#: Sections that are timed by tokens of responses, and by all tokens.
+BY_RESPONSE, BY_ALL = ("gen", "reward"), ("ref", "old", "values", "adv", "update_critic", "update_actor")
+
+
+def timing_per_token(timings: DataFrame, response_tokens: int | Column, all_tokens: int | Column) -> DataFrame:
+    """timings (section, seconds) with milliseconds a token for the sections that have a token count: a number or a scalar subquery."""
+    counts = [x if isinstance(x, Column) else F.lit(x) for x in (response_tokens, all_tokens)]
+    tokens = F.when(F.col("section").isin(*BY_RESPONSE), counts[0]).otherwise(counts[1])
+    known = timings.where(F.col("section").isin(*BY_RESPONSE, *BY_ALL))
+    return known.select("section", "seconds", (F.col("seconds") * 1000 / tokens).alias("ms_per_token"))
 
 
 def throughput(tokens: Column, seconds: Column, devices: int) -> Column:

@@ -26,9 +26,17 @@ def _data(spark, d):
     return rounded(out, *out.columns)
 
 
+#: Sections by an event's user, the last without a token count.
+_SECTIONS = ("gen", "reward", "ref", "old", "values", "adv", "update_critic", "update_actor", "save")
+
+
 def _timing(spark, d):
-    times = spark.createDataFrame([("gen", 12.0), ("ref", 3.5), ("update_actor", 21.0), ("save", 2.0)], "section string, seconds double")
-    return metrics.timing_per_token(times, 4000, 7000)
+    """Events as timed sections; their k are tokens, of responses where something was bought."""
+    e = events(spark, d)
+    section = F.element_at(F.array(*map(F.lit, _SECTIONS)), (F.col("user_id") % len(_SECTIONS) + 1).cast("int"))
+    times = e.groupBy(section.alias("section")).agg(F.sum("value").alias("seconds"))
+    counts = [e.agg(F.sum(x)).scalar() for x in (F.when(F.col("event_type") == "purchase", F.col("k")), F.col("k"))]
+    return rounded(metrics.timing_per_token(times, *counts), "section", "seconds", "ms_per_token")
 
 
 def _flops(spark, d):
@@ -61,9 +69,33 @@ def _normalise(spark, d):
     return r.select("conv_id", "turn", text.normalise_tags(F.col("response")).alias("response"))
 
 
+def _answers(spark, d):
+    """Answers made of a text's length n and the place of its conversation: c, m and e, which is 1 where the truth is missed."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("n"), (F.col("conv_id") % 3 + 2).alias("m"))
+    return c.withColumns({"c": F.col("n") % 5 + 1, "e": (F.col("n") % 3 == 0).cast("int"), "kind": (F.col("conv_id") + F.col("turn")) % 4})
+
+
 def _accuracy(spark, d):
-    r = spark.createDataFrame([(0, "\\boxed{\\frac{1}{2}}", "0.5"), (1, "a \\boxed{3} b \\boxed{4}", "3"), (2, "no box", "1"), (3, "\\boxed{1,200}", "\\boxed{1200}"), (4, "\\boxed{\\text{B}}", "B"), (5, None, "B")], "row_id long, response string, truth string")
-    return r.select("row_id", text.accuracy_score("response", "truth").alias("accuracy"))
+    """Quadratics against their factors, fractions against decimals, quotients against what they reduce to, and no box."""
+    c, m, e, n, kind = (F.col(x) for x in ("c", "m", "e", "n", "kind"))
+    shown = lambda form, *values: F.format_string(form, *[v.cast("long") for v in values])
+    response = (
+        F.when(kind == 0, shown("So \\boxed{x^2 + %dx + %d}.", c + m + e, c * m))
+        .when(kind == 1, shown("\\boxed{9} or \\boxed{\\frac{%d}{4}}", n))
+        .when(kind == 2, shown("\\boxed{\\dfrac{(%dx+%d)^2 - %d}{%dx + %d - %d}}", m, c, m * m, m, c, m))
+        .otherwise(shown("It is x + %d.", c))
+    )
+    truth = F.when(kind == 0, shown("(x+%d)(%d + x)", c, m)).when(kind == 1, F.format_string("%.2f", (n + e) / 4)).when(kind == 2, shown("\\boxed{%d + %d*x}", c + m + e, m)).otherwise(shown("x+%d", c))
+    return _answers(spark, d).select("conv_id", "turn", text.accuracy_score(response, truth).alias("accuracy"))
+
+
+def _votes(spark, d):
+    """The answers of each conversation, written in four ways, grouped by what they mean: how many there are and the most votes."""
+    half, way = F.col("n") % 4, F.col("turn") % 4
+    plain = half.cast("string")
+    written = F.when(way == 0, F.concat(plain, F.lit("/2"))).when(way == 1, F.format_string("\\boxed{%.1f}", half / 2)).when(way == 2, F.concat(F.lit("\\frac{"), plain, F.lit("}{2}"))).otherwise(F.concat(F.lit("x = "), (half * 50).cast("string"), F.lit("\\%")))
+    votes = _answers(spark, d).select("conv_id", text.answer_form(written).alias("form")).groupBy("conv_id", "form").count()
+    return votes.groupBy("conv_id").agg(F.count(F.lit(1)).alias("answers"), F.max("count").alias("votes"))
 
 
 def _parts(spark, d):
@@ -144,6 +176,7 @@ QUERIES = {
     "q_format": _format,
     "q_normalise": _normalise,
     "q_accuracy": _accuracy,
+    "q_answer_votes": _votes,
     "q_content_parts": _parts,
     "q_training_prompts": _train_prompts,
     "q_validation_prompts": _val_prompts,
@@ -169,7 +202,10 @@ WITH a AS (SELECT value / 97 AS score, value / 89 AS reward FROM events), t AS (
 SELECT * FROM (SELECT {", ".join(f"round(avg({c}), 6) AS {c}_mean, round(max({c}), 6) AS {c}_max, round(min({c}), 6) AS {c}_min" for c in ("score", "reward"))} FROM a),
  (SELECT {", ".join(f"round(avg({c}), 6) AS {k}_mean, round(max({c}), 6) AS {k}_max, round(min({c}), 6) AS {k}_min" for k, c in (("advantages", "r"), ("returns", "ret"), ("values", "v")))},
          round(1 - var_samp(ret - v) / (var_samp(ret) + 1e-5), 6) AS vf_explained_var FROM t)""",
-    "q_timing": "SELECT * FROM (VALUES ('gen', 12.0::DOUBLE, 3.0::DOUBLE), ('ref', 3.5::DOUBLE, 0.5::DOUBLE), ('update_actor', 21.0::DOUBLE, 3.0::DOUBLE)) t(section, seconds, ms_per_token)",
+    "q_timing": f"""
+WITH e AS (SELECT ['{"', '".join(_SECTIONS)}'][user_id % 9 + 1] AS section, value, event_type, CAST(props->>'$.k' AS DOUBLE) AS k FROM events),
+n AS (SELECT sum(k) FILTER (event_type = 'purchase') AS answered, sum(k) AS every FROM e)
+SELECT section, round(sum(value), 6) AS seconds, round(sum(value) * 1000 / any_value(CASE WHEN section IN ('gen', 'reward') THEN answered ELSE every END), 6) AS ms_per_token FROM e, n WHERE section <> 'save' GROUP BY section""",
     "q_flops": "SELECT 6.0::DOUBLE * 3e9 * sum(n_chars) + 12.0::DOUBLE * 36 * 16 * 128 * sum(n_chars::DOUBLE * n_chars) AS flops, sum(n_chars) / (12.5::DOUBLE * 8) AS throughput FROM documents",
     "q_validation": "WITH e AS (SELECT event_type, avg(value) AS s FROM events GROUP BY 1) SELECT event_type, round(s, 6) AS score, round(avg(s) OVER (), 6) AS all_sets FROM e",
     "q_best_scores": "WITH e AS (SELECT event_type AS val_name, event_id, floor(value)::DOUBLE AS s FROM events), m AS (SELECT val_name, max(s) AS best_score FROM e GROUP BY 1) SELECT val_name, best_score, min(event_id) AS best_step FROM e JOIN m USING (val_name) WHERE s = best_score GROUP BY 1, 2",
@@ -178,7 +214,10 @@ SELECT * FROM (SELECT {", ".join(f"round(avg({c}), 6) AS {c}_mean, round(max({c}
     "q_format": r"""WITH r AS (SELECT conv_id, turn, '<think>' || text || '</think> ' || CASE WHEN turn % 3 = 0 THEN 'none' ELSE '\boxed{7}' || chr(10) END AS response FROM conversations WHERE role = 'assistant')
 SELECT conv_id, turn, CAST(regexp_full_match(response, '(?s)<think>.*</think>.*\\boxed\{.*\}.*') AS DOUBLE) AS format, length(response)::INT AS chars FROM r""",
     "q_normalise": f"SELECT conv_id, turn, regexp_replace(' < think >' || chr(9) || text || chr(10) || '< / think > x / y', '{_SPACE}(<|>|/){_SPACE}', '\\1', 'g') AS response FROM conversations",
-    "q_accuracy": "SELECT * FROM (VALUES (0::BIGINT, 1.0::DOUBLE), (1, 0.0), (2, 0.0), (3, 1.0), (4, 1.0), (5, 0.0)) t(row_id, accuracy)",
+    "q_accuracy": """
+WITH c AS (SELECT conv_id, turn, length(text) % 5 + 1 AS c, conv_id % 3 + 2 AS m, CAST(length(text) % 3 = 0 AS INT) AS e, (conv_id + turn) % 4 AS kind, length(text) AS n FROM conversations)
+SELECT conv_id, turn, CAST(CASE kind WHEN 0 THEN c + m + e = c + m WHEN 1 THEN n = n + e WHEN 2 THEN c + m = c + m + e ELSE false END AS DOUBLE) AS accuracy FROM c""",
+    "q_answer_votes": "WITH v AS (SELECT conv_id, length(text) % 4 AS half, count(*) AS n FROM conversations GROUP BY ALL) SELECT conv_id, count(*) AS answers, max(n) AS votes FROM v GROUP BY conv_id",
     "q_content_parts": """WITH c AS (SELECT conv_id, turn, '<image>' || text || CASE WHEN turn = 0 THEN '<image>?' ELSE '' END AS p FROM conversations WHERE role = 'user'),
 s AS (SELECT conv_id, turn, string_split(trim(p) || ' Reason.', '<image>') AS x FROM c),
 u AS (SELECT conv_id, turn, unnest(x) AS piece, generate_subscripts(x, 1) AS i FROM s)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.scalar import grid_positions_udf
-from ..operators import advantage, kl, loss
+from ..operators import advantage, kl, loss, scan
 from ..operators.batch import explode_tokens
 from .views import TOKENS, events, rounded, sequences, table, tokens
 
@@ -25,6 +25,23 @@ def _reinforce(spark, d):
     return _long(advantage.advantage("reinforce_plus_plus", sequences(spark, d), gamma=0.97), "advantages", "returns")
 
 
+def _gae_tokens(spark, d):
+    """The same estimate from tokens in long form, in blocks of 16 positions."""
+    rows = scan.gae_tokens(tokens(spark, d), reward="r", value="v", gamma=0.9, lam=0.95, block=16)
+    return rounded(rows.withColumn("pos", F.col("pos").cast("long")), "row_id", "pos", "advantages", "returns")
+
+
+def _reinforce_tokens(spark, d):
+    rows = scan.reinforce_plus_plus_tokens(tokens(spark, d), reward="r", gamma=0.97, block=16)
+    return rounded(rows.withColumn("pos", F.col("pos").cast("long")), "row_id", "pos", "advantages", "returns")
+
+
+def _reset(spark, d):
+    """Discounted values that begin anew after each error, forwards over all events as one sequence."""
+    e = events(spark, d).select(F.lit(0).alias("run"), "event_id", (F.col("value") / 97).alias("x"), (F.col("event_type") != "error").cast("double").alias("go"))
+    return rounded(scan.linear_recurrence(e, "run", "event_id", "x", 0.5 * F.col("go"), "y"), "event_id", "y")
+
+
 def _ids(spark, d):
     """A row a user: token ids k, with eos 7."""
     items = F.sort_array(F.collect_list(F.struct("event_id", F.col("k").cast("long").alias("k"))))
@@ -136,6 +153,9 @@ def _grid(apart):
 QUERIES = {
     "q_gae": _gae,
     "q_reinforce_pp": _reinforce,
+    "q_gae_tokens": _gae_tokens,
+    "q_reinforce_pp_tokens": _reinforce_tokens,
+    "q_scan_reset": _reset,
     "q_eos_mask": _mask,
     "q_pad_truncate": _shape,
     "q_position_ids": _positions,
@@ -250,3 +270,10 @@ UNION ALL SELECT k, seen + 3 * j, film + 3 * j, film + 3 * j, film + 3 * j FROM
 UNION ALL SELECT k, seen + 3 * j + 1 + i, film + 3 * j + 1, film + 3 * j + 1, film + 3 * j + 1 + i FROM tail, generate_series(0, 2) AS g(j), generate_series(0, 1) AS e(i) WHERE j < t
 UNION ALL SELECT k, seen + 3 * t + i, rest + i, rest + i, rest + i FROM tail, generate_series(0, 1) AS g(i) WHERE i < k % 2 + 1""",
 }
+SQL["q_gae_tokens"] = SQL["q_gae"]
+SQL["q_reinforce_pp_tokens"] = SQL["q_reinforce_pp"]
+#: A run between errors is so short that its powers of one half are exact enough.
+SQL["q_scan_reset"] = """
+WITH e AS (SELECT event_id, value / 97 AS x, sum(CAST(event_type = 'error' AS INT)) OVER (ORDER BY event_id) AS run FROM events),
+p AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY event_id) AS i FROM e)
+SELECT a.event_id, round(sum(b.x * pow(0.5::DOUBLE, a.i - b.i)), 6) + 0.0 AS y FROM p a JOIN p b ON a.run = b.run AND b.i <= a.i AND b.i > a.i - 60 GROUP BY a.event_id"""

@@ -23,7 +23,9 @@ def write_json_array(df: DataFrame, path: str, order: str = "row_id") -> None:
     body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != order]), {"ignoreNullFields": "true"})
     first, last = F.col(order) == 0, F.col(order) == df.agg(F.max(order)).scalar()
     line = F.concat(F.when(first, "[").otherwise(","), body, F.when(last, "]").otherwise(""))
-    df.select(order, line.alias("value")).repartitionByRange(order).sortWithinPartitions(order).select("value").write.mode("overwrite").text(path)
+    # Without rows the array is empty, but there.
+    none = df.sparkSession.range(1).where(df.agg(F.count(F.lit(1))).scalar() == 0).select(F.col("id").alias(order), F.lit("[]").alias("value"))
+    df.select(F.col(order).cast("long"), line.alias("value")).unionByName(none).repartitionByRange(order).sortWithinPartitions(order).select("value").write.mode("overwrite").text(path)
 
 
 def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFrame:
