@@ -8,34 +8,35 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of one range of an order; ranges at most, beyond which they hold more rows; sampled keys for each bound.
-RANGE_ROWS, MOST_RANGES, OVERSAMPLE = 50_000, 1 << 14, 16
+from ..runtime import written
 
+#: Rows that are put in order by one task: more are dealt to ranges of the order, of about this many rows each.
+RANGE_ROWS = 50_000
 
-def _ranged(df: DataFrame, order: tuple[str | Column, ...]) -> DataFrame:
-    """df with __key and __range, which rises with the order.
 
-    The bounds between ranges are sampled keys that are collected once, here, so whatever plan the result becomes
-    part of deals a row to the same range. Rows whose order is equal are told apart by a hash of their values, so
-    that a frequent key isn't one range.
+def _ordered(df: DataFrame, order: tuple[str | Column, ...]) -> DataFrame:
+    """df with __ord_part and __ord_at, which both rise with the order, __ord_at within a part.
+
+    More than RANGE_ROWS rows are dealt by ranges, sorted and written once, and only the written table is read from then on: so an
+    input that isn't the same each time gives a right numbering too. Rows whose order is equal are told apart by a hash of
+    their values, and equal rows by where they were read, so that even a table of one row over and over has many ranges.
     """
-    named = [F.col(c) if isinstance(c, str) else c for c in order]
     own = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    keyed = df.withColumn("__key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(named)], F.xxhash64(*own or [F.lit(0)]).alias("tie")))
+    keys = {f"__ord_k{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+    keyed = df.withColumns({**keys, "__ord_tie": F.xxhash64(*own or [F.lit(0)])})
     n = df.count()
-    ranges = min(MOST_RANGES, -(-n // RANGE_ROWS))
-    if ranges <= 1:
-        return keyed.withColumn("__range", F.lit(0))
-    # A little more than is wanted, so that hardly ever fewer keys than bounds come.
-    share = min(1.0, 1.5 * OVERSAMPLE * ranges / n)
-    keys = [r[0] for r in keyed.select("__key").sample(share, 17).orderBy("__key").collect()]
-    bounds = [keys[i * len(keys) // ranges] for i in range(1, ranges) if keys]
-    kind = keyed.schema["__key"].dataType
-    listed = df.sparkSession.createDataFrame([(bounds,)], f"b array<{kind.simpleString()}>").scalar()
-    keyed = keyed.withColumn("__bounds", listed)
-    strides = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
-    found = F.aggregate(strides, F.lit(0), lambda at, s: F.when(F.get("__bounds", at + s - 1) <= F.col("__key"), at + s).otherwise(at))
-    return keyed.withColumn("__range", found).drop("__bounds")
+    if n <= RANGE_ROWS:
+        turn = F.row_number().over(Window.orderBy(*keys, "__ord_tie"))
+        return keyed.withColumns({"__ord_part": F.lit(0).cast("long"), "__ord_at": turn.cast("long") - 1}).drop(*keys, "__ord_tie")
+    by = [*keys, "__ord_tie", "__ord_mark"]
+    dealt = keyed.withColumn("__ord_mark", F.monotonically_increasing_id()).repartitionByRange(-(-n // RANGE_ROWS), *by).sortWithinPartitions(*by)
+    table = written(dealt.drop(*by).withColumn("__ord_id", F.monotonically_increasing_id()))
+    return table.withColumns({"__ord_part": F.shiftright("__ord_id", 33), "__ord_at": F.col("__ord_id").bitwiseAND((1 << 33) - 1)}).drop("__ord_id")
+
+
+def _before(parts: DataFrame) -> DataFrame:
+    """__p and __before, the sum of __s over the parts before it; a row a part."""
+    return parts.select(F.col("__ord_part").alias("__p"), (F.sum("__s").over(Window.orderBy("__ord_part")) - F.col("__s")).alias("__before"))
 
 
 def cumulative(df: DataFrame, *order: str | Column, value: Column | None = None, name: str = "total", dense: bool = False) -> DataFrame:
@@ -43,24 +44,22 @@ def cumulative(df: DataFrame, *order: str | Column, value: Column | None = None,
     first. No task sorts all: ranges of the order are summed apart and shifted by the sums of the ranges before. With dense the order
     is one column of row numbers, which tell the ranges by themselves."""
     if dense:
-        keyed = df.withColumns({"__key": F.struct(F.col(order[0]).alias("k0"), F.lit(0).alias("tie")), "__range": F.floor(F.col(order[0]) / RANGE_ROWS)})
+        keyed = df.withColumns({"__ord_part": F.floor(F.col(order[0]) / RANGE_ROWS), "__ord_at": F.col(order[0])})
     else:
-        keyed = _ranged(df, order)
+        keyed = _ordered(df, order)
     keyed = keyed.withColumn("__x", F.lit(1).cast("long") if value is None else value)
-    sums = keyed.groupBy("__range").agg(F.sum("__x").alias("__s"))
-    before = sums.select(F.col("__range").alias("__r"), (F.sum("__s").over(Window.orderBy("__range")) - F.col("__s")).alias("__before"))
-    # At most MOST_RANGES rows, unless the row numbers tell them.
-    before = before if dense else F.broadcast(before)
-    turn = [F.col(f"__key.k{i}") for i in range(len(order))]
-    inside = Window.partitionBy("__range").orderBy(*turn, F.col("__key.tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = keyed.withColumn("__in", F.sum("__x").over(inside)).join(before, F.col("__range") == F.col("__r"))
-    return out.withColumn(name, F.col("__before") + F.col("__in")).drop("__range", "__r", "__before", "__in", "__x", "__key")
+    before = _before(keyed.groupBy("__ord_part").agg(F.sum("__x").alias("__s")))
+    inside = Window.partitionBy("__ord_part").orderBy("__ord_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = keyed.withColumn("__in", F.sum("__x").over(inside)).join(before, F.col("__ord_part") == F.col("__p"))
+    return out.withColumn(name, F.col("__before") + F.col("__in")).drop("__ord_part", "__ord_at", "__p", "__before", "__in", "__x")
 
 
 def with_row_id(df: DataFrame, *order: str | Column, name: str = "row_id") -> DataFrame:
     """df numbered from 0 in the given order, ascending, nulls first; rows that are equal in it are ordered by a hash of their values."""
-    out = cumulative(df, *order, name="__to")
-    return out.withColumn(name, (F.col("__to") - 1).cast("long")).drop("__to")
+    keyed = _ordered(df, order)
+    before = _before(keyed.groupBy("__ord_part").agg(F.count(F.lit(1)).alias("__s")))
+    out = keyed.join(before, F.col("__ord_part") == F.col("__p"))
+    return out.withColumn(name, F.col("__before") + F.col("__ord_at")).drop("__ord_part", "__ord_at", "__p", "__before")
 
 
 def from_columns(spark: SparkSession, columns: dict[str, Sequence], types: dict[str, str] | None = None) -> DataFrame:
@@ -209,6 +208,13 @@ def union_columns(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.withColumn("row_id", checked).drop("__in_a", "__in_b", *[f"__b_{c}" for c in common])
 
 
+def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """df as a table of the session's warehouse in buckets of row_id, each one sorted file. union_columns of such tables of equally many buckets
+    joins file by file, without a shuffle. An existing table of that name raises."""
+    df.repartition(buckets, "row_id").write.bucketBy(buckets, "row_id").sortBy("row_id").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def concat(*batches: DataFrame) -> DataFrame:
     """All rows of each batch after those of the one before."""
     out, before = batches[0], size_of(batches[0])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip
+from ..runtime import written
 from .batch import cumulative
 
 GROUP = 8
@@ -107,7 +108,9 @@ def thinking_reward(df: DataFrame, size: int = GROUP) -> DataFrame:
     row order; hard wrong ones for length. A last group that isn't full counts as full in its pass rate."""
     df = df.withColumn("g", position_group(size))
     groups = df.groupBy("g").agg((F.sum("acc") / size).alias("pass"), F.coalesce(F.min_by("complexity", "row_id"), F.lit(0.5)).alias("first"))
-    groups = rank_normalised(groups, "g", "first", "norm").withColumn("difficulty", (1.0 - F.col("pass")) * F.col("norm"))
+    # A row a group, read several times: for the ranks, for the percentile's bounds and for the rows.
+    groups = rank_normalised(written(groups), "g", "first", "norm").withColumn("difficulty", (1.0 - F.col("pass")) * F.col("norm"))
+    groups = written(groups.select("g", "difficulty"))
     hard = percentile(groups, "difficulty", 0.8)
     all_ = _batch(df, avg=F.avg("len"), n=F.count(F.lit(1)))
     df = df.join(groups.select("g", "difficulty"), "g").withColumn("hard", F.col("difficulty") > hard)

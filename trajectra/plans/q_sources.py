@@ -9,25 +9,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import advantage, curriculum, kl
-from ..operators.batch import with_row_id
-from ..sources import prompts, sinks
+from ..operators.batch import bucketed, union_columns, with_row_id
+from ..runtime import new_folder
+from ..sources import epochs, prompts, sinks
 from ..streaming.accumulate import Accumulator, accumulate, best_scores, controlled_coefficients
 from . import registry
 from .views import TRAJ, rounded, table, trajectories
 
 
-def _folder(spark) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or local in local mode where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not shared:
-        return "file://" + tempfile.mkdtemp(prefix="trajectra-")
-    return f"{shared.rstrip('/')}/trajectra-{spark.sql('select uuid()').first()[0]}"
-
-
 def _json_round_trip(spark, d):
-    at = _folder(spark)
+    at = new_folder(spark)
     rows = table(spark, d, "nation").select(F.col("n_name").alias("question"), F.lit("é").alias("answer"), F.when(F.col("n_regionkey") > 1, F.col("n_name")).alias("source"))
     sinks.write_json_lines(rows, f"{at}/train")
     lines = spark.read.text(f"{at}/train")
@@ -36,7 +27,7 @@ def _json_round_trip(spark, d):
 
 def _json_array(spark, d):
     """The files of the array, joined, are read as one JSON text."""
-    at = _folder(spark)
+    at = new_folder(spark)
     rows = with_row_id(table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("question"), F.when(F.col("n_regionkey") > 1, F.lit("é")).alias("source")), "n_nationkey")
     sinks.write_json_array(rows, f"{at}/val", "row_id")
     whole = spark.read.text(f"{at}/val").withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
@@ -47,7 +38,7 @@ def _json_array(spark, d):
 
 def _splits(spark, d):
     """A table with a split column, a folder with a split in a folder of its own, and a table without splits."""
-    at = _folder(spark)
+    at = new_folder(spark)
     orders = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, "test").when(F.col("o_orderkey") % 10 == 1, F.lit(None)).otherwise("train").alias("split"))
     orders.write.parquet(f"{at}/orders.parquet")
     orders.where("split = 'test'").drop("split").write.parquet(f"{at}/apart/val.parquet")
@@ -65,7 +56,7 @@ def _validation_sets(spark, d):
 
 
 def _checkpoint(spark, d):
-    at = _folder(spark)
+    at = new_folder(spark)
     state = table(spark, d, "region").select(F.col("r_regionkey").alias("k"))
     for step, score in ((10, 0.51236), (20, 0.4)):
         sinks.save_checkpoint(state, at, step, 10, score)
@@ -124,7 +115,7 @@ def _stream(spark, d):
 
 def _accumulated(spark, d):
     """Groups in the band from a stream of mini-batches, up to a target."""
-    at = _folder(spark)
+    at = new_folder(spark)
     rows = _stream(spark, d).select(F.col("event_id").alias("row_id"), F.floor(F.col("event_id") / 8).alias("uid"), (F.col("event_type") == "purchase").cast("double").alias("acc"))
     accumulate(rows, Accumulator(f"{at}/kept", 30, low=0.05, high=0.6), f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/kept").select("row_id", "uid")
@@ -133,7 +124,7 @@ def _accumulated(spark, d):
 def _controlled(make):
     def run(spark, d):
         """A controller over all events, a run a user and a step an event, with its values."""
-        at = _folder(spark)
+        at = new_folder(spark)
         acc = F.coalesce(F.col("event_type") == "purchase", F.lit(False)).cast("double")
         rows = _stream(spark, d).select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("step"), (F.col("value") / 1000).alias("kl"), F.lit(100).alias("n"), F.when(F.col("event_type") != "error", acc).alias("acc"))
         query = controlled_coefficients(rows, make()).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
@@ -143,9 +134,37 @@ def _controlled(make):
     return run
 
 
+def _customers(spark, d):
+    return with_row_id(table(spark, d, "customer").select("c_custkey"), "c_custkey")
+
+
+def _epoch_stream(spark, d):
+    """Two shuffled epochs of all customers as a stream of three mini-batches each, joined with the table by row number."""
+    at, rows = new_folder(spark), _customers(spark, d)
+    n = rows.count()
+    stream = epochs.mini_batches(spark, n, max(1, -(-n // 3)), 11, epochs=2, drop_last=False)
+    query = stream.join(rows, "row_id").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema(stream.join(rows, "row_id").schema).parquet(f"{at}/out").select("epoch", "place", "mini", "c_custkey")
+
+
+def _shuffled_epochs(spark, d):
+    return epochs.shuffled_epochs(_customers(spark, d), 2, 64, 11).select("epoch", "place", "mini", "c_custkey")
+
+
+def _zipped(spark, d):
+    """Columns of all orders put together again from two bucketed tables, without a shuffle."""
+    rows, name = with_row_id(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey"), "o_orderkey"), f"zip_{spark.sql('select uuid()').first()[0].replace('-', '')}"
+    a, b = bucketed(rows.drop("o_custkey"), f"{name}_a", 8), bucketed(rows.drop("o_totalprice"), f"{name}_b", 8)
+    return union_columns(a, b)
+
+
 def _stream_best(spark, d):
     """The best score of each set, as a running maximum of a stream."""
-    at = _folder(spark)
+    at = new_folder(spark)
     rows = _stream(spark, d).select(F.col("event_type").alias("val_name"), F.col("value").alias("score"))
     query = best_scores(rows).writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/best")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -172,6 +191,9 @@ QUERIES = {
     "q_stream_adaptive": _controlled(lambda: kl.controller("adaptive", 0.05, target=0.05, horizon=10_000)),
     "q_stream_fixed": _controlled(lambda: kl.controller("fixed", 0.05)),
     "q_stream_best": _stream_best,
+    "q_epoch_stream": _epoch_stream,
+    "q_shuffled_epochs": _shuffled_epochs,
+    "q_zip_bucketed": _zipped,
     "q_named_rule": lambda spark, d: rounded(registry.load_function("answer")(trajectories(spark, d)), "row_id", "overall"),
     "q_make_batch": lambda spark, d: curriculum.make_batch(trajectories(spark, d), 10, 0.05, 0.6).select("row_id", "uid"),
 }
@@ -179,7 +201,30 @@ QUERIES = {
 _BAND = "kept AS (SELECT uid FROM traj GROUP BY uid HAVING avg(acc) > 0.05 AND avg(acc) < 0.6)"
 _STEPS = "s AS (SELECT user_id::VARCHAR AS run, event_id AS step, value / 1000 AS kl, CASE WHEN event_type <> 'error' THEN CAST(event_type = 'purchase' AS DOUBLE) END AS acc FROM events)"
 
+_HASH = "('0x' || substr(md5('11:' || e || ':{k}:' || {half}), 1, 8))::BIGINT"
+
+
+def _epochs_sql(size):
+    """The rows at all places of two epochs: four rounds backwards on (l, r), again for what falls outside."""
+    left, right = (lambda k: f"((l - {_HASH.format(k=k, half='r')}) % a + a) % a"), (lambda k: f"((r - {_HASH.format(k=k, half='l')}) % b + b) % b")
+    steps = "SELECT e, place, n, a, b, x // b AS l, x % b AS r FROM walk WHERE x >= n OR fresh"
+    for k in (3, 2, 1, 0):
+        steps = f"SELECT e, place, n, a, b, {left(k) if k % 2 == 0 else 'l'} AS l, {right(k) if k % 2 else 'r'} AS r FROM ({steps})"
+    return f"""
+WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, c_custkey FROM customer),
+s AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a, ceil(count(*) / ceil(sqrt(count(*))))::BIGINT AS b FROM customer),
+walk AS (
+  SELECT e, row_id AS place, n, a, b, row_id AS x, true AS fresh FROM c, s, generate_series(0, 1) AS g(e)
+  UNION ALL
+  SELECT e, place, n, a, b, l * b + r, false FROM ({steps})
+)
+SELECT e::INT AS epoch, place, place // {size} AS mini, c_custkey FROM walk JOIN c ON x = row_id WHERE NOT fresh AND x < n"""
+
+
 SQL = {
+    "q_epoch_stream": _epochs_sql("greatest(1, (n + 2) // 3)"),
+    "q_shuffled_epochs": _epochs_sql("64"),
+    "q_zip_bucketed": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, o_orderkey, o_totalprice, o_custkey FROM orders",
     "q_read_split": "SELECT n_nationkey, n_name FROM nation",
     "q_validation_sets": "SELECT 'val_set_0' AS val_name, r_name, NULL::INT AS n_nationkey, NULL::VARCHAR AS n_name FROM region UNION ALL SELECT 'val_set_2', NULL, n_nationkey, n_name FROM nation",
     "q_json_array": "SELECT n_nationkey, n_name AS question, CASE WHEN n_regionkey > 1 THEN 'é' END AS source FROM nation",

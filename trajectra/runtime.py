@@ -1,14 +1,17 @@
-"""Makes this package importable by Python workers wherever the driver was started."""
+"""Makes this package importable by Python workers wherever the driver was started, and keeps intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_made: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,3 +26,33 @@ def ship(spark: SparkSession) -> None:
             out.write(p, p.relative_to(top.parent))
     spark.sparkContext.addPyFile(str(at))
     _shipped.add(app)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new path that driver and executors share, below spark.checkpoint.dir, or a local one in local mode where that is unset. What
+    is there is removed when the driver ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    shared = shared or "file://" + tempfile.mkdtemp(prefix="trajectra-")
+    path = f"{shared.rstrip('/')}/trajectra-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the JVM may have ended before
+            return
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table that was written once: what reads it neither computes it again nor loses it with an executor."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

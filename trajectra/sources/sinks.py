@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import checkpoint_step, unflatten
+from . import commits
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -102,19 +102,16 @@ def log_samples(samples: DataFrame, path: str, step: int) -> None:
     samples.withColumn("step", F.lit(step)).write.mode("append").parquet(path)
 
 
-def save_checkpoint(state: DataFrame, folder: str, step: int, best: int | None, score: float | None) -> None:
-    """State as Parquet in global_step_N, then the tracker that names it: a reader never sees a step half written."""
-    state.write.mode("overwrite").parquet(f"{folder}/global_step_{step}")
-    line = json.dumps({"last_global_step": step, "best_global_step": best, "best_val_reward_score": None if score is None else round(score, 4)})
-    state.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/tracker")
+def save_checkpoint(state: DataFrame, folder: str, step: int, best: int | None, score: float | None, after: int | None = None) -> dict:
+    """State as Parquet below global_step_N, then a commit that names it: whoever reads finds this step whole or the one
+    before. after: see commits.commit, which raises Conflict if another writer was first."""
+    record = {"last_global_step": step, "best_global_step": best, "best_val_reward_score": None if score is None else round(score, 4)}
+    return commits.commit(state, folder, f"global_step_{step}", record, after)
 
 
 def latest_checkpoint(spark: SparkSession, folder: str) -> tuple[str, dict] | None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/tracker")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return None
-    found = json.loads(spark.read.text(f"{folder}/tracker").first()["value"])
-    return f"{folder}/global_step_{found['last_global_step']}", found
+    found = commits.latest(spark, folder)
+    return found and (f"{folder}/{found['data']}", found)
 
 
 def obsolete_checkpoints(paths: DataFrame, current: int, best: int | None, limit: int, path: str = "path") -> DataFrame:
