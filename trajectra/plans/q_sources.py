@@ -13,6 +13,7 @@ from ..operators.batch import bucketed, union_columns, with_row_id
 from ..runtime import new_folder
 from ..sources import epochs, prompts, sinks
 from ..streaming.accumulate import Accumulator, accumulate, best_scores, controlled_coefficients
+from ..streaming.collect import collect_groups, keyed_state
 from . import registry
 from .views import TRAJ, rounded, table, trajectories
 
@@ -134,6 +135,17 @@ def _controlled(make):
     return run
 
 
+def _collected(spark, d):
+    """Batches of five groups in the band, of three runs, from mini-batches of all events."""
+    at = new_folder(spark)
+    group = F.floor(F.col("event_id") / 8)
+    rows = _stream(spark, d).select((group % 3).alias("run"), F.floor(F.col("event_id") / 512).alias("mini"), F.lpad(group.cast("string"), 12, "0").alias("uid"), (F.col("event_type") == "purchase").cast("double").alias("acc"))
+    with keyed_state(spark):
+        query = collect_groups(rows, 5, 0.05, 0.6).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema("run string, step long, place long, uid string, tries long").parquet(f"{at}/out").withColumn("uid", F.col("uid").cast("long"))
+
+
 def _customers(spark, d):
     return with_row_id(table(spark, d, "customer").select("c_custkey"), "c_custkey")
 
@@ -191,6 +203,7 @@ QUERIES = {
     "q_stream_adaptive": _controlled(lambda: kl.controller("adaptive", 0.05, target=0.05, horizon=10_000)),
     "q_stream_fixed": _controlled(lambda: kl.controller("fixed", 0.05)),
     "q_stream_best": _stream_best,
+    "q_stream_groups": _collected,
     "q_epoch_stream": _epoch_stream,
     "q_shuffled_epochs": _shuffled_epochs,
     "q_zip_bucketed": _zipped,
@@ -222,6 +235,20 @@ SELECT e::INT AS epoch, place, place // {size} AS mini, c_custkey FROM walk JOIN
 
 
 SQL = {
+    "q_stream_groups": """
+WITH RECURSIVE g AS (SELECT (event_id // 8) % 3 AS run, event_id // 512 AS mini, event_id // 8 AS uid, avg(CAST(event_type = 'purchase' AS DOUBLE)) AS mean FROM events GROUP BY ALL),
+m AS (SELECT run, mini, row_number() OVER (PARTITION BY run ORDER BY mini) AS i, count(*) FILTER (mean > 0.05 AND mean < 0.6) AS k FROM g GROUP BY run, mini),
+walk AS (
+  SELECT DISTINCT run, 0::BIGINT AS i, 0::BIGINT AS held, 0::BIGINT AS step, 0::BIGINT AS tries FROM m
+  UNION ALL
+  SELECT m.run, m.i, CASE WHEN held + k >= 5 THEN 0 ELSE held + k END, step + CAST(held + k >= 5 AS BIGINT), CASE WHEN held + k >= 5 THEN 0 ELSE tries + 1 END
+  FROM walk w JOIN m ON m.run = w.run AND m.i = w.i + 1
+),
+ends AS (SELECT w.run, w.step, w.tries + 1 AS tries FROM walk w JOIN walk x ON x.run = w.run AND x.i = w.i + 1 AND x.step = w.step + 1),
+kept AS (SELECT run, mini, uid, row_number() OVER (PARTITION BY run, mini ORDER BY uid) AS r FROM g WHERE mean > 0.05 AND mean < 0.6)
+SELECT kept.run::VARCHAR AS run, w.step, w.held + r - 1 AS place, uid, ends.tries
+FROM kept JOIN m ON m.run = kept.run AND m.mini = kept.mini JOIN walk w ON w.run = m.run AND w.i = m.i - 1 JOIN ends ON ends.run = w.run AND ends.step = w.step
+WHERE w.held + r <= 5""",
     "q_epoch_stream": _epochs_sql("greatest(1, (n + 2) // 3)"),
     "q_shuffled_epochs": _epochs_sql("64"),
     "q_zip_bucketed": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, o_orderkey, o_totalprice, o_custkey FROM orders",
