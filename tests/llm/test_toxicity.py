@@ -1,9 +1,10 @@
 import random
 import zlib
 
+import zstandard
 from pyspark.sql import functions as F
 
-from trajectra.llm.toxicity import drop_toxic, marking_pieces, score_toxicity, train_toxicity, windows
+from trajectra.llm.toxicity import ANCHOR, LEVELS, drop_toxic, fit_toxicity, marking_pieces, score_toxicity, train_toxicity, windows
 
 from .helpers import awkward, empty, prose
 
@@ -40,7 +41,8 @@ def test_only_labels_outside_the_fold_are_learnt(spark):
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     turned = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = train_toxicity(docs, labels), train_toxicity(docs, turned)
-    assert a.toxic == b.toxic and (a.weights == b.weights).all()
+    assert a.cut == b.cut and len(a.judges) == len(b.judges) == 3
+    assert all(x.toxic == y.toxic and (x.weights == y.weights).all() for x, y in zip(a.judges, b.judges))
 
 
 def test_awkward_rows_and_missing_labels(spark):
@@ -79,6 +81,45 @@ def test_windows_and_pieces():
     assert all(b"blockhead" in p for p in pieces) and len(pieces) == 20
 
 
+def test_window_lengths_are_those_of_the_compressor(spark):
+    """Gains against the lengths that zstandard gives for each window by itself, and none where no run is shared."""
+    docs, labels = corpus(spark, 300)
+    model = train_toxicity(docs, labels)
+    text = docs.where("doc_id = 8").first()["text"] + " blockhead " + prose(random.Random(1), 300)
+    pieces, hits = model.windows(text)
+    assert b"".join(pieces) == text.lower().encode() and hits.shape == (3, 2, len(pieces)) and 0 < hits[0, 0].sum() < len(pieces)
+
+    def length(piece, content, level):
+        made = zstandard.ZstdCompressionDict(content + ANCHOR, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=level, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False).compress(ANCHOR + piece))
+
+    for judge, own in zip(model.judges, hits):
+        gains = judge.gains(pieces, own)
+        for row, hit, laid in zip(gains, own, (judge.toxic, judge.repeated)):
+            runs = {laid[i : i + 6] for i in range(len(laid) - 5)}
+            at = 0
+            for i, piece in enumerate(pieces):
+                joined = text.lower().encode()[at : at + len(piece) + 5]
+                assert hit[i] == any(joined[j : j + 6] in runs for j in range(min(len(piece), len(joined) - 5)))
+                want = sum(length(piece, judge.ordinary, k) - length(piece, judge.ordinary + laid, k) for k in LEVELS) // len(LEVELS) if hit[i] else 0
+                assert row[i] == want
+                at += len(piece)
+
+
+def test_a_model_of_few_documents(spark):
+    """One document of a label: no part can be judged by the others, so one judge has all."""
+    rows = [(1, 1, b"you blockhead " * 9)] + [(i, 0, b"all fine here %d " % i * 9) for i in range(2, 12)]
+    model = fit_toxicity(rows)
+    assert len(model.judges) == 1 and 0 <= model.score(None) <= 1 and 0 <= model.score("x") <= 1
+    assert fit_toxicity(rows[:1]) is None and fit_toxicity([]) is None
+
+
+def test_repeated_ids_among_the_labelled_rows(spark):
+    docs, labels = corpus(spark, 200)
+    twice = docs.unionByName(docs.limit(40)), labels.unionByName(labels.limit(40))
+    assert train_toxicity(*twice).cut == train_toxicity(docs, labels).cut
+
+
 def test_empty(spark):
     docs, labels = corpus(spark, 40)
     assert score_toxicity(empty(spark), labels).count() == 0

@@ -1,18 +1,21 @@
 """Toxicity by compression distance: separate zstandard dictionaries of toxic and ordinary text, compared window by window.
 
 Training reads a bounded sample of labelled rows (MAX_DOCS documents a class of at most MAX_BYTES each, chosen by
-a hash of their ids; of equal texts with one label the first). Byte runs that many toxic documents have and hardly any ordinary one are the samples of
+a hash of their ids; of equal texts with one label the first). They are dealt to DEALS parts by another hash of their ids, and each part has a
+judge whose dictionaries are of the other parts. Byte runs that many toxic documents have and hardly any ordinary one does are the samples of
 the toxic dictionary; runs that many toxic documents repeat and hardly any ordinary one does, though ordinary ones
 have them, are those of a second one, the dictionary of repeated runs; windows of ordinary documents are those of the ordinary one. A window has two gains: how many
 bytes shorter it gets when the toxic dictionary, or that of repeated runs, is laid over the ordinary one, in the mean of several compression
-levels: which matches a level happens to find differs from level to level, a marking word's doesn't. A document is scored by the shares
-of its windows whose gains reach each of several thresholds; a logistic regression on labelled documents that
-the dictionaries haven't seen weighs them, and is shifted to the share of toxic labels among all labels.
+levels: which matches a level happens to find differs from level to level, a marking word's doesn't. A window that has no run of a
+dictionary isn't compressed with it; its gain is 0. A judge weighs the shares of the windows whose gains reach each of several thresholds
+by a logistic regression on the documents of its own part, which its dictionaries haven't seen. The score is from the mean of all judges' verdicts, set
+against a cut that FLAGGED of the ordinary documents reach when only the judge that hasn't seen them is asked.
 """
 
 from __future__ import annotations
 
 import functools
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +30,9 @@ from pyspark.sql import types as T
 from .items import map_arrow
 
 #: Labelled rows a class, bytes of one and of all of a class that training reads at most.
-MAX_DOCS, MAX_BYTES, SAMPLE_BYTES = 2500, 1 << 16, 32 << 20
+MAX_DOCS, MAX_BYTES, SAMPLE_BYTES = 3000, 1 << 16, 16 << 20
+#: Parts, and so judges; the share of ordinary documents that a single judge may flag (the mean of all flags fewer).
+DEALS, FLAGGED = 3, 0.02
 WINDOW = 40
 LEVELS = (1, 3)
 GRAM = 6
@@ -114,13 +119,18 @@ def _frequent(samples: list[bytes], size: int) -> bytes:
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary's content; of few samples, which zstandard refuses, their most frequent ones."""
     try:
-        return zstd.train_dictionary(size, samples).as_bytes()[8:]
+        made = zstd.train_dictionary(size, samples).as_bytes()
     except zstd.ZstdError:
         return _frequent(samples, size)
+    # Before the content stand a header and entropy tables of no fixed length; what comes from the samples is content.
+    text = b"\n".join(samples)
+    return next((made[at:] for at in range(8, min(1024, len(made) - 8)) if made[at : at + 8] in text), made[8:])
 
 
 @dataclass
-class ToxicityModel:
+class Judge:
+    """Dictionaries and what their gains weigh."""
+
     ordinary: bytes
     toxic: bytes
     repeated: bytes
@@ -132,24 +142,22 @@ class ToxicityModel:
             made = zstd.ZstdCompressionDict(content + ANCHOR, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             return zstd.ZstdCompressor(level=level, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-        # Without repeated runs that dictionary changes nothing, so it isn't asked.
-        laid = [self.toxic, self.repeated] if self.repeated else [self.toxic]
-        return [[of(self.ordinary + x, level) for x in [b"", *laid]] for level in LEVELS]
+        return [[of(self.ordinary + x, level) for x in (b"", self.toxic, self.repeated)] for level in LEVELS]
 
-    def gains(self, text: str | None) -> np.ndarray:
-        """Two rows, by the toxic dictionary and by that of repeated runs, with a column a window."""
-        pieces = [ANCHOR + x for x in windows(_raw(text))]
+    def gains(self, pieces: list[bytes], hits: np.ndarray) -> np.ndarray:
+        """Two rows, by the toxic dictionary and by that of repeated runs, with a column a window; hits has which windows to compress."""
         total = np.zeros((2, len(pieces)), np.int64)
-        if not pieces:
-            return total
-        for level in self._squeeze:
-            plain, *laid = ([len(x) for x in one.multi_compress_to_buffer(pieces, threads=1)] for one in level)
-            for row, sizes in zip(total, laid):
-                row += np.array(plain) - np.array(sizes)
+        for row, hit, kind in zip(total, hits, (1, 2)):
+            at = np.flatnonzero(hit)
+            if len(at):
+                some = [ANCHOR + pieces[i] for i in at.tolist()]
+                for level in self._squeeze:
+                    plain, laid = ([len(x) for x in level[k].multi_compress_to_buffer(some, threads=1)] for k in (0, kind))
+                    row[at] += np.array(plain) - np.array(laid)
         return total // len(LEVELS)
 
-    def features(self, text: str | None) -> np.ndarray:
-        gains = self.gains(text)
+    def features(self, pieces: list[bytes], hits: np.ndarray) -> np.ndarray:
+        gains = self.gains(pieces, hits)
         n = gains.shape[1]
         out = [[1.0, np.log1p(n)]]
         for row in gains:
@@ -157,11 +165,54 @@ class ToxicityModel:
             out += [np.sqrt(reach / max(1, n)), np.log1p(reach), [row.max() / 10 if n else 0.0]]
         return np.concatenate(out)
 
+    def __getstate__(self):
+        return {"ordinary": self.ordinary, "toxic": self.toxic, "repeated": self.repeated, "weights": self.weights}
+
+
+@dataclass
+class ToxicityModel:
+    judges: list[Judge]
+    cut: float = 0.0
+
+    @functools.cached_property
+    def _runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of all dictionaries, which of them each is in, as bits, and a table of the hashes that there are."""
+        found = [(_grams(x), np.uint64(1 << (2 * j + k))) for j, judge in enumerate(self.judges) for k, x in enumerate((judge.toxic, judge.repeated))]
+        runs, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+        bits = np.zeros(len(runs), np.uint64)
+        np.bitwise_or.at(bits, at, np.concatenate([np.full(len(g), bit) for g, bit in found]))
+        table = np.zeros(1 << 20, bool)
+        table[_slots(runs)] = True
+        return runs, bits, table
+
+    def windows(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
+        """The windows of a text, and for each judge and dictionary which of them have one of its runs."""
+        raw = _raw(text)
+        pieces = windows(raw)
+        runs, bits, table = self._runs
+        grams = _grams(raw)
+        at = np.flatnonzero(table[_slots(grams)])
+        place = np.minimum(np.searchsorted(runs, grams[at]), max(0, len(runs) - 1))
+        at, place = (x[runs[place] == grams[at]] for x in (at, place)) if len(runs) else (at[:0], place[:0])
+        ends = np.cumsum([len(x) for x in pieces])
+        held = np.zeros(len(pieces), np.uint64)
+        np.bitwise_or.at(held, np.searchsorted(ends, at, side="right"), bits[place])
+        return pieces, np.array([held >> np.uint64(k) & np.uint64(1) for k in range(2 * len(self.judges))], bool).reshape(len(self.judges), 2, len(pieces))
+
+    def verdict(self, text: str | None) -> float:
+        """The judges' mean, as the logarithm of odds."""
+        pieces, hits = self.windows(text)
+        return float(np.mean([np.clip(judge.features(pieces, own) @ judge.weights, -30, 30) for judge, own in zip(self.judges, hits)]))
+
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.verdict(text) - self.cut, -30, 30))))
 
     def __getstate__(self):
-        return {"ordinary": self.ordinary, "toxic": self.toxic, "repeated": self.repeated, "weights": self.weights}
+        return {"judges": self.judges, "cut": self.cut}
+
+
+def _slots(runs: np.ndarray) -> np.ndarray:
+    return (runs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.3) -> np.ndarray:
@@ -185,7 +236,6 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.where(F.crc32(F.col("id").cast("string")) % 5 != 0).groupBy("id").agg(F.max("label").alias("label"))
-    shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = None
     for label in (1, 0):
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(max_docs)
@@ -195,31 +245,47 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
     # Within the budget of bytes in the order of the hash; at most two times max_docs rows are added up.
     upto = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
     rows = sample.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("id", "label", "text").collect()
-    return fit_toxicity(sorted((r["id"], r["label"], _raw(r["text"])) for r in rows), shares)
+    return fit_toxicity(sorted((r["id"], r["label"], _raw(r["text"])) for r in rows))
 
 
-def fit_toxicity(rows: list[tuple[int, int, bytes]], shares: dict[int, int]) -> ToxicityModel | None:
-    """A model from rows of id, label and text, in order of id and text; shares has how many documents have each label."""
-    rows = list({(label, text): (i, label, text) for i, label, text in reversed(rows)}.values())[::-1]
-    part = {(label, later): [x for n, (_, x) in enumerate((i, x) for i, k, x in rows if k == label) if (n % 5 >= 3) == later] for label in (0, 1) for later in (False, True)}
-    if not part[1, False] or not part[0, False]:
-        return None
-    pieces, marks = marking_pieces(part[1, False], part[0, False]), repeated_runs(part[1, False], part[0, False])
+def _part(i: int) -> int:
+    return zlib.crc32(f"part {i}".encode()) % DEALS
+
+
+def _judge(toxic: list[bytes], ordinary: list[bytes]) -> Judge:
+    """A judge without weights, whose dictionaries are of these documents."""
+    pieces, marks = marking_pieces(toxic, ordinary), repeated_runs(toxic, ordinary)
     # Ordinary text has repeated runs too; if they or nearly all of one were in the ordinary dictionary, they would give no gain.
     near = np.union1d(marks >> np.uint64(8), marks & np.uint64((1 << 8 * (GRAM - 1)) - 1))
-    plain = [w for x in part[0, False] for w in windows(x, 96) if not len(near) or not np.isin(_grams(w, GRAM - 1), near).any()]
-    ordinary = _dictionary(plain, ORDINARY_BYTES)
-    toxic = _dictionary([b"".join(pieces[i : i + 8]) for i in range(0, len(pieces), 8)], TOXIC_BYTES)
-    repeated = _frequent(_stretches(part[1, False], marks), TOXIC_BYTES // 3 - 2)
+    plain = [w for x in ordinary for w in windows(x, 96) if not len(near) or not np.isin(_grams(w, GRAM - 1), near).any()]
+    repeated = _frequent(_stretches(toxic, marks), TOXIC_BYTES // 3 - 2)
     # zstandard surely keeps only every third place of a dictionary; in three copies each run begins at one.
     repeated = (repeated + b"\n" * (1 + -len(repeated) % 3)) * 3 if repeated else b""
-    model = ToxicityModel(ordinary, toxic, repeated, np.zeros(4 + 4 * len(THRESHOLDS)))
-    seen = [(x, k) for k in (0, 1) for x in part[k, True] or part[k, False]]
-    x = np.array([model.features(t.decode("utf-8", "replace")) for t, _ in seen])
-    y = np.array([k for _, k in seen], float)
-    model.weights = _logistic(x, y)
-    model.weights[0] += np.log(shares[1] / shares[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return model
+    listed = _dictionary([b"".join(pieces[i : i + 8]) for i in range(0, len(pieces), 8)], TOXIC_BYTES)
+    return Judge(_dictionary(plain, ORDINARY_BYTES), listed, repeated, np.zeros(4 + 4 * len(THRESHOLDS)))
+
+
+def fit_toxicity(rows: list[tuple[int, int, bytes]]) -> ToxicityModel | None:
+    """A model from rows of id, label and text, in order of id and text. A part without documents of both labels has no judge;
+    without any judge there is one of all documents, which are also weighed by it; without documents of both labels there is no model."""
+    rows = list({(label, text): (i, label, text) for i, label, text in reversed(rows)}.values())[::-1]
+    if {label for _, label, _ in rows} != {0, 1}:
+        return None
+    judges, asked = [], []
+    for j in (*range(DEALS), None):
+        own = [r for r in rows if j is None or _part(r[0]) == j]
+        rest = [r for r in rows if j is None or _part(r[0]) != j]
+        if {r[1] for r in own} != {0, 1} or {r[1] for r in rest} != {0, 1} or j is None and judges:
+            continue
+        judge = _judge([t for _, k, t in rest if k], [t for _, k, t in rest if not k])
+        alone = ToxicityModel([judge])
+        seen = [alone.windows(t.decode("utf-8", "replace")) for *_, t in own]
+        x, y = np.array([judge.features(pieces, hits[0]) for pieces, hits in seen]), np.array([k for _, k, _ in own], float)
+        judge.weights = _logistic(x, y)
+        judges.append(judge)
+        asked.append((x @ judge.weights)[y == 0])
+    clean = np.sort(np.concatenate(asked))[::-1]
+    return ToxicityModel(judges, float(clean[int(FLAGGED * len(clean))]))
 
 
 def with_score(df: DataFrame, model: ToxicityModel | None, text: str, out: str = "score") -> DataFrame:
