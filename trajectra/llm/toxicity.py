@@ -156,14 +156,17 @@ class Judge:
                     row[at] += np.array(plain) - np.array(laid)
         return total // len(LEVELS)
 
-    def features(self, pieces: list[bytes], hits: np.ndarray) -> np.ndarray:
+    def features(self, pieces: list[bytes], hits: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """A row a text; counts has how many of the windows are each text's, one text after another."""
         gains = self.gains(pieces, hits)
-        n = gains.shape[1]
-        out = [[1.0, np.log1p(n)]]
+        text, texts = np.repeat(np.arange(len(counts)), counts), len(counts)
+        out = [np.ones(texts), np.log1p(counts)]
         for row in gains:
-            reach = np.array([(row >= k).sum() for k in THRESHOLDS], float)
-            out += [np.sqrt(reach / max(1, n)), np.log1p(reach), [row.max() / 10 if n else 0.0]]
-        return np.concatenate(out)
+            reach = [np.bincount(text[row >= k], minlength=texts) for k in THRESHOLDS]
+            most = np.full(texts, np.iinfo(np.int64).min)
+            np.maximum.at(most, text, row)
+            out += [np.sqrt(r / np.maximum(1, counts)) for r in reach] + [np.log1p(r) for r in reach] + [np.where(counts > 0, most, 0) / 10]
+        return np.stack(out, axis=1)
 
     def __getstate__(self):
         return {"ordinary": self.ordinary, "toxic": self.toxic, "repeated": self.repeated, "weights": self.weights}
@@ -199,13 +202,23 @@ class ToxicityModel:
         np.bitwise_or.at(held, np.searchsorted(ends, at, side="right"), bits[place])
         return pieces, np.array([held >> np.uint64(k) & np.uint64(1) for k in range(2 * len(self.judges))], bool).reshape(len(self.judges), 2, len(pieces))
 
-    def verdict(self, text: str | None) -> float:
-        """The judges' mean, as the logarithm of odds."""
-        pieces, hits = self.windows(text)
-        return float(np.mean([np.clip(judge.features(pieces, own) @ judge.weights, -30, 30) for judge, own in zip(self.judges, hits)]))
+    def asked(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The windows of all texts, their hits as windows() gives them, and how many each text has. A call of the compressor costs
+        more than a window, so it gets those of many texts at once."""
+        found = [self.windows(t) for t in texts]
+        hits = np.concatenate([h for _, h in found], axis=2) if found else np.zeros((len(self.judges), 2, 0), bool)
+        return [x for pieces, _ in found for x in pieces], hits, np.array([len(pieces) for pieces, _ in found], np.int64)
+
+    def verdicts(self, texts: list[str | None]) -> np.ndarray:
+        """The judges' mean for each text, as the logarithm of odds."""
+        pieces, hits, counts = self.asked(texts)
+        return np.mean([np.clip(judge.features(pieces, own, counts) @ judge.weights, -30, 30) for judge, own in zip(self.judges, hits)], axis=0)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.verdicts(texts) - self.cut, -30, 30)))
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.verdict(text) - self.cut, -30, 30))))
+        return float(self.scores([text])[0])
 
     def __getstate__(self):
         return {"judges": self.judges, "cut": self.cut}
@@ -279,8 +292,8 @@ def fit_toxicity(rows: list[tuple[int, int, bytes]]) -> ToxicityModel | None:
             continue
         judge = _judge([t for _, k, t in rest if k], [t for _, k, t in rest if not k])
         alone = ToxicityModel([judge])
-        seen = [alone.windows(t.decode("utf-8", "replace")) for *_, t in own]
-        x, y = np.array([judge.features(pieces, hits[0]) for pieces, hits in seen]), np.array([k for _, k, _ in own], float)
+        pieces, hits, counts = alone.asked([t.decode("utf-8", "replace") for *_, t in own])
+        x, y = judge.features(pieces, hits[0], counts), np.array([k for _, k, _ in own], float)
         judge.weights = _logistic(x, y)
         judges.append(judge)
         asked.append((x @ judge.weights)[y == 0])
@@ -296,7 +309,7 @@ def with_score(df: DataFrame, model: ToxicityModel | None, text: str, out: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(t) for t in batch.column(place).to_pylist()]
+            scores = model.scores(batch.column(place).to_pylist()) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
 
     return map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
