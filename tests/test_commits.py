@@ -16,7 +16,7 @@ def test_each_commit_is_found_until_the_next(spark, tmp_path):
         sinks.save_checkpoint(spark.range(rows), at, step, 10, 0.123456)
         path, found = sinks.latest_checkpoint(spark, at)
         assert found["last_global_step"] == step and found["best_val_reward_score"] == 0.1235 and spark.read.parquet(path).count() == rows
-        assert f"global_step_{step}/" in path
+        assert path.endswith(f"/global_step_{step}")
     assert commits.numbers(spark, at) == [2, 1, 0]
 
 

@@ -92,14 +92,14 @@ def latest(spark: SparkSession, folder: str) -> dict | None:
 
 
 def commit(state: DataFrame, folder: str, name: str, record: dict, after: int | None = None) -> dict:
-    """Write state below folder/name and make a commit of it with the fields of record.
+    """Write state to a folder of that name in a new folder below folder/attempts, and make a commit of it with the fields of record.
 
     after: the number of the commit that this one follows, as the writer knows it, -1 for none; by default the highest there is. Raises
     Conflict if another has followed it. Data of attempts that weren't committed stays until retention removes its folder.
     """
     spark = state.sparkSession
     after = next(iter(numbers(spark, folder)), -1) if after is None else after
-    data = f"{name}/{uuid.uuid4().hex}"
+    data = f"attempts/{uuid.uuid4().hex}/{name}"
     state.write.parquet(f"{folder}/{data}")
     made = {**record, "number": after + 1, "data": data}
     temporary = f"{folder}/commits/.{uuid.uuid4().hex}"

@@ -103,7 +103,7 @@ def log_samples(samples: DataFrame, path: str, step: int) -> None:
 
 
 def save_checkpoint(state: DataFrame, folder: str, step: int, best: int | None, score: float | None, after: int | None = None) -> dict:
-    """State as Parquet below global_step_N, then a commit that names it: whoever reads finds this step whole or the one
+    """State as Parquet in a global_step_N of its own, then a commit that names it: whoever reads finds this step whole or the one
     before. after: see commits.commit, which raises Conflict if another writer was first."""
     record = {"last_global_step": step, "best_global_step": best, "best_val_reward_score": None if score is None else round(score, 4)}
     return commits.commit(state, folder, f"global_step_{step}", record, after)
