@@ -39,7 +39,7 @@ def _reinforce_tokens(spark, d):
 def _reset(spark, d):
     """Discounted values that begin anew after each error, forwards over all events as one sequence."""
     e = events(spark, d).select(F.lit(0).alias("run"), "event_id", (F.col("value") / 97).alias("x"), (F.col("event_type") != "error").cast("double").alias("go"))
-    return rounded(scan.linear_recurrence(e, "run", "event_id", "x", 0.5 * F.col("go"), "y"), "event_id", "y")
+    return rounded(scan.linear_recurrence(e, "run", "event_id", "x", 0.53 * F.col("go"), "y"), "event_id", "y")
 
 
 def _ids(spark, d):
@@ -272,8 +272,8 @@ UNION ALL SELECT k, seen + 3 * t + i, rest + i, rest + i, rest + i FROM tail, ge
 }
 SQL["q_gae_tokens"] = SQL["q_gae"]
 SQL["q_reinforce_pp_tokens"] = SQL["q_reinforce_pp"]
-#: A run between errors is so short that its powers of one half are exact enough.
+#: What is 60 steps back has a weight below 1e-16. The factor is no power of two, which with these values gives rounding ties.
 SQL["q_scan_reset"] = """
 WITH e AS (SELECT event_id, value / 97 AS x, sum(CAST(event_type = 'error' AS INT)) OVER (ORDER BY event_id) AS run FROM events),
 p AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY event_id) AS i FROM e)
-SELECT a.event_id, round(sum(b.x * pow(0.5::DOUBLE, a.i - b.i)), 6) + 0.0 AS y FROM p a JOIN p b ON a.run = b.run AND b.i <= a.i AND b.i > a.i - 60 GROUP BY a.event_id"""
+SELECT a.event_id, round(sum(b.x * pow(0.53::DOUBLE, a.i - b.i)), 6) + 0.0 AS y FROM p a JOIN p b ON a.run = b.run AND b.i <= a.i AND b.i > a.i - 60 GROUP BY a.event_id"""
