@@ -71,14 +71,20 @@ def deal(df: DataFrame, k: int, batch: str = "batch_id", length: str = "length",
     return df.select(batch, "row_id", length).groupBy(batch).applyInPandas(run, f"{batch} long, row_id long, part long")
 
 
-def micro_batches(df: DataFrame, max_tokens: int, batch: str = "batch_id", length: str = "length") -> DataFrame:
+def micro_batches(df: DataFrame, max_tokens: int, batch: str = "batch_id", length: str = "length", together: str | None = None) -> DataFrame:
     """batch, row_id, part, turn: ceil(tokens / max_tokens) parts a batch, in falling order of their sums of squared
-    lengths, ties the later first. Balances, and doesn't promise max_tokens."""
+    lengths, ties the later first. Balances, and doesn't promise max_tokens. Batches of the same value of together, one a rank, all
+    get as many parts as the one that needs most, so that ranks take equally many steps; a batch with fewer rows than that raises."""
+    own = Window.partitionBy(batch)
+    need = F.least(F.count(F.lit(1)).over(own), F.greatest(F.lit(1), F.ceil(F.sum(length).over(own) / max_tokens)))
+    rows = df.select(batch, "row_id", length, *([] if together is None else [together])).withColumn("__k", need.cast("long"))
+    if together is not None:
+        rows = rows.withColumn("__k", F.max("__k").over(Window.partitionBy(together))).drop(together)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row_id").reset_index(drop=True)
         lengths = [int(x) for x in rows[length]]
-        k = min(len(lengths), max(1, -(-sum(lengths) // max_tokens)))
+        k = int(rows["__k"].iloc[0])
         parts = balanced_parts(lengths, k, equal_size=False)
         turn = sorted(range(k), key=lambda p: (sum(lengths[i] ** 2 for i in parts[p]), min(parts[p])), reverse=True)
         out = pd.DataFrame({batch: rows[batch], "row_id": rows["row_id"], "part": 0, "turn": 0})
@@ -86,7 +92,7 @@ def micro_batches(df: DataFrame, max_tokens: int, batch: str = "batch_id", lengt
             out.loc[parts[p], ["part", "turn"]] = p, t
         return out
 
-    return df.select(batch, "row_id", length).groupBy(batch).applyInPandas(run, f"{batch} long, row_id long, part long, turn long")
+    return rows.groupBy(batch).applyInPandas(run, f"{batch} long, row_id long, part long, turn long")
 
 
 def imbalance(df: DataFrame, k: int, batch: str = "batch_id", length: str = "length", part: str = "part") -> DataFrame:

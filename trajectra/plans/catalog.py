@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_batch, q_metrics, q_rewards, q_sequences, q_sources
+from . import q_batch, q_interfaces, q_metrics, q_rewards, q_sequences, q_sources
 
-MODULES = (q_rewards, q_batch, q_sequences, q_metrics, q_sources)
+MODULES = (q_rewards, q_batch, q_sequences, q_metrics, q_sources, q_interfaces)
 
 
 def queries() -> dict:
