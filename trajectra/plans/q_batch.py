@@ -71,21 +71,31 @@ def _dealt(spark, d, by=partition.differencing):
     return docs.join(parts, ["batch_id", "row_id"])
 
 
-def _balance(by):
-    def run(spark, d):
-        """What each batch was dealt to; parts of a full batch have equally many rows."""
-        sums = _dealt(spark, d, by).groupBy("batch_id", "part").agg(F.sum("length").alias("chars"), F.count(F.lit(1)).alias("rows"))
-        even = F.when(F.sum("rows") == 256, F.max("rows") == F.min("rows"))
-        return sums.groupBy("batch_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("rows"), F.sum("chars").alias("chars"), even.alias("even"))
-
-    return run
+def _balance(spark, d):
+    """What each batch was dealt to. Parts of a full batch have equally many rows, and never differ by more than the widest of the
+    groups that differencing starts from: eight rows of neighbouring lengths, in the short batch one row."""
+    dealt = _dealt(spark, d)
+    turn = F.row_number().over(Window.partitionBy("batch_id").orderBy("length", "row_id")) - 1
+    full = F.count(F.lit(1)).over(Window.partitionBy("batch_id")) == 256
+    seeds = dealt.select("batch_id", "length", full.alias("full"), F.when(full, F.floor(turn / 8)).otherwise(turn).alias("seed"))
+    seeds = seeds.groupBy("batch_id", "full", "seed").agg((F.max("length") - F.when(F.col("full"), F.min("length")).otherwise(0)).alias("gap"))
+    bounds = seeds.groupBy("batch_id").agg(F.max("gap").cast("long").alias("bound"))
+    sums = dealt.groupBy("batch_id", "part").agg(F.sum("length").alias("chars"), F.count(F.lit(1)).alias("rows"))
+    even = F.when(F.sum("rows") == 256, F.max("rows") == F.min("rows"))
+    each = sums.groupBy("batch_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("rows"), F.sum("chars").alias("chars"), even.alias("even"), (F.max("chars") - F.min("chars")).alias("spread"))
+    return each.join(bounds, "batch_id").select("batch_id", "parts", "rows", "chars", "even", "bound", (F.col("spread") <= F.col("bound")).alias("within"))
+
+
+def _lightest(spark, d):
+    """Rows and lengths of each part."""
+    return _dealt(spark, d, partition.lightest_bin).groupBy("batch_id", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("length").alias("chars"))
 
 
 def _imbalance(spark, d):
-    """Contiguous parts of each full batch against those that it was dealt to, which are never further apart."""
-    full = _dealt(spark, d).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("batch_id"))).where("__n = 256")
-    out = partition.imbalance(full, 8)
-    closer = (F.col("balanced_min") >= F.col("min")) & (F.col("balanced_max") <= F.col("max"))
+    """Contiguous parts of each batch against those that it was dealt to, which in a full batch are never further apart."""
+    dealt = _dealt(spark, d).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("batch_id")))
+    out = partition.imbalance(dealt, 8).join(dealt.groupBy("batch_id").agg(F.max("__n").alias("rows")), "batch_id")
+    closer = F.when(F.col("rows") == 256, (F.col("balanced_min") >= F.col("min")) & (F.col("balanced_max") <= F.col("max")))
     return out.select("batch_id", "min", "max", "minmax_diff", "mean", closer.alias("closer"))
 
 
@@ -142,8 +152,8 @@ QUERIES = {
     "q_shuffle": _on(lambda c: batch.shuffled(c.drop("row_id"), "c_custkey", 7).select("row_id", "c_custkey")),
     "q_epochs": _on(lambda c: batch.epochs(c, 2, 32, 1).select("row_id", "epoch", "batch_id")),
     "q_sample": lambda spark, d: batch.sample_rows(table(spark, d, "documents").withColumnRenamed("doc_id", "row_id"), "text", 10).select("row_id"),
-    "q_balance": _balance(partition.differencing),
-    "q_lightest_bin": _balance(partition.lightest_bin),
+    "q_balance": _balance,
+    "q_lightest_bin": _lightest,
     "q_imbalance": _imbalance,
     "q_micro_batches": _micro,
     "q_from_columns": _given,
@@ -189,9 +199,21 @@ SQL = {
     "q_shuffle": "SELECT row_number() OVER (ORDER BY md5(c_custkey::VARCHAR || ':7'), c_custkey) - 1 AS row_id, c_custkey FROM customer",
     "q_epochs": f"WITH {_C} SELECT row_id, e::INT AS epoch, (row_number() OVER (PARTITION BY e ORDER BY md5(row_id || ':' || e || ':1'), row_id) - 1) // 32 AS batch_id FROM c, generate_series(0, 1) AS g(e)",
     "q_sample": "SELECT doc_id AS row_id FROM documents ORDER BY md5(coalesce(text, '') || ':42'), text NULLS FIRST, doc_id LIMIT 10",
-    "q_balance": f"WITH {_B} SELECT batch_id, least(8, count(*)) AS parts, count(*) AS rows, sum(length)::BIGINT AS chars, CASE WHEN count(*) = 256 THEN true END AS even FROM b GROUP BY batch_id",
-    "q_lightest_bin": f"WITH {_B} SELECT batch_id, least(8, count(*)) AS parts, count(*) AS rows, sum(length)::BIGINT AS chars, CASE WHEN count(*) = 256 THEN true END AS even FROM b GROUP BY batch_id",
-    "q_imbalance": f"WITH {_B}, p AS (SELECT batch_id, (row_id % 256) // 32 AS p, sum(length)::BIGINT AS s, count(*) AS n FROM b GROUP BY ALL) SELECT batch_id, min(s) AS min, max(s) AS max, max(s) - min(s) AS minmax_diff, sum(s) / 8 AS mean, true AS closer FROM p GROUP BY batch_id HAVING sum(n) = 256",
+    "q_balance": f"""
+WITH {_B}, t AS (SELECT batch_id, length, count(*) OVER (PARTITION BY batch_id) = 256 AS whole, row_number() OVER (PARTITION BY batch_id ORDER BY length, row_id) - 1 AS turn FROM b),
+g AS (SELECT batch_id, max(length) - CASE WHEN whole THEN min(length) ELSE 0 END AS gap FROM t GROUP BY batch_id, whole, CASE WHEN whole THEN turn // 8 ELSE turn END),
+m AS (SELECT batch_id, max(gap)::BIGINT AS bound FROM g GROUP BY batch_id)
+SELECT batch_id, least(8, count(*)) AS parts, count(*) AS rows, sum(length)::BIGINT AS chars, CASE WHEN count(*) = 256 THEN true END AS even, any_value(bound) AS bound, true AS within FROM b JOIN m USING (batch_id) GROUP BY batch_id""",
+    "q_lightest_bin": f"""
+WITH RECURSIVE {_B}, s AS (SELECT batch_id, least(8, count(*)) AS k, CASE WHEN count(*) = 256 THEN sum(length)::BIGINT + 1 ELSE 0 END AS bias FROM b GROUP BY batch_id),
+walk AS (
+  SELECT batch_id, batch_id * 256 AS row_id, bias, list_transform(range(k), lambda x: 0::BIGINT) AS w, 0::BIGINT AS part, 0::BIGINT AS length FROM s
+  UNION ALL
+  SELECT batch_id, row_id + 1, bias, list_transform(w, lambda x, j: CASE WHEN j = p THEN x + n + bias ELSE x END), p - 1, n
+  FROM (SELECT walk.batch_id, walk.row_id, bias, w, list_position(w, list_min(w))::BIGINT AS p, b.length::BIGINT AS n FROM walk JOIN b ON b.batch_id = walk.batch_id AND b.row_id = walk.row_id)
+)
+SELECT batch_id, part, count(*) AS rows, sum(length)::BIGINT AS chars FROM walk WHERE row_id > batch_id * 256 GROUP BY batch_id, part""",
+    "q_imbalance": f"WITH {_B}, c AS (SELECT *, count(*) OVER (PARTITION BY batch_id) AS n FROM b), p AS (SELECT batch_id, n, least((row_id % 256) // greatest(n // 8, 1), 7) AS p, sum(length)::BIGINT AS s FROM c GROUP BY ALL) SELECT batch_id, min(s) AS min, max(s) AS max, max(s) - min(s) AS minmax_diff, sum(s) / 8 AS mean, CASE WHEN n = 256 THEN true END AS closer FROM p GROUP BY batch_id, n",
     "q_micro_batches": f"WITH {_B} SELECT batch_id, least(count(*), greatest(1, ceil(sum(length) / 100000)))::BIGINT AS parts, count(*) AS rows, sum(length)::BIGINT AS tokens, true AS falls FROM b GROUP BY batch_id",
     "q_from_columns": "SELECT r_regionkey::BIGINT AS row_id, r_regionkey::BIGINT AS key, r_name AS name, (r_regionkey * r_regionkey)::BIGINT AS square FROM region",
     "q_merge_records": "SELECT (SELECT count(*) FROM region) AS region_rows, (SELECT max(r_regionkey) FROM region)::BIGINT AS region_top, 3::BIGINT AS step, (SELECT count(*) FROM nation) AS nation_rows, (SELECT max(n_nationkey) FROM nation)::BIGINT AS nation_top",
