@@ -152,6 +152,15 @@ def test_partitions():
         partition.balanced_parts([1, 2], 3)
 
 
+def test_equal_parts_are_no_further_apart_than_contiguous_ones():
+    """Differencing alone gives 204 and 75 here, the first and the last three rows 203 and 76; and always ranges within those."""
+    assert partition.differencing([200, 2, 1, 60, 13, 3], 2, True) == [[0, 1, 2], [3, 4, 5]]
+    for seed in range(300):
+        lengths = [(seed * 7919 + i * i * 104_729) % 97 ** (1 + i % 3) for i in range(24)]
+        sums, plain = [sum(lengths[i] for i in p) for p in partition.balanced_parts(lengths, 4)], [sum(lengths[i : i + 6]) for i in range(0, 24, 6)]
+        assert min(sums) >= min(plain) and max(sums) <= max(plain)
+
+
 def test_micro_batches(spark):
     df = spark.createDataFrame([(0, i, n) for i, n in enumerate([30, 10, 20, 40, 25, 5])], "batch_id long, row_id long, length long")
     rows = partition.micro_batches(df, 50).collect()

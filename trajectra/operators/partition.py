@@ -15,7 +15,7 @@ from .batch import pad_to_multiple, size_of
 def differencing(lengths: list[int], k: int, equal_size: bool) -> list[list[int]]:
     """Largest differencing: partial solutions of k sums; the two with the widest spread are merged, heaviest part of one
     with lightest part of the other, until one is left. With equal_size k items of neighbouring lengths start each
-    solution, so every part gets as many."""
+    solution, so every part gets as many; and where a part is heavier or lighter than all contiguous parts, rows are exchanged."""
     if equal_size and len(lengths) % k:
         raise ValueError(f"{len(lengths)} rows can't be dealt to {k} equal parts")
     rising = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
@@ -31,7 +31,31 @@ def differencing(lengths: list[int], k: int, equal_size: bool) -> list[list[int]
         parts = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))), reverse=True)
         heapq.heappush(heap, (parts[-1][0] - parts[0][0], turn, parts))
         turn += 1
-    return [sorted(items) for _, items in heap[0][2]] if heap else [[] for _ in range(k)]
+    parts = [sorted(items) for _, items in heap[0][2]] if heap else [[] for _ in range(k)]
+    return _not_wider(lengths, parts) if equal_size else parts
+
+
+def _not_wider(lengths: list[int], parts: list[list[int]]) -> list[list[int]]:
+    """parts whose sums lie between those of the lightest and the heaviest of as many contiguous parts. Each exchange of two rows moves the
+    sums of two parts towards each other, so none gets further out; if no exchange is left, the contiguous parts themselves."""
+    size = len(lengths) // len(parts)
+    plain = [list(range(i, i + size)) for i in range(0, size * len(parts), size)] or parts
+    weigh = lambda items: sum(lengths[i] for i in items)
+    low, high = min(map(weigh, plain)), max(map(weigh, plain))
+    parts = [list(p) for p in parts]
+    while (sums := [weigh(p) for p in parts]) and (max(sums) > high or min(sums) < low):
+        rising = sorted(range(len(parts)), key=lambda p: sums[p])
+        tried = [(rising[-1], p) for p in rising[:-1]] if max(sums) > high else [(p, rising[0]) for p in rising[:0:-1]]
+        for a, b in tried:
+            gap = sums[a] - sums[b]
+            swaps = [(abs(2 * (lengths[x] - lengths[y]) - gap), x, y) for x in parts[a] for y in parts[b] if 0 < lengths[x] - lengths[y] < gap]
+            if swaps:
+                _, x, y = min(swaps)
+                parts[a][parts[a].index(x)], parts[b][parts[b].index(y)] = y, x
+                break
+        else:
+            return plain
+    return [sorted(p) for p in parts]
 
 
 def lightest_bin(lengths: list[int], k: int, equal_size: bool) -> list[list[int]]:
