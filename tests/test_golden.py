@@ -27,6 +27,14 @@ def test_grouped_reward(spark):
     close([r["overall"] for r in plain], [r["overall"] for r in rewards.answer_reward(df).orderBy("row_id").collect()])
 
 
+def test_states_do_not_depend_on_arrival(spark):
+    """Row 3 is exactly one deviation below the mean, so that rounding decides; these arrival orders round the other way."""
+    schema = "row_id long, uid string, acc double, fmt double, mar double, len double"
+    sight, turn = [0.44, 0.86, 0.09, 0.16, 0.05, 0.69, 0.88, 0.99], [7, 3, 6, 4, 5, 0, 2, 1]
+    state = lambda order: {r["row_id"]: r["state"] for r in rewards.grouped_reward(spark.createDataFrame([(i, "u", 1.0, 0.0, sight[i], 1.0) for i in order], schema).coalesce(1)).collect()}
+    assert state(turn) == state(range(8)) == dict(enumerate("AACCCAAA"))
+
+
 def test_missing_mar_is_not_zero(spark):
     schema = "row_id long, uid string, acc double, fmt double, mar double, len double"
     none = rewards.grouped_reward(spark.createDataFrame([(i, "u", 1.0, 1.0, None, 10.0 * i + 1) for i in range(4)], schema)).collect()

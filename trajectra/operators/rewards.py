@@ -39,8 +39,9 @@ def _states(df: DataFrame, tau: Column, low: Column, width: Column, difficulty:
 
 def grouped_reward(df: DataFrame, group: str = "uid", format_weight: float = 0.1, len_weight: float = 0.1, perc_weight: float = 0.1) -> DataFrame:
     """Accuracy, format, and length and perception terms by what a group does: a response counts as well grounded
-    if its mar is above the group's mean less one population deviation. A weight of 0 leaves a term out."""
-    w = Window.partitionBy(group)
+    if its mar is above the group's mean less one population deviation. A weight of 0 leaves a term out. Sums run in order of
+    row_id: where mar equals that bound but for rounding, the state doesn't depend on the order in which rows arrive."""
+    w = Window.partitionBy(group).orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     all_ = _batch(df, lo=F.min("mar"), hi=F.max("mar"), any=F.max(F.col("mar").isNotNull()))
     df = df.withColumns({"__pass": F.avg("acc").over(w), "__tau": F.avg("mar").over(w) - F.stddev_pop("mar").over(w), "__avg": F.avg("len").over(w)})
     width = F.when(all_["hi"] > all_["lo"], all_["hi"] - all_["lo"]).otherwise(F.lit(1.0))
