@@ -43,6 +43,14 @@ def test_missing_mar_is_not_zero(spark):
     assert {r["state"] for r in zero} == {"C"}
 
 
+def test_states_of_missing_mar_do_not_depend_on_arrival(spark):
+    """As above, with every third mar missing: row 506278 is exactly at the bound."""
+    schema = "row_id long, uid string, acc double, fmt double, mar double, len double"
+    sight = {506272: 0.91, 506273: 0.72, 506274: None, 506275: 0.24, 506276: 0.19, 506277: None, 506278: 0.15, 506279: 0.40}
+    state = lambda order: {r["row_id"]: r["state"] for r in rewards.grouped_reward(spark.createDataFrame([(506272 + i, "u", 0.0, 0.0, sight[506272 + i], 1.0) for i in order], schema).coalesce(1)).collect()}
+    assert state([7, 1, 3, 0, 6, 4, 2, 5]) == state(range(8)) and state(range(8))[506278] == "D"
+
+
 def test_group_advantages(spark):
     df = spark.createDataFrame([(i, "g", float(x)) for i, x in enumerate([1, 0, 1, 0])], "row_id long, uid string, score double")
     close([r["advantage"] for r in advantage.grpo(df).orderBy("row_id").collect()], [0.866024, -0.866024, 0.866024, -0.866024])
