@@ -171,3 +171,23 @@ def test_components(spark):
 
 def test_empty(spark):
     assert near_duplicates(empty(spark)).count() == 0 and drop_near_duplicates(empty(spark)).count() == 0
+
+
+def test_a_large_group_makes_no_square_of_pairs(spark, monkeypatch):
+    """500 texts of one group: those of one change are linked with each other and with those of two, which hardly are among themselves.
+    What the last step makes, all pairs of what isn't merged, stays below the rows that go in."""
+    rng = random.Random(11)
+    base = prose(rng, 150)
+    rows = [(i, t) for i, t in enumerate(variants(rng, base, 500, lambda r: 1 if r.random() < 0.2 else 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made, plain = {}, ngram_join.map_arrow
+
+    def counted(rows, f, schema):
+        out = plain(rows, f, schema)
+        if "_all_pairs" in f.__qualname__:
+            made["rows in"], made["rows out"] = rows.count(), out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "map_arrow", counted)
+    assert run(df) == brute(rows)
+    assert made["rows out"] <= made["rows in"], made

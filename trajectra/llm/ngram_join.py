@@ -11,8 +11,9 @@
    distance from below).
 4. Pairs that pass are verified on the whole sets, each once. At first each set is paired, under each n-gram, with the n-gram's
    least set and with a few neighbours in the order of their smallest hash, which most near copies share; what this
-   links is merged. Then all pairs that pass, of classes that aren't linked yet and that weren't verified before. N-grams under which
-   everything is linked are left out; under the others the sets of the largest class meet only the rest, in tiles of
+   links is merged. Then, in turns, each set with one of another component under each n-gram, while that links anything: what has
+   links to a large component needs one of them. Then all pairs that pass, of classes that aren't linked yet and that weren't verified before. N-grams
+   under which everything is linked are left out; under the others the sets of the largest class meet only the rest, in tiles of
    bounded size. A group in which everything is linked costs as many pairs as it has sets, not their square.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, materialise, shuffle_parts
+from .common import attach, discard, materialise, shuffle_parts
 from .items import add, batch_of, blocks, bucket_count, bucket_of, bucket_start, by_bucket, combine, hash_words, home, map_arrow, mix, pack, runs, unpack
 
 #: Words of an n-gram; a pair links if PERCENT * |union| <= 100 * |intersection|.
@@ -36,6 +37,8 @@ TILE, INDEX_ROWS = 512, 60_000
 CELLS, ODD = 64, 512
 #: Neighbours that a set is first paired with, and sets of a chunk in which they are sought.
 NEAR, CHUNK = 3, 128
+#: Turns at most in which sets are paired with one set of another component under each n-gram, before all that is left is.
+ROUNDS = 4
 #: Pairs of whole sets, and sets, that a worker gets at once: a long document's takes as much room as its text; rows of the index that it gives at once.
 VERIFIED, SETS, INDEXED = 24, 64, 8192
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
@@ -219,6 +222,11 @@ def _index(percent: int):
 
 def passes(percent: int, a: tuple, b: tuple) -> np.ndarray:
     """Whether pairs of index rows (n, lone, pos, suffix) under one item can reach the threshold: by length, by the item's places, by suffix."""
+    return slack(percent, a, b) >= 0
+
+
+def slack(percent: int, a: tuple, b: tuple) -> np.ndarray:
+    """How far the bound of a pair's overlap is above what the threshold needs; below 0, -1."""
     (na, la, pa_, sa), (nb, lb, pb, sb) = a, b
     small, large = np.minimum(na, nb), np.maximum(na, nb)
     need = least_overlap(na, nb, percent)
@@ -228,8 +236,9 @@ def passes(percent: int, a: tuple, b: tuple) -> np.ndarray:
     at = np.flatnonzero(ok)
     counted = np.abs(sa[at, :CELLS].astype(np.int16) - sb[at, :CELLS].astype(np.int16)).sum(1, dtype=np.int64)
     far = np.maximum(counted, np.bitwise_count(sa[at, CELLS:] ^ sb[at, CELLS:]).sum(1, dtype=np.int64))
-    ok[at] = before[at] + (ra[at] + rb[at] - far) // 2 >= need[at]
-    return ok
+    out = np.full(len(ok), -1, np.int64)
+    out[at] = np.maximum(before[at] + (ra[at] + rb[at] - far) // 2 - need[at], -1)
+    return out
 
 
 def _suffixes(column: pa.Array) -> np.ndarray:
@@ -293,29 +302,58 @@ def _near_pairs(percent: int):
     return run
 
 
+def _across(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of sorted tiles: places of pairs of rows of different components that pass the filters, and their slack; on a tile of two sides,
+    those between the sides. No place comes twice on one side of what is given at once."""
+    item, tile, side, n, lone, pos, comp = _columns(t, "item", "tile", "side", "n", "lone", "pos", "comp")
+    suffix = _suffixes(t.column("suffix"))
+    group = np.cumsum(np.concatenate([[True], (item[1:] != item[:-1]) | (tile[1:] != tile[:-1])])) - 1
+    count = np.bincount(group)
+    left = np.repeat(np.cumsum(count), count) - np.arange(len(group)) - 1  # rows of the group that come after
+    at, d = np.flatnonzero(left > 0), 1
+    while len(at):
+        a, b = at, at + d
+        ok = (comp[a] != comp[b]) & ((side[a] == -1) | (side[a] != side[b]))
+        a, b = a[ok], b[ok]
+        over = slack(percent, *((n[x], lone[x], pos[x], suffix[x]) for x in (a, b)))
+        ok = over >= 0
+        yield a[ok], b[ok], over[ok]
+        d += 1
+        at = at[left[at] >= d]
+
+
+def _best_pairs(percent: int, turn: int):
+    """Of sorted tiles: each row with one row of another component, as many pairs as rows at most. The one of most slack, in later turns one by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_groups(batches, ["item", "tile"]):
+            sid = t.column("sid").to_numpy()
+            best, partner = np.full(len(sid), -1, np.int64), np.arange(len(sid))
+            for a, b, over in _across(t, percent):
+                if turn:
+                    both = sid.view(np.uint64)
+                    over = (mix(both[a] + both[b] + np.uint64(turn)) >> np.uint64(1)).astype(np.int64)
+                for x, y in ((a, b), (b, a)):
+                    more = over > best[x]
+                    best[x[more]], partner[x[more]] = over[more], y[more]
+            pairs = np.unique(np.sort(np.stack([sid, sid[partner]], 1), axis=1), axis=0)
+            yield from _pair_rows(pairs[:, 0], pairs[:, 1])
+
+    return run
+
+
 def _all_pairs(percent: int):
-    """Of sorted tiles: the pairs of rows of different components that pass the filters; on a tile of two sides, those between the sides."""
+    """Of sorted tiles: all pairs of rows of different components that pass the filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, ["item", "tile"]):
-            item, tile, side, sid, n, lone, pos, comp = _columns(t, "item", "tile", "side", "sid", "n", "lone", "pos", "comp")
-            suffix = _suffixes(t.column("suffix"))
-            group = np.cumsum(np.concatenate([[True], (item[1:] != item[:-1]) | (tile[1:] != tile[:-1])])) - 1
-            count = np.bincount(group)
-            left = np.repeat(np.cumsum(count), count) - np.arange(len(group)) - 1  # rows of the group that come after
-            at, d = np.flatnonzero(left > 0), 1
+            sid = t.column("sid").to_numpy()
             held: list[tuple[np.ndarray, np.ndarray]] = []
-            while len(at):
-                a, b = at, at + d
-                ok = (comp[a] != comp[b]) & ((side[a] == -1) | (side[a] != side[b]))
-                a, b = a[ok], b[ok]
-                ok = passes(percent, *((n[x], lone[x], pos[x], suffix[x]) for x in (a, b)))
-                held.append((sid[a[ok]], sid[b[ok]]))
+            for a, b, _ in _across(t, percent):
+                held.append((sid[a], sid[b]))
                 if sum(len(x) for x, _ in held) > 1 << 18:
                     yield from _pair_rows(*(np.concatenate(x) for x in zip(*held)))
                     held = []
-                d += 1
-                at = at[left[at] >= d]
             if held:
                 yield from _pair_rows(*(np.concatenate(x) for x in zip(*held)))
 
@@ -366,9 +404,8 @@ def _candidates_near(index: DataFrame, percent: int, parts: int) -> DataFrame:
     return map_arrow(rows, _near_pairs(percent), "a long, b long").distinct()
 
 
-def _candidates_all(index: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
-    """All pairs under an n-gram that pass the filters and whose components differ. merged has node, label."""
-    spark = index.sparkSession
+def _tiles(index: DataFrame, merged: DataFrame) -> DataFrame:
+    """The rows of n-grams that several components have, in tiles of bounded size in which all rows of different components meet. merged has node, label."""
     rows = index.join(merged.select(F.col("node").alias("sid"), F.col("label").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     rows = materialise(rows.select("item", "sid", "n", "lone", "pos", "suffix", "comp", "sets"), "merged")
     by = rows.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -387,8 +424,14 @@ def _candidates_all(index: DataFrame, merged: DataFrame, percent: int) -> DataFr
     tiled = placed.withColumn("to", F.explode(F.when(own, other).otherwise(F.concat(square, across))))
     tiled = tiled.select("item", "to.tile", "to.side", "sid", "n", "lone", "pos", "suffix", "comp")
     tiled = materialise(tiled, "tiles")
-    parts = max(shuffle_parts(spark), -(-tiled.count() // INDEX_ROWS))
-    return map_arrow(tiled.repartition(parts, "item", "tile").sortWithinPartitions("item", "tile", "lone", "sid"), _all_pairs(percent), "a long, b long").distinct()
+    discard(rows)
+    return tiled
+
+
+def _met(tiled: DataFrame, by) -> DataFrame:
+    """The different pairs that by makes of tiles."""
+    parts = max(shuffle_parts(tiled.sparkSession), -(-tiled.count() // INDEX_ROWS))
+    return map_arrow(tiled.repartition(parts, "item", "tile").sortWithinPartitions("item", "tile", "lone", "sid"), by, "a long, b long").distinct()
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -418,10 +461,20 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         side = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("items").alias(f"x{s}"))
         return materialise(map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), _verify(percent), "a long, b long"), name, records=VERIFIED)
 
-    near = materialise(_candidates_near(index, percent, parts), "near")
-    first = verified(near, "links")
-    later = _candidates_all(index.drop("hub", "sign"), components(first), percent).join(near, ["a", "b"], "left_anti")
-    return documents, classes, first.unionByName(verified(later, "links"))
+    seen = materialise(_candidates_near(index, percent, parts), "near")
+    links = verified(seen, "links")
+    for turn in range(ROUNDS + 1):
+        tiled = _tiles(index.drop("hub", "sign"), components(links))
+        if turn == ROUNDS:
+            break
+        best = materialise(_met(tiled, _best_pairs(percent, turn)).join(seen, ["a", "b"], "left_anti"), "near")
+        seen, new = seen.unionByName(best), verified(best, "links")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        discard(tiled)
+    later = _met(tiled, _all_pairs(percent)).join(seen, ["a", "b"], "left_anti")
+    return documents, classes, links.unionByName(verified(later, "links"))
 
 
 def _components_of(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
