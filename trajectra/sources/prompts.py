@@ -6,6 +6,7 @@ import io
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,6 +129,18 @@ def white_space_tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+#: Texts that are encoded at once: an encoding holds pieces, places and masks, many times the text.
+ENCODED = 64
+
+
+def encoded(tokenizer, texts: list[str | None]) -> list[np.ndarray]:
+    """The ids of each text, ENCODED texts at a time; only ids are kept."""
+    out: list[np.ndarray] = []
+    for k in range(0, len(texts), ENCODED):
+        out += [np.array(x.ids, np.int64) for x in tokenizer.encode_batch([t or "" for t in texts[k : k + ENCODED]], add_special_tokens=False)]
+    return out
+
+
 def file_tokenizer(path: str) -> Callable[[Column], Column]:
     """A tokenizer for without_overlong from a file of the tokenizers library, which the driver reads and the workers
     get with their code. No special tokens are added; a null text has no ids."""
@@ -140,7 +153,7 @@ def file_tokenizer(path: str) -> Callable[[Column], Column]:
 
         made = Tokenizer.from_str(spec)
         for texts in batches:
-            yield pd.Series([x.ids for x in made.encode_batch([t or "" for t in texts], add_special_tokens=False)])
+            yield pd.Series(encoded(made, texts.tolist()), dtype=object)
 
     return lambda text: ids(text)
 
