@@ -1,5 +1,6 @@
 """What one task or one call of a worker takes doesn't grow with the tables."""
 
+from trajectra.plans import registry
 from trajectra.sources import prompts
 
 
@@ -14,3 +15,22 @@ def test_texts_are_encoded_a_few_at_a_time():
     texts = [None if i % 7 == 0 else "x" * (i % 5) for i in range(1000)]
     assert [len(x) for x in prompts.encoded(Counting(), texts)] == [len(t or "") for t in texts]
     assert sum(sizes) == 1000 and max(sizes) <= prompts.ENCODED
+
+
+def test_batches_of_a_rule_share_calls_of_the_worker(spark):
+    """Batches lie across Arrow batches; a null batch is one, rows without an id stay, and a long batch comes whole."""
+    rows = [(i, (i * 7919) % 2500, float(i % 13), "t") for i in range(10_000)] + [(None, None, 5.0, None), (7, None, 10.0, "u"), (20_000, None, None, "v")]
+    rows += [(30_000 + i, -1, float(i), "long") for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id long, batch_id long, x double, kept string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        out = registry.score_batches(df, lambda rs: [{"n": len(rs), "turn": k} for k, r in enumerate(rs)], ["x"], ["n", "turn"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "FlatMapGroups" not in plan
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows) and out.columns == ["row_id", "batch_id", "x", "kept", "n", "turn"]
+    assert {r["batch_id"]: r["n"] for r in got} == {None: 3.0, -1: 3000.0, **{i: 4.0 for i in range(2500)}}
+    assert all(r["turn"] == r["x"] for r in got if r["batch_id"] == -1)
