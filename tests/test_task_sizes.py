@@ -1,6 +1,6 @@
 """What one task or one call of a worker takes doesn't grow with the tables."""
 
-from trajectra.plans import registry
+from trajectra.plans import catalog, registry
 from trajectra.sources import prompts
 
 
@@ -34,3 +34,9 @@ def test_batches_of_a_rule_share_calls_of_the_worker(spark):
     assert len(got) == len(rows) and out.columns == ["row_id", "batch_id", "x", "kept", "n", "turn"]
     assert {r["batch_id"]: r["n"] for r in got} == {None: 3.0, -1: 3000.0, **{i: 4.0 for i in range(2500)}}
     assert all(r["turn"] == r["x"] for r in got if r["batch_id"] == -1)
+
+
+def test_forms_of_an_array_are_made_in_one_pass(spark):
+    for name in ("q_pad_truncate", "q_position_ids"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Union" not in plan

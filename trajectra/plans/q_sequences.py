@@ -54,12 +54,9 @@ def _mask(spark, d):
 
 
 def _each(rows, made: dict):
-    """Arrays in long form: which, row_id, pos, value."""
-    out = None
-    for name, values in made.items():
-        part = rows.select(F.lit(name).alias("which"), "row_id", F.posexplode(values).alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Arrays in long form: which, row_id, pos, value. All are made of a row at once, so rows are read once however many there are."""
+    each = rows.select("row_id", F.inline(F.array(*[F.struct(F.lit(name).alias("which"), values.alias("values")) for name, values in made.items()])))
+    return each.select("which", "row_id", F.posexplode("values").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def _shape(spark, d):
