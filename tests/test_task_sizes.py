@@ -40,3 +40,9 @@ def test_forms_of_an_array_are_made_in_one_pass(spark):
     for name in ("q_pad_truncate", "q_position_ids"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Union" not in plan
+
+
+def test_a_small_file_of_dear_rows_is_many_tasks(spark, tmp_path):
+    spark.range(25_000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("q_grid_positions", "q_grid_frames"):
+        assert catalog.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() == 3

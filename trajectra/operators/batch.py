@@ -14,6 +14,15 @@ from ..runtime import written
 RANGE_ROWS = 50_000
 
 
+#: Rows that a task takes of a table whose rows cost much more than their bytes tell.
+SPREAD_ROWS = 10_000
+
+
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """df dealt by keys to tasks of about SPREAD_ROWS rows: a small file is one task, whatever is made of its rows."""
+    return df.repartition(max(1, -(-df.count() // SPREAD_ROWS)), *keys)
+
+
 def _ordered(df: DataFrame, order: tuple[str | Column, ...]) -> DataFrame:
     """df with __ord_part and __ord_at, which both rise with the order, __ord_at within a part.
 
