@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import written
+from ..runtime import small_splits, written
 
 #: Rows that are put in order by one task: more are dealt to ranges of the order, of about this many rows each.
 RANGE_ROWS = 50_000
@@ -31,15 +31,17 @@ def _ordered(df: DataFrame, order: tuple[str | Column, ...]) -> DataFrame:
     their values, and equal rows by where they were read, so that even a table of one row over and over has many ranges.
     """
     own = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    keys = {f"__ord_k{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
-    keyed = df.withColumns({**keys, "__ord_tie": F.xxhash64(*own or [F.lit(0)])})
+    made = {f"__ord_k{i}": c for i, c in enumerate(order) if not isinstance(c, str)}
+    keys = [c if isinstance(c, str) else f"__ord_k{i}" for i, c in enumerate(order)]
+    keyed = df.withColumns({**made, "__ord_tie": F.xxhash64(*own or [F.lit(0)])})
     n = df.count()
     if n <= RANGE_ROWS:
         turn = F.row_number().over(Window.orderBy(*keys, "__ord_tie"))
-        return keyed.withColumns({"__ord_part": F.lit(0).cast("long"), "__ord_at": turn.cast("long") - 1}).drop(*keys, "__ord_tie")
+        return keyed.withColumns({"__ord_part": F.lit(0).cast("long"), "__ord_at": turn.cast("long") - 1}).drop(*made, "__ord_tie")
     by = [*keys, "__ord_tie", "__ord_mark"]
     dealt = keyed.withColumn("__ord_mark", F.monotonically_increasing_id()).repartitionByRange(-(-n // RANGE_ROWS), *by).sortWithinPartitions(*by)
-    table = written(dealt.drop(*by).withColumn("__ord_id", F.monotonically_increasing_id()))
+    with small_splits(df.sparkSession):
+        table = written(dealt.drop(*made, "__ord_tie", "__ord_mark").withColumn("__ord_id", F.monotonically_increasing_id()))
     return table.withColumns({"__ord_part": F.shiftright("__ord_id", 33), "__ord_at": F.col("__ord_id").bitwiseAND((1 << 33) - 1)}).drop("__ord_id")
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +54,30 @@ def _clean() -> None:
             return
 
 
+#: Bytes of files that a task reads where rows are dealt to very many tasks: a writer to more than 200 keeps all its rows in memory.
+SPLIT_BYTES = 16 << 20
+_SPLIT = "spark.sql.files.maxPartitionBytes"
+_split, _readers, _before = threading.Lock(), Counter(), {}
+
+
+@contextlib.contextmanager
+def small_splits(spark: SparkSession):
+    """Files are read in splits of at most SPLIT_BYTES by the jobs inside. The session's setting is back when the last of several threads leaves."""
+    session = id(spark._jsparkSession)
+    with _split:
+        if not _readers[session]:
+            _before[session] = spark.conf.get(_SPLIT)
+            spark.conf.set(_SPLIT, str(SPLIT_BYTES))
+        _readers[session] += 1
+    try:
+        yield
+    finally:
+        with _split:
+            _readers[session] -= 1
+            if not _readers[session]:
+                spark.conf.set(_SPLIT, _before.pop(session))
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table that was written once: what reads it neither computes it again nor loses it with an executor."""
     path = new_folder(df.sparkSession)
