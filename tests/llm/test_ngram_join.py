@@ -191,3 +191,33 @@ def test_a_large_group_makes_no_square_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "map_arrow", counted)
     assert run(df) == brute(rows)
     assert made["rows out"] <= made["rows in"], made
+
+
+def test_later_turns_get_only_rows_that_passed(spark, monkeypatch):
+    """40 texts share a passage and are otherwise strangers: no two pass, so after the first turn their rows are gone, whatever the group of near copies still needs."""
+    rng = random.Random(12)
+    shared = prose(rng, 60)
+    texts = [prose(rng, 200) + " " + shared + " " + prose(rng, 200) for _ in range(40)] + variants(rng, prose(rng, 150), 60, lambda r: r.choice([1, 2, 3, 4]))
+    rows = list(enumerate(texts))
+    made, plain = [], ngram_join.map_arrow
+
+    def counted(rows, f, schema):
+        if "_best_pairs" in f.__qualname__ or "_all_pairs" in f.__qualname__:
+            made.append(rows.count())
+        return plain(rows, f, schema)
+
+    monkeypatch.setattr(ngram_join, "map_arrow", counted)
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert len(made) > 2 and all(2 * n < made[0] for n in made[1:]), made
+
+
+def test_components_after_more_links(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(160)] + [(7, 7), (900, 900)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    found = lambda df: sorted(tuple(r) for r in df.select("node", "label").collect())
+    whole, labels = found(components(frame(links))), components(frame(links[:70]))
+    assert (900, 900) in whole
+    for more in (links[70:72], [], links[72:]):
+        labels = ngram_join.merged(labels, frame(more))
+    assert found(labels) == whole

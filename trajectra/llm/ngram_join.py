@@ -14,7 +14,8 @@
    links is merged. Then, in turns, each set with one of another component under each n-gram, while that links anything: what has
    links to a large component needs one of them. Then all pairs that pass, of classes that aren't linked yet and that weren't verified before. N-grams
    under which everything is linked are left out; under the others the sets of the largest class meet only the rest, in tiles of
-   bounded size. A group in which everything is linked costs as many pairs as it has sets, not their square.
+   bounded size. A group in which everything is linked costs as many pairs as it has sets, not their square. Tiles are made once: components only
+   grow, so what a later turn has to compare lies in them, and a turn takes on only those rows that passed with one of another component.
 """
 
 from __future__ import annotations
@@ -288,10 +289,14 @@ def _near_pairs(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, ["item", "chunk"]):
-            item, chunk, sid, n, lone, pos, hub, hn, hl, hp = _columns(t, "item", "chunk", "sid", "n", "lone", "pos", "hub_sid", "hub_n", "hub_lone", "hub_pos")
+            item, chunk, sid, n, lone, pos = _columns(t, "item", "chunk", "sid", "n", "lone", "pos")
             suffix = _suffixes(t.column("suffix"))
-            ok = passes(percent, (n, lone, pos, suffix), (hn, hl, hp, _suffixes(t.column("hub_suffix"))))
-            found = [(sid[ok], hub[ok])]
+            new = np.concatenate([[True], (item[1:] != item[:-1]) | (chunk[1:] != chunk[:-1])])
+            group = np.cumsum(new) - 1
+            # The n-gram's least set is the least of each of its chunks: the others got a copy of its row.
+            hub = np.lexsort((sid, group))[np.flatnonzero(new)][group]
+            ok = passes(percent, (n, lone, pos, suffix), (n[hub], lone[hub], pos[hub], suffix[hub]))
+            found = [(sid[ok], sid[hub[ok]])]
             for d in range(1, NEAR + 1):
                 a = np.flatnonzero((item[d:] == item[:-d]) & (chunk[d:] == chunk[:-d]))
                 b = a + d
@@ -322,8 +327,14 @@ def _across(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         at = at[left[at] >= d]
 
 
+#: The columns of a tile, and what a turn gives: pairs (a, b), and the rows that passed with one of another component (no a, b).
+_TILE = ("item", "tile", "side", "sid", "n", "lone", "pos", "suffix")
+_TURN = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((c, pa.binary() if c == "suffix" else pa.int64()) for c in _TILE)])
+
+
 def _best_pairs(percent: int, turn: int):
-    """Of sorted tiles: each row with one row of another component, as many pairs as rows at most. The one of most slack, in later turns one by hash."""
+    """Of sorted tiles: each row with one row of another component, as many pairs as rows at most. The one of most slack, in later turns one by hash.
+    Also the rows that have such a one: the others pass with no row of another component in their tile, and components only grow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches, ["item", "tile"]):
@@ -337,7 +348,13 @@ def _best_pairs(percent: int, turn: int):
                     more = over > best[x]
                     best[x[more]], partner[x[more]] = over[more], y[more]
             pairs = np.unique(np.sort(np.stack([sid, sid[partner]], 1), axis=1), axis=0)
-            yield from _pair_rows(pairs[:, 0], pairs[:, 1])
+            for found in _pair_rows(pairs[:, 0], pairs[:, 1]):
+                none = [pa.nulls(found.num_rows, f.type) for f in list(_TURN)[2:]]
+                yield pa.RecordBatch.from_arrays([found.column("a"), found.column("b"), *none], schema=_TURN)
+            alive = t.select(_TILE).filter(pa.array(best >= 0)).combine_chunks()
+            for kept in alive.to_batches(max_chunksize=INDEXED):
+                none = pa.nulls(kept.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *kept.columns], schema=_TURN)
 
     return run
 
@@ -379,40 +396,72 @@ def _verify(percent: int):
 def components(links: DataFrame) -> DataFrame:
     """node, label for the nodes of links (a, b): label is the smallest node that links lead to.
 
-    Labels take the least of their neighbours' and then their label's label, until none changes; every round is
-    written, so a lost executor costs the round at most.
+    Every node goes to the least of its neighbours and itself, and on from there until it stays where it is. What links then lead from
+    one of these nodes to another make the next, smaller graph, until there are none. Every step is written, so a lost executor costs the step at most.
     """
-    edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    a, b = F.col("a"), F.col("b")
+    edges = materialise(links.where("a <> b").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
+    # A node that is linked with itself only is a component, too.
+    alone = links.where("a = b").select(a.alias("node"), a.alias("label"))
+    labels = None
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        above = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        new = materialise(step.join(above, "label").select("node", "old", F.least("label", "top").alias("label")), "labels")
-        if new.where("label <> old").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        both = edges.select("a", "b").unionByName(edges.select(b.alias("a"), a.alias("b"))).select(a.alias("node"), F.least(a, b).alias("label"))
+        both = both if labels is not None else both.unionByName(alone)
+        up = materialise(both.groupBy("node").agg(F.min("label").alias("label")), "up")
+        while True:
+            above = up.select(F.col("node").alias("label"), F.col("label").alias("top"))
+            new = materialise(up.join(above, "label").select("node", F.col("label").alias("old"), F.col("top").alias("label")), "up")
+            up = new.select("node", "label")
+            if new.where("label <> old").isEmpty():
+                break
+        end = lambda c: up.select(F.col("node").alias(c), F.col("label").alias(f"{c}_to"))
+        moved = edges.join(end("a"), "a").join(end("b"), "b").where("a_to <> b_to")
+        edges = materialise(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
+        labels = up if labels is None else _relabelled(labels, up)
+        if edges.isEmpty():
+            return labels
+
+
+def _relabelled(labels: DataFrame, up: DataFrame) -> DataFrame:
+    """labels (node, label) with the labels of labels that up (node, label) has."""
+    renamed = up.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return materialise(labels.join(renamed, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels of components, as components gives them, after more links (a, b): only what these join is gone through."""
+    if links.isEmpty():
+        return labels
+    end = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_to"))
+    named = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"))
+    up = components(named)
+    fresh = up.join(labels, "node", "left_anti")
+    return _relabelled(labels, up).unionByName(fresh)
 
 
 def _candidates_near(index: DataFrame, percent: int, parts: int) -> DataFrame:
     """Pairs under each n-gram that are likely to be linked: as many as the index has rows, a few times over."""
     # A power of two, so that n-grams of about the same sets have the same chunks, and so the same neighbours.
     chunks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("sets") / CHUNK, F.lit(1.0))))).cast("long")
-    rows = index.withColumn("chunk", F.pmod(F.xxhash64("sid"), chunks))
-    rows = rows.select("item", "chunk", "sid", "n", "lone", "pos", "suffix", "sign", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("sid", "n", "lone", "pos", "suffix")])
+    rows = index.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("sid"), "chunks"))
+    hubs = rows.where((F.col("chunks") > 1) & (F.col("sid") == F.col("least")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: c != F.col("chunk"))
+    columns = ("item", "chunk", "sid", "n", "lone", "pos", "suffix", "sign")
+    rows = rows.select(*columns).unionByName(hubs.withColumn("chunk", F.explode(others)).select(*columns))
     rows = rows.repartition(parts, "item", "chunk").sortWithinPartitions("item", "chunk", "sign", "sid").drop("sign")
     return map_arrow(rows, _near_pairs(percent), "a long, b long").distinct()
 
 
-def _tiles(index: DataFrame, merged: DataFrame) -> DataFrame:
-    """The rows of n-grams that several components have, in tiles of bounded size in which all rows of different components meet. merged has node, label."""
-    rows = index.join(merged.select(F.col("node").alias("sid"), F.col("label").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    rows = materialise(rows.select("item", "sid", "n", "lone", "pos", "suffix", "comp", "sets"), "merged")
-    by = rows.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("c"))
+def _tiles(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of n-grams that several components have, in tiles of bounded size in which all rows of different components meet."""
+    names = labels.select(F.col("node").alias("sid"), F.col("label").alias("comp"))
+    named = lambda rows: rows.join(names, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    by = named(index.select("item", "sid")).groupBy("item", "comp").agg(F.count(F.lit(1)).alias("c"))
     by = by.groupBy("item").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     # The largest component's rows only meet the others'.
     by = by.select("item", F.col("most.comp").alias("major"), F.ceil((F.col("all") - F.col("most.c")) / TILE).alias("minors"), F.ceil(F.col("most.c") / TILE).alias("majors"), F.col("all").alias("rows"))
-    placed = attach(rows.drop("sets"), by, ["item"], "rows", rows.count()).where("major is not null")
+    rows = index.select("item", "sid", "n", "lone", "pos", "suffix")
+    placed = named(attach(rows, materialise(by, "several"), ["item"], "rows", rows.count()).where("major is not null"))
     own, more = F.col("comp") == F.col("major"), lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     turn = F.pmod(F.xxhash64("sid"), F.when(own, F.col("majors")).otherwise(F.col("minors")))
     placed = placed.withColumn("turn", turn)
@@ -422,22 +471,25 @@ def _tiles(index: DataFrame, merged: DataFrame) -> DataFrame:
     across = F.transform(more(m), lambda j: F.struct((k * k + t * m + j).alias("tile"), F.lit(-2).cast("long").alias("side")))
     other = F.transform(more(k), lambda j: F.struct((k * k + j * m + t).alias("tile"), F.lit(-3).cast("long").alias("side")))
     tiled = placed.withColumn("to", F.explode(F.when(own, other).otherwise(F.concat(square, across))))
-    tiled = tiled.select("item", "to.tile", "to.side", "sid", "n", "lone", "pos", "suffix", "comp")
-    tiled = materialise(tiled, "tiles")
-    discard(rows)
-    return tiled
+    return materialise(tiled.select("item", "to.tile", "to.side", "sid", "n", "lone", "pos", "suffix", "comp"), "tiles")
 
 
-def _met(tiled: DataFrame, by) -> DataFrame:
-    """The different pairs that by makes of tiles."""
+def _met(tiled: DataFrame, by, schema: str = "a long, b long") -> DataFrame:
+    """What by makes of tiles."""
     parts = max(shuffle_parts(tiled.sparkSession), -(-tiled.count() // INDEX_ROWS))
-    return map_arrow(tiled.repartition(parts, "item", "tile").sortWithinPartitions("item", "tile", "lone", "sid"), by, "a long, b long").distinct()
+    return map_arrow(tiled.repartition(parts, "item", "tile").sortWithinPartitions("item", "tile", "lone", "sid"), by, schema)
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, classes, links): documents has id, h (hash of the text), n, hi, lo (the class of its n-gram set); classes has hi, lo,
+    """As merged_classes, with its links in place of the components that they make."""
+    documents, classes, links, _ = merged_classes(df, id_col, text_col, n, percent)
+    return documents, classes, links
+
+
+def merged_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, classes, links, labels): documents has id, h (hash of the text), n, hi, lo (the class of its n-gram set); classes has hi, lo,
     least (smallest id), members, sid (null: no other class can be linked); links has a, b (sid of two classes), enough of them to connect
-    whatever the threshold connects. Documents without n-grams are in no class."""
+    whatever the threshold connects; labels are their components. Documents without n-grams are in no class."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     buckets = bucket_count(rows, "text")
     schema = "bucket int, kind int, block long, payload binary"
@@ -453,34 +505,44 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = classes.join(sets.select("hi", "lo", "sid"), ["hi", "lo"], "left")
     index = materialise(map_arrow(sets.select("sid", "n", "lone", "items"), _index(percent), "item long, sid long, n long, lone long, pos long, sign long, suffix binary"), "index", records=SETS)
     total = index.count()
-    sizes = index.groupBy("item").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("sid", "n", "lone", "pos", "suffix")).alias("hub")).where("sets > 1")
-    index = materialise(attach(index, sizes, ["item"], "sets", total).where("sets is not null"), "shared")
+    sizes = materialise(index.groupBy("item").agg(F.count(F.lit(1)).alias("sets"), F.min("sid").alias("least")).where("sets > 1"), "sizes")
+    shared = materialise(attach(index, sizes, ["item"], "sets", total).where("sets is not null"), "shared")
+    discard(index)
     parts = max(shuffle_parts(df.sparkSession), -(-total // INDEX_ROWS))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("items").alias(f"x{s}"))
-        return materialise(map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), _verify(percent), "a long, b long"), name, records=VERIFIED)
-
-    seen = materialise(_candidates_near(index, percent, parts), "near")
+        # Only the sets that a pair has are moved.
+        asked = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+        some = materialise(sets.select("sid", "n", "items").join(asked, "sid", "left_semi"), "asked", records=SETS)
+        side = lambda s: some.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("items").alias(f"x{s}"))
+        out = materialise(map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), _verify(percent), "a long, b long"), name, records=VERIFIED)
+        discard(some)
+        return out
+
+    seen = materialise(_candidates_near(shared, percent, parts), "near")
     links = verified(seen, "links")
-    for turn in range(ROUNDS + 1):
-        tiled = _tiles(index.drop("hub", "sign"), components(links))
-        if turn == ROUNDS:
-            break
-        best = materialise(_met(tiled, _best_pairs(percent, turn)).join(seen, ["a", "b"], "left_anti"), "near")
+    labels = components(links)
+    tiled = _tiles(shared, labels)
+    for turn in range(ROUNDS):
+        found = materialise(_met(tiled, _best_pairs(percent, turn), "a long, b long, item long, tile long, side long, sid long, n long, lone long, pos long, suffix binary"), "turn")
+        best = materialise(found.where("a is not null").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "near")
         seen, new = seen.unionByName(best), verified(best, "links")
+        links, labels = links.unionByName(new), merged(labels, new)
+        names = labels.select(F.col("node").alias("sid"), F.col("label").alias("comp"))
+        alive = found.where("a is null").select(*_TILE).join(names, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        discard(tiled)
+        tiled = materialise(alive, "tiles")
+        discard(found)
         if new.isEmpty():
             break
-        links = links.unionByName(new)
-        discard(tiled)
-    later = _met(tiled, _all_pairs(percent)).join(seen, ["a", "b"], "left_anti")
-    return documents, classes, links.unionByName(verified(later, "links"))
+    later = materialise(_met(tiled, _all_pairs(percent)).distinct().join(seen, ["a", "b"], "left_anti"), "near")
+    later = verified(later, "links")
+    return documents, classes, links.unionByName(later), merged(labels, later)
 
 
 def _components_of(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """id, h (hash of the text), n_shingles, component_id, and which (hi, lo of a class of the component: its name, as ids may repeat) of every row."""
-    documents, classes, links = similar_classes(df, id_col, text_col, n, percent)
-    groups = components(links)
+    documents, classes, _, groups = merged_classes(df, id_col, text_col, n, percent)
     members = classes.join(groups.select(F.col("node").alias("sid"), "label"), "sid")
     least = members.groupBy("label").agg(F.min("least").alias("component"), F.min(F.struct("hi", "lo")).alias("which"))
     named = groups.join(least, "label").select(F.col("node").alias("sid"), "component", "which")
