@@ -79,3 +79,19 @@ def test_awkward_rows(spark):
 def test_empty(spark):
     _, labels = corpus(spark, 40)
     assert mixing_rates(empty(spark), labels).count() == 0
+
+
+def test_the_matrix_is_held_once():
+    import tracemalloc
+
+    from trajectra.llm import mixing
+
+    rng = random.Random(4)
+    texts = [prose(rng, 30).encode() for _ in range(4000)]
+    features(texts[:1])  # makes the tables of the word hashes
+    tracemalloc.start()
+    x = mixing._matrix(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.6 * x.nbytes
+    assert np.array_equal(x, np.concatenate([features(texts[i : i + 256])[0] for i in range(0, len(texts), 256)]))

@@ -101,8 +101,15 @@ def train_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     rows = sorted((r["id"], r["domain"], r["text"].encode("utf-8", "replace")) for r in texts.join(F.broadcast(chosen), "id").select("id", "domain", "text").collect())
     if not rows:
         return DomainModel(np.zeros((1 + _STATS + _HASHED, len(DOMAINS)), np.float32))
-    parts = [features([r[2] for r in rows[i : i + 256]])[0] for i in range(0, len(rows), 256)]
-    return DomainModel(_softmax_fit(np.concatenate(parts), np.array([r[1] for r in rows]), len(DOMAINS)))
+    return DomainModel(_softmax_fit(_matrix([r[2] for r in rows]), np.array([r[1] for r in rows]), len(DOMAINS)))
+
+
+def _matrix(texts: list[bytes]) -> np.ndarray:
+    """The features of texts, made a few at a time in their place: the driver holds them once."""
+    out = np.empty((len(texts), 1 + _STATS + _HASHED), np.float32)
+    for i in range(0, len(texts), 256):
+        out[i : i + 256] = features(texts[i : i + 256])[0]
+    return out
 
 
 def posterior_table(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
