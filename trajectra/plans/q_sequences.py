@@ -141,8 +141,7 @@ def _grid(apart):
         film = F.flatten(F.array_repeat(F.concat(some(one, 1), some(F.lit(2), 8)), t.cast("int"))) if apart else some(2 * t, 8)
         rows = spread(table(spark, d, "customer").select("c_custkey"), "c_custkey").select(k.alias("row_id"), F.concat(some(k % 5 + 1, 1), some(h * w, 9), some(k % 4 + 1, 1), film, some(k % 2 + 1, 1)).alias("ids"), grid(one, h, w).alias("images"), grid(t, one, 2 * one).alias("videos"), F.array(F.lit(1.5)).alias("seconds"))
         rows = rows.select("row_id", grid_positions_udf(9, 8, frames_apart=apart)("ids", "images", "videos", "seconds").alias("p"))
-        cells = F.arrays_zip(*[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(("time", "height", "width"))])
-        return rows.select("row_id", F.posexplode(cells).alias("pos", "c")).select("row_id", F.col("pos").cast("long").alias("pos"), "c.time", "c.height", "c.width")
+        return rows.select("row_id", F.posexplode("p").alias("pos", "c")).select("row_id", F.col("pos").cast("long").alias("pos"), "c.time", "c.height", "c.width")
 
     return run
 
