@@ -87,3 +87,9 @@ def test_grid_queries_with_a_null_and_a_repeated_key(spark, tmp_path):
             got = catalog.queries()[name](spark, str(tmp_path))
             assert got.columns == ["row_id", "pos", "time", "height", "width"]
             assert sorted(map(tuple, got.collect())) == sorted(db.execute(catalog.oracle_sql()[name]).fetchall())
+
+
+def test_positions_are_asked_for_once_and_after_rows_are_dealt(spark):
+    for name in ("q_grid_positions", "q_grid_frames"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Exchange")
